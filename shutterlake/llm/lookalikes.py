@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shutterlake.session import cut
+
 # Characters that can't be told apart by eye from the first of their line, by script.
 LOOKALIKES = {
     "a": "Аа Α ɑ", "b": "В Β", "c": "Сс Ϲϲ ⅽ", "d": "ԁ", "e": "Ее Ε", "f": "Ϝ", "g": "ɡ", "h": "Н Η һ", "i": "Іі Ι", "j": "Јј ϳ",
@@ -174,8 +176,9 @@ def lookalike_pairs(tags: DataFrame, *, key: str, name: str) -> DataFrame:
     The result lists pairs, so it grows with the square of a group of equal names; the work before
     does not. Null names pair with nothing; repeated keys count once per name; equal names pair too.
     """
-    t = tags.where(F.col(name).isNotNull()).select(F.col(key).alias("id"), canonical_text(name).alias("form")).distinct()
+    t = tags.where(F.col(name).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), canonical_text(name).alias("form"))
+    t = cut(t, "forms").distinct()
     shared = t.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
     t = t.join(shared, "form", "left_semi")
-    a, b = t.toDF("tag_a", "form"), t.toDF("tag_b", "form")
+    a, b = t.withColumnRenamed("id", "tag_a"), t.withColumnRenamed("id", "tag_b")
     return a.join(b, "form").where("tag_a < tag_b").select("tag_a", "tag_b").distinct()
