@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from shutterlake.plans import problems, problems_sql
+from shutterlake.plans import catalog_queries, data_queries, problems, problems_sql, stream_queries
 
 
 def flagship(spark, root):
-    return queries()["p5_found"](spark, root)
+    return catalog_queries.browse_page(spark, root)
 
 
 def queries():
-    return dict(problems.QUERIES)
+    return problems.QUERIES | catalog_queries.query.queries | data_queries.query.queries | stream_queries.query.queries
 
 
 def oracle_sql():
-    return dict(problems_sql.SQL)
+    return problems_sql.SQL | catalog_queries.query.sql | data_queries.query.sql | stream_queries.query.sql
