@@ -111,7 +111,8 @@ def pack_documents(docs: DataFrame, *, key: str, tokens: str, capacity: int, sha
 def _round(pieces: DataFrame, capacity: int, shard_items: int) -> DataFrame:
     shards = max(1, -(-pieces.count() // shard_items))
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(_packer(capacity), _PACKED)
+    # A fixed number of partitions: packing costs more time a byte than adaptive coalescing expects.
+    return sharded.repartition(-(-shards // 4), "shard").groupBy("shard").applyInPandas(_packer(capacity), _PACKED)
 
 
 def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
