@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(app: str = "shutterlake", cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(app: str = "shutterlake", cpus: str | int = "*", shuffle_partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and benches; a cluster brings its own."""
+    builder = SparkSession.builder.config(CHECKPOINT_KEY, checkpoint_dir) if checkpoint_dir else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -33,12 +34,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, local
     benches) a temporary one is made and kept in the session, so later calls reuse it.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shutterlake-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/shutterlake/{name}-{uuid.uuid4().hex}"
 
 
