@@ -210,10 +210,12 @@ def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
         some = np.maximum.reduceat(s[order], first) > 0
         keep[order] |= some[group]
     d, p = d[keep], p[keep]
+    if not len(d):
+        return pd.DataFrame({"id": pd.Series(dtype="int64"), "spots": pd.Series(dtype="object")})
     order = np.lexsort((p, d))
     d, p = d[order], p[order]
-    edges = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, dtype=np.int64)
-    return pd.DataFrame({"id": d[edges], "spots": [x.astype(np.int64) for x in np.split(p, edges[1:])] if len(d) else []})
+    edges = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+    return pd.DataFrame({"id": d[edges], "spots": np.split(p, edges[1:])})
 
 
 _SPANS = T.StructType([T.StructField("id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("span", T.LongType())])

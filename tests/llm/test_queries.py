@@ -1,0 +1,25 @@
+import pytest
+from compare import DATA, same
+
+from shutterlake.llm import registry
+
+SQL = registry.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, name):
+    same(spark, registry.queries()[name], SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
+def test_query_runs(spark, name):
+    assert registry.queries()[name](spark, DATA).count() >= 0
+
+
+def test_nothing_else_imports_the_subpackage():
+    from pathlib import Path
+
+    import shutterlake
+
+    root = Path(shutterlake.__file__).parent
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "shutterlake.llm" in p.read_text()]
