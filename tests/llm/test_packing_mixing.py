@@ -101,7 +101,7 @@ def test_mixture(rows):
     assert all(len(u) <= caps[docs[i][1]] for i, u in uses.items())
     total = sum(r.n_tokens for r in out)
     for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
-        mine = sorted((r for r in out if r.source == s), key=lambda r: r.start_token)
+        mine = sorted((r for r in out if r.source == s), key=lambda r: (r.start_token, r.n_tokens))
         assert abs(sum(r.n_tokens for r in mine) - w * total) < 64 + 3 * 50
         ends = 0
         for r in mine:  # laid end to end, without gap or overlap
