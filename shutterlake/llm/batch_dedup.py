@@ -107,10 +107,9 @@ def _slots(scope: str, kind: str, prints) -> np.ndarray:
 def _test(contents: pd.DataFrame, bloom: pd.DataFrame) -> pd.DataFrame:
     """The contents all of whose fingerprints the partition's filter may hold."""
     if bloom.empty or contents.empty:
-        return contents.iloc[:0][["scope", "kind", "sig"]]
+        return contents.iloc[:0]
     bits = np.unpackbits(np.frombuffer(bloom.bits.iloc[0], dtype=np.uint8))
-    hit = [bool(bits[_slots(s, k, p)].all()) for s, k, p in zip(contents.scope, contents.kind, contents.prints)]
-    return contents.loc[hit, ["scope", "kind", "sig"]]
+    return contents[[bool(bits[_slots(s, k, p)].all()) for s, k, p in zip(contents.scope, contents.kind, contents.prints)]]
 
 
 def _add(contents: pd.DataFrame, bloom: pd.DataFrame) -> pd.DataFrame:
@@ -150,32 +149,26 @@ class BatchDeduplicator:
     def check(self, batch: DataFrame) -> DataFrame:
         rows = cut(register_contents(batch, self.partitions).distinct(), "contents")
         # One row per content and size: the hottest content is as small as the number of its sizes.
-        content = ["scope", "kind", "content", "sig", "part"]
+        content, group = ["scope", "kind", "content", "sig", "part"], ["scope", "kind", "content"]
         own = rows.groupBy(*content, "size").agg(F.min(F.struct("id", "run")).alias("first"), F.first("prints").alias("prints"))
         self._batch = own = cut(own, "batch")
-        pool = own.select(*content, "size", "first")
+        pool = own.select(*group, "size", "first")
         known = self.filters.read()
         if known is not None:
-            seen = own.groupBy("scope", "kind", "sig", "part").agg(F.first("prints").alias("prints"))
-            positives = seen.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(lambda a, b: _test(a, b), "scope string, kind string, sig long")
-            looked = self.store.read().join(positives, ["scope", "kind", "sig"], "left_semi")
-            wanted = own.select(*content, F.col("prints").alias("own_prints")).dropDuplicates(content)
+            wanted = own.groupBy(*content).agg(F.first("prints").alias("prints"))
+            positives = cut(wanted.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_test, wanted.schema), "positives").withColumnRenamed("prints", "own_prints")
             covered = F.size(F.array_intersect("prints", "own_prints")) / F.size(F.array_union("prints", "own_prints")) >= 1
-            verified = looked.join(wanted, content).where(covered).select(*content, "size", F.struct("id", "run").alias("first"))
-            pool = pool.unionByName(verified).groupBy(*content, "size").agg(F.min("first").alias("first"))
-        group = ["scope", "kind", "content"]
-        several = pool.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("a"), F.max("size").alias("b"))
+            verified = self.store.read().join(positives, content).where(covered).select(*group, "size", F.struct("id", "run").alias("first"))
+            pool = pool.unionByName(verified).groupBy(*group, "size").agg(F.min("first").alias("first"))
+        pool = cut(pool, "pool")
+        crowd = pool.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group)
+        points = cut(pool.join(crowd, group, "left_semi").withColumnRenamed("size", "at"), "points")
         lo, hi = self.nearness
-        alone = several.where("n = 1").select(*group)
-        points = pool.select(*group, F.col("size").alias("at"), "first")
-        probes = own.select(*group, F.col("size").alias("at"))
-        crowd = several.where("n > 1").select(*group)
-        far = range_extremes(
-            points.join(crowd, group, "left_semi"), probes.join(crowd, group, "left_semi"), group=group, at="at",
-            lo=F.expr(f"(at * {lo} + {hi - 1}) div {hi}"), hi=F.expr(f"(at * {hi}) div {lo}"), block=_size_block, least=["first"], most=[],
-        ).withColumnRenamed("least_first", "first")
-        near = far.unionByName(points.join(alone, group, "left_semi").select(*group, "at", "first"))
-        matched = rows.join(near.withColumnRenamed("at", "size"), [*group, "size"]).where("first.run < run")
+        near = range_extremes(
+            points, points, group=group, at="at", lo=F.expr(f"(at * {lo} + {hi - 1}) div {hi}"), hi=F.expr(f"(at * {hi}) div {lo}"), block=_size_block, least=["first"], most=[]
+        )
+        nearest = pool.withColumnRenamed("size", "at").join(near, [*group, "at"], "left").select(*group, F.col("at").alias("size"), F.coalesce("least_first", "first").alias("first"))
+        matched = rows.join(nearest, [*group, "size"]).where("first.run < run")
         return matched.groupBy(F.col("id").alias("dup_id")).agg(F.min("first.id").alias("first_id")).select("first_id", "dup_id")
 
     def accept(self) -> None:
@@ -183,7 +176,7 @@ class BatchDeduplicator:
         own, known = self._batch, self.filters.read()
         empty = self.spark.createDataFrame([], "part int, bits binary")
         contents = own.groupBy("scope", "kind", "sig", "part").agg(F.first("prints").alias("prints"))
-        updated = contents.groupBy("part").cogroup((known if known is not None else empty).groupBy("part")).applyInPandas(lambda a, b: _add(a, b), "part int, bits binary")
+        updated = contents.groupBy("part").cogroup((known if known is not None else empty).groupBy("part")).applyInPandas(_add, "part int, bits binary")
         self.store.append(own.select("scope", "kind", "content", "prints", "sig", "part", "size", "first.id", "first.run"))
         self.filters.replace(updated)
 
