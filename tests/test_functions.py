@@ -58,3 +58,20 @@ def test_cube_identity_and_strength():
 def test_blur_of_edges(rows):
     got = rows([([1.0, 2.0, 6.0],), ([],)], "a array<double>").select(k.box_blur(F.col("a"), 1), k.box_down(F.col("a"), 2)).collect()
     assert [tuple(r) for r in got] == [([1.5, 3.0, 4.0], [1.5, 6.0]), ([], [])]
+
+
+def test_scalars(rows):
+    import hashlib
+
+    from shutterlake.functions import scalars as s
+
+    assert s.fnv1a(b"") == 0xCBF29CE484222325 and s.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    blob = bytes(range(256)) * 5
+    df = rows([(bytearray(blob),), (bytearray(b"short"),)], "b binary")
+    want = hashlib.sha256(len(blob).to_bytes(8, "little") + blob[:100] + blob[590:690] + blob[-100:]).hexdigest()
+    assert [r[0] for r in df.select(s.sampled_sha256(F.col("b"), 100)).collect()] == [want, hashlib.sha256(b"short").hexdigest()]
+    names = rows([("IMG_20200230_101010 2020-02-28.jpg",), ("VID-20200502_073256.mov",), ("x",), (None,), ("120200502.jpg",)], "n string")
+    assert [r[0] for r in names.select(s.name_datetime(F.col("n"))).collect()] == [1582848000000, 1588404776000, None, None, None]
+    assert rows([("2021:02:30 10:00:00",), ("2021:02:03 10:00:00",), ("0000:00:00 00:00:00",)], "t string").select(s.exif_datetime(F.col("t")).alias("m")).toPandas().m.dropna().tolist() == [1612346400000]
+    under = rows([("a/b.jpg",), ("a/c/d.jpg",), ("ab/e.jpg",)], "p string").select(s.is_under(F.col("p"), "a", False), s.is_under(F.col("p"), "a/", True), s.is_under(F.col("p"), "", True)).collect()
+    assert [tuple(r) for r in under] == [(True, True, True), (False, True, True), (False, False, True)]
