@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -61,39 +60,25 @@ def winnow(content: str, gram: int = GRAM, window: int = WINDOW) -> list[int]:
     return sorted({min(grams[i : i + window]) for i in range(max(1, len(grams) - window + 1))})
 
 
-_PRINTED = T.StructType([T.StructField("content", T.StringType()), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("sig", T.LongType())])
+@F.pandas_udf(T.StringType())
+def _names(s: pd.Series) -> pd.Series:
+    return s.map(name_content, na_action="ignore")
 
 
-@F.pandas_udf(_PRINTED)
-def _printed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        contents = [name_content(p) for p in s]
-        yield _described(contents)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _prints(kind: pd.Series, content: pd.Series) -> pd.Series:
+    """Fingerprints of a name are winnowed; an identity is opaque and has one."""
+    return pd.Series([winnow(c) if k == "name" else [xxhash.xxh3_64_intdigest(c) >> 1] for k, c in zip(kind, content)])
 
 
-@F.pandas_udf(_PRINTED)
-def _printed_as_is(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield _described([None if x is None else x for x in s])
-
-
-def _described(contents: list) -> pd.DataFrame:
-    prints = [[] if c is None else winnow(c) for c in contents]
-    sigs = [xxhash.xxh3_64_intdigest(np.array(p, dtype=np.int64).tobytes()) >> 1 if p else 0 for p in prints]
-    return pd.DataFrame({"content": contents, "prints": prints, "sig": sigs})
-
-
-def register_contents(ops: DataFrame, partitions: int) -> DataFrame:
-    """(id, run, scope, size, kind, content, prints, sig, part): up to two contents of each operation of known size."""
+def register_contents(ops: DataFrame) -> DataFrame:
+    """(id, run, scope, size, kind, content): up to two contents of each operation of known size."""
     o = ops.where("size_bytes >= 0 and repository_id is not null and run_id is not null").select(
-        F.col("register_id").alias("id"), F.col("run_id").alias("run"), F.col("repository_id").alias("scope"), F.col("size_bytes").cast("long").alias("size"), "source_path",
-        F.when(usable_identity(F.col("source_volume_serial"), F.col("source_file_id")), F.concat_ws(":", F.col("source_volume_serial").cast("string"), F.hex("source_file_id"))).alias("ident"),
+        F.col("register_id").alias("id"), F.col("run_id").alias("run"), F.col("repository_id").alias("scope"), F.col("size_bytes").cast("long").alias("size"), _names("source_path").alias("name"),
+        F.when(usable_identity(F.col("source_volume_serial"), F.col("source_file_id")), F.concat_ws(":", F.col("source_volume_serial").cast("string"), F.hex("source_file_id"))).alias("identity"),
     )
-    base = ["id", "run", "scope", "size"]
-    by_name = o.where("source_path is not null").select(*base, F.lit("name").alias("kind"), _printed("source_path").alias("p"))
-    by_ident = o.where("ident is not null").select(*base, F.lit("identity").alias("kind"), _printed_as_is("ident").alias("p"))
-    all_ = by_name.unionByName(by_ident).select(*base, "kind", "p.*").where("content is not null")
-    return all_.withColumn("part", F.pmod(F.xxhash64("scope", "kind", "sig"), F.lit(partitions)).cast("int"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("content")) for k in ("name", "identity")]))
+    return o.select("id", "run", "scope", "size", kinds.alias("k")).select("id", "run", "scope", "size", "k.*").where("content is not null")
 
 
 def _slots(scope: str, kind: str, prints) -> np.ndarray:
@@ -142,23 +127,24 @@ class BatchDeduplicator:
     def __init__(self, spark: SparkSession, path: str, expected_contents: int, nearness: tuple[int, int] = (995, 1000)):
         self.spark, self.nearness = spark, nearness
         self.partitions = max(8, -(-expected_contents // PARTITION_CONTENTS))
-        self.store = VersionedTable(spark, f"{path}/store", "scope string, kind string, content string, prints array<bigint>, sig bigint, part int, size bigint, id bigint, run bigint")
+        self.store = VersionedTable(spark, f"{path}/store", "scope string, kind string, content string, prints array<bigint>, part int, size bigint, id bigint, run bigint")
         self.filters = VersionedTable(spark, f"{path}/filters", "part int, bits binary")
-        self._batch: DataFrame | None = None
+        self._sizes: DataFrame | None = None
+        self._contents: DataFrame | None = None
 
     def check(self, batch: DataFrame) -> DataFrame:
-        rows = cut(register_contents(batch, self.partitions).distinct(), "contents")
+        rows = cut(register_contents(batch), "contents")
+        group = ["scope", "kind", "content"]
         # One row per content and size: the hottest content is as small as the number of its sizes.
-        content, group = ["scope", "kind", "content", "sig", "part"], ["scope", "kind", "content"]
-        own = rows.groupBy(*content, "size").agg(F.min(F.struct("id", "run")).alias("first"), F.first("prints").alias("prints"))
-        self._batch = own = cut(own, "batch")
-        pool = own.select(*group, "size", "first")
+        self._sizes = pool = cut(rows.groupBy(*group, "size").agg(F.min(F.struct("id", "run")).alias("first")), "batch")
+        part = F.pmod(F.xxhash64(*group), F.lit(self.partitions)).cast("int")
+        self._contents = contents = cut(pool.select(*group).distinct().select(*group, part.alias("part"), _prints("kind", "content").alias("prints")), "prints")
         known = self.filters.read()
         if known is not None:
-            wanted = own.groupBy(*content).agg(F.first("prints").alias("prints"))
-            positives = cut(wanted.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_test, wanted.schema), "positives").withColumnRenamed("prints", "own_prints")
+            tested = contents.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_test, contents.schema)
+            positives = cut(tested, "positives").withColumnRenamed("prints", "own_prints")
             covered = F.size(F.array_intersect("prints", "own_prints")) / F.size(F.array_union("prints", "own_prints")) >= 1
-            verified = self.store.read().join(positives, content).where(covered).select(*group, "size", F.struct("id", "run").alias("first"))
+            verified = self.store.read().join(positives, [*group, "part"]).where(covered).select(*group, "size", F.struct("id", "run").alias("first"))
             pool = pool.unionByName(verified).groupBy(*group, "size").agg(F.min("first").alias("first"))
         pool = cut(pool, "pool")
         crowd = pool.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group)
@@ -173,12 +159,12 @@ class BatchDeduplicator:
 
     def accept(self) -> None:
         """Take the batch last checked into store and filters."""
-        own, known = self._batch, self.filters.read()
-        empty = self.spark.createDataFrame([], "part int, bits binary")
-        contents = own.groupBy("scope", "kind", "sig", "part").agg(F.first("prints").alias("prints"))
-        updated = contents.groupBy("part").cogroup((known if known is not None else empty).groupBy("part")).applyInPandas(_add, "part int, bits binary")
-        self.store.append(own.select("scope", "kind", "content", "prints", "sig", "part", "size", "first.id", "first.run"))
-        self.filters.replace(updated)
+        known = self.filters.read()
+        if known is None:
+            known = self.spark.createDataFrame([], "part int, bits binary")
+        self.filters.replace(self._contents.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_add, "part int, bits binary"))
+        rows = self._sizes.join(self._contents, ["scope", "kind", "content"])
+        self.store.append(rows.select("scope", "kind", "content", "prints", "part", "size", "first.id", "first.run"))
 
 
 def replay(ops: DataFrame, batches: int = 3, path: str | None = None) -> DataFrame:
