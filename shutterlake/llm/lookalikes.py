@@ -8,10 +8,10 @@ from the lists of look-alikes below, and is checked for conflicts before use.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 import regex
@@ -40,6 +40,12 @@ INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *ra
 BLANKS = {0x2800, 0x3164, 0xFFA0}
 
 
+@lru_cache(maxsize=1)
+def repertoire() -> str:
+    """Characters that may have a mapping: all but the ideographs and empty planes beyond the first two."""
+    return "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE01F0))))
+
+
 class Conflict(ValueError):
     """A mapping that would make two basic Latin letters or digits look the same."""
 
@@ -89,8 +95,8 @@ def mapping() -> dict[str, str]:
     """Single characters and what they become; characters it lacks stay (in lower case)."""
     looks = _classes([(first, c) for first, others in LOOKALIKES.items() for c in others.replace(" ", "")])
     table: dict[str, str] = {}
-    for o in range(sys.maxunicode + 1):
-        c = chr(o)
+    for c in repertoire():
+        o = ord(c)
         kind = unicodedata.category(c)
         if kind in ("Cs", "Co", "Cn") and o not in INVISIBLE:
             continue
@@ -115,19 +121,54 @@ def mapping() -> dict[str, str]:
     return table
 
 
+def _composed(text: str) -> str:
+    """The form of a short sequence: marks apart, each character mapped, composed again."""
+    table = mapping()
+    return unicodedata.normalize("NFC", "".join(table.get(c, c.lower()) for c in unicodedata.normalize("NFD", text)))
+
+
+@lru_cache(maxsize=1)
+def transducer() -> tuple[dict[str, str], int]:
+    """Sequences of up to three characters and what they become, and the longest sequence.
+
+    Beside the single characters it has every base and its marks that compose, with each base and mark in all
+    their variants: a half-width letter with a half-width voicing mark, a look-alike with an accent.
+    """
+    table = mapping()
+    variants: dict[str, list[str]] = {}
+    for c in {*table, *(c for c in repertoire() if c != c.lower())}:
+        if len(form := table.get(c, c.lower())) == 1:
+            variants.setdefault(form, []).append(c)
+    entries = dict(table)
+    for c in repertoire():
+        apart = unicodedata.normalize("NFD", c)
+        if apart == c or 0xAC00 <= ord(c) <= 0xD7A3:
+            continue
+        entries[c] = _composed(c)
+        if 2 <= len(apart) <= 3:
+            kinds = [{x, *variants.get(table.get(x, x.lower()), ())} for x in apart]
+            for seq in map("".join, product(*kinds)):
+                entries[seq] = entries[c]
+    return entries, max(map(len, entries))
+
+
 _CLUSTER = regex.compile(r"\X")
 
 
 @lru_cache(maxsize=1 << 16)
 def _cluster(g: str) -> str:
-    """The entry of one grapheme cluster: marks composed, then the base and the marks mapped, then composed again."""
-    table = mapping()
-    if len(g) > 64:
-        g = unicodedata.normalize("NFC", g)
-        return "".join(table.get(c, c.lower()) for c in g)
-    out = unicodedata.normalize("NFD", g)
-    out = "".join(table.get(c, c.lower()) for c in out)  # a half-width letter and its mark become two marks' worth here
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", out))
+    """What a grapheme cluster becomes: at each place the longest entry holds."""
+    entries, longest = transducer()
+    out, i = [], 0
+    while i < len(g):
+        for n in range(min(longest, len(g) - i), 0, -1):
+            if (to := entries.get(g[i : i + n])) is not None:
+                break
+        else:
+            n, to = 1, g[i].lower()
+        out.append(to)
+        i += n
+    return "".join(out)
 
 
 @lru_cache(maxsize=1)
@@ -145,7 +186,7 @@ def canonical(text: str | None) -> str | None:
 
 
 def _canonical_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    mapping()
+    transducer()
     for s in batches:
         yield s.map(canonical, na_action="ignore")
 

@@ -1,6 +1,6 @@
 import pytest
 
-from shutterlake.llm.lookalikes import DISPUTED, LOOKALIKES, Conflict, _classes, canonical, canonical_names, lookalike_pairs
+from shutterlake.llm.lookalikes import DISPUTED, LOOKALIKES, Conflict, _classes, _composed, canonical, canonical_names, lookalike_pairs, mapping, transducer
 
 SAME = [
     ("Amber Hill", "\uff21mber\u3000Hill"), ("Amber", "\u0410mb\u0435r"), ("HAZY", "h\u0391\u0396\u03a5"), ("caf\u00e9", "cafe\u0301"), ("caf\u00e9", "caf\u0435\u0301"),
@@ -51,3 +51,13 @@ def test_pairs_and_folded(rows):
     folded = {r.id: (r.name_folded, r.folded_changed) for r in canonical_names(t).collect()}
     assert folded == {1: ("amber", True), 2: ("amber", True), 3: (None, False), 4: ("amber", False), 5: ("", True), 6: ("", False)}
     assert lookalike_pairs(t.limit(0), key="id", name="name").count() == 0
+
+
+def test_transducer_agrees_with_mapping_character_by_character():
+    import random
+
+    rnd = random.Random(7)
+    chars = sorted(mapping()) + [k for k in transducer()[0] if len(k) > 1] * 2 + list("aeiou \u0301\u0308\u3099\u200d\u65e5")
+    for _ in range(3000):
+        text = "".join(rnd.choice(chars) for _ in range(rnd.randrange(1, 8)))
+        assert canonical(text) == _composed(text).strip(" "), ascii(text)
