@@ -122,3 +122,17 @@ def by_position(ids: list[int], rows: DataFrame, key: str) -> DataFrame:
     return lst.join(rows, key)
 
 
+
+
+def import_verdicts(planned: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, verdict) of planned files (id, key, size, hash) against existing ones (key, size, hash): ``free``, ``skip`` or ``conflict``.
+
+    A path that is taken is skipped if size and content hash are known and equal; only there are hashes looked at. Two
+    planned files with one path: the later by id is in conflict with the earlier.
+    """
+    e = existing.where("key is not null").groupBy("key").agg(F.min(F.struct("size", "hash")).alias("e"))
+    first = planned.where("key is not null").groupBy("key").agg(F.min("id").alias("first"))
+    j = planned.join(e, "key", "left").join(first, "key", "left")
+    same = (F.col("size") == F.col("e.size")) & (F.col("hash") == F.col("e.hash"))
+    verdict = F.when(F.col("e").isNotNull(), F.when(F.coalesce(same, F.lit(False)), "skip").otherwise("conflict")).when(F.col("id") != F.col("first"), "conflict").otherwise("free")
+    return j.select("id", verdict.alias("verdict"))

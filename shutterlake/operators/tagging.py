@@ -74,3 +74,19 @@ def member_counts(members: DataFrame) -> DataFrame:
     """Members of each collection in total and by library, the latter as a JSON object."""
     per = members.groupBy("bucket", "repository_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("bucket").agg(F.sum("n").alias("n_members"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("repository_id", "n"))))).alias("by_repository"))
+
+
+def rule_from_filter(f, repositories: list[str]) -> Group:
+    """A browsing filter as one group of a rule; raises on a dimension rules don't have."""
+    unsupported = [n for n in ("cameras", "lenses", "taken", "iso", "focal", "flag_in", "flag_not_in", "tag_keys", "text") if getattr(f, n) is not None]
+    if unsupported or f.match != "all":
+        raise ValueError("not expressible as a rule: " + ", ".join(unsupported or ["alternatives"]))
+    return canonical_rule([Group(tuple(repositories), f.min_rating, tuple(f.colors or ()), tuple(f.likes or ()), tuple(f.locks or ()))])[0]
+
+
+def edit_members(members: DataFrame, exclusions: DataFrame, added: DataFrame, removed: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Members and exclusions after edits by hand: adding clears an exclusion, removing sets one; what is both added and removed ends removed."""
+    members, exclusions, added, removed = (df.select(*key).distinct() for df in (members, exclusions, added, removed))
+    now = members.unionByName(added).distinct().join(removed, key, "left_anti")
+    out = exclusions.join(added, key, "left_anti").unionByName(removed).distinct()
+    return now, out

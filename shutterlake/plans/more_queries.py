@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import scalars as s
 from shutterlake.functions.paths import file_name
+from shutterlake.functions.text import fold_path
+from shutterlake.operators import linkage as l
+from shutterlake.operators import tagging as t
 from shutterlake.plans.book import Book
 from shutterlake.sources.tables import table
 
@@ -126,3 +129,29 @@ def label_map(spark, root):
 def mark_summary(spark, root):
     m = table(spark, root, "flag_marks").select("mark_id", "asset_id", "millis", "flag").distinct().where("asset_id is not null")
     return m.groupBy("asset_id").agg((F.max("millis") - F.min("millis")).alias("span_ms"), F.count_distinct("flag").alias("n_flags"), F.count_if(F.col("flag") == "pick").alias("n_picks"))
+
+
+@query("""WITH e AS (SELECT rel_path_folded AS k FROM asset_files), p AS (SELECT row_no, nfc_normalize(lower(replace(target_rel, chr(92), '/'))) AS k FROM new_assets),
+f AS (SELECT k, min(row_no) AS first FROM p GROUP BY k)
+SELECT row_no AS id, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.k = p.k) OR p.row_no <> f.first THEN 'conflict' ELSE 'free' END AS verdict FROM p JOIN f USING (k)""")
+def import_verdicts(spark, root):
+    """Planned files have no fingerprint here, so a taken path is a conflict."""
+    none = F.lit(None).cast("string").alias("hash")
+    n = table(spark, root, "new_assets").select(F.col("row_no").alias("id"), fold_path("target_rel").alias("key"), F.lit(None).cast("long").alias("size"), none)
+    f = table(spark, root, "asset_files").select(F.col("rel_path_folded").alias("key"), F.col("size_bytes").alias("size"), F.col("content_hash").alias("hash"))
+    return l.import_verdicts(n, f)
+
+
+@query("SELECT f.id, f.rel_path FROM asset_files f WHERE f.asset_id IN (SELECT unnest(from_json('[1001, 1005, 1010, 77]', '[\"BIGINT\"]')))")
+def json_idlist(spark, root):
+    ids = spark.range(1).select(F.explode(F.from_json(F.lit("[1001, 1005, 1010, 77]"), "array<bigint>")).alias("asset_id"))
+    return table(spark, root, "asset_files").join(ids, "asset_id", "left_semi").select("id", "rel_path")
+
+
+@query("""WITH m AS (SELECT DISTINCT repository_id, asset_id FROM new_assets WHERE complete), r AS (SELECT DISTINCT repository_id, asset_id FROM external_tasks WHERE removed_at IS NOT NULL),
+a AS (SELECT DISTINCT repository_id, asset_id FROM external_tasks) SELECT * FROM (SELECT * FROM m UNION SELECT * FROM a) EXCEPT SELECT * FROM r""")
+def member_edits(spark, root):
+    key = ["repository_id", "asset_id"]
+    tasks = table(spark, root, "external_tasks")
+    members = table(spark, root, "new_assets").where("complete")
+    return t.edit_members(members, tasks.limit(0), tasks, tasks.where("removed_at is not null"), key)[0]

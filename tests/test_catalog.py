@@ -63,6 +63,28 @@ def test_masked_and_invalid_tags(rows):
     assert sorted(map(tuple, got.collect())) == [(1, "t"), (3, "t")]
 
 
+def test_rules_from_filters_and_edits(rows):
+    import pytest
+
+    g = tagging.rule_from_filter(Filter("all", min_rating=2, colors=["red", "red", "none"]), ["b", "a"])
+    assert g == tagging.Group(("a", "b"), 2, ("none", "red"))
+    for bad in (Filter("all", text="x"), Filter(min_rating=1)):
+        with pytest.raises(ValueError):
+            tagging.rule_from_filter(bad, ["a"])
+    with pytest.raises(ValueError):
+        tagging.canonical_rule([tagging.Group(())])
+    ids = lambda *x: rows([(i,) for i in x], "id long")
+    now, out = tagging.edit_members(ids(1, 2), ids(3, 4), ids(3, 5, 6), ids(2, 6), ["id"])
+    assert sorted(r.id for r in now.collect()) == [1, 3, 5] and sorted(r.id for r in out.collect()) == [2, 4, 6]
+
+
+def test_import_verdicts(rows):
+    s = "id long, key string, size long, hash string"
+    plan = rows([(1, "a", 5, "h"), (2, "b", 5, "h"), (3, "b", 5, "h"), (4, "c", None, None), (5, None, 1, "h"), (6, "d", 9, "h")], s)
+    have = rows([(9, "a", 5, "h"), (9, "c", None, None), (9, "d", 5, "h")], s)
+    assert {r.id: r.verdict for r in linkage.import_verdicts(plan, have).collect()} == {1: "skip", 2: "free", 3: "conflict", 4: "conflict", 5: "free", 6: "conflict"}
+
+
 def test_slices(rows):
     h = 3_600_000
     p = rows([("a", "r", 0, None), ("b", "r", h, None), ("c", "r", 2 * h + 1, 0), ("d", "r", 23 * h, 60), ("e", "r", None, None)], "id string, repo string, ms long, off int")
