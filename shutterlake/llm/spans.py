@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,10 +218,10 @@ def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": d[edges], "spots": np.split(p, edges[1:])})
 
 
-_SPANS = T.StructType([T.StructField("id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("span", T.LongType())])
+_SPANS = [T.StructField("id", T.LongType()), T.StructField("span", T.LongType()), T.StructField("start", T.LongType())]
 
 
-def _full_spans(length: int, width: int):
+def _full_spans(length: int, width: int, starts: bool):
     def starts_of(spots: np.ndarray, n: int) -> np.ndarray:
         """Starts of all full spans that contain an anchor: the union of [spot - (length - width), spot]."""
         lo, hi = np.maximum(spots - (length - width), 0), np.minimum(spots, n - length)
@@ -243,13 +243,14 @@ def _full_spans(length: int, width: int):
                     for a in np.split(some, np.flatnonzero(np.diff(some) > SEGMENT) + 1):
                         if len(a):
                             h = window_hashes(chars[a[0] : a[-1] + length], length, a - a[0])
-                            yield pd.DataFrame({"id": doc, "start": a, "span": h.view(np.int64)})
+                            h = h.view(np.int64)
+                            yield pd.DataFrame({"id": doc, "span": h, "start": a} if starts else {"id": doc, "span": np.unique(h)})
 
     return run
 
 
-def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
-    """(id, start, span): hashes of all full spans that hold an anchor found in another record as well."""
+def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int, starts: bool) -> DataFrame:
+    """(id, span, start): hashes of all full spans that hold an anchor found in another record as well; without ``starts`` once a record."""
     width = length - PERIOD + 1
     if width < 1:
         raise ValueError(f"spans must be longer than {PERIOD} characters")
@@ -263,7 +264,7 @@ def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> Dat
     if spots.count() <= BROADCAST_IDS:
         d = d.join(F.broadcast(spots.select("id")), "id", "left_semi")
     joined = d.join(spots, "id")
-    return cut(joined.mapInPandas(_full_spans(length, width), _SPANS), "spans")
+    return cut(joined.mapInPandas(_full_spans(length, width, starts), T.StructType(_SPANS if starts else _SPANS[:2])), "spans")
 
 
 def shared_spans(spans: DataFrame) -> DataFrame:
@@ -280,7 +281,7 @@ def span_pairs(docs: DataFrame, *, key: str, text: str, length: int) -> DataFram
     same set of records stand for one another, so a pair is not listed once per character of what it shares.
     The result lists pairs and grows with the square of a group that shares one passage; nothing before does.
     """
-    s = shared_spans(candidate_spans(docs, key=key, text=text, length=length)).select("span", "id").distinct()
+    s = shared_spans(candidate_spans(docs, key=key, text=text, length=length, starts=False)).select("span", "id").distinct()
     s = cut(s, "shared")
     sets = s.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     first = sets.groupBy("n", "x", "y").agg(F.min("span").alias("span")).select("span")
@@ -294,9 +295,7 @@ def shared_share(docs: DataFrame, *, key: str, text: str, length: int) -> DataFr
 
     Null and empty texts have share 0. Rows repeated with one key are one record (the longest text's length).
     """
-    s = shared_spans(candidate_spans(docs, key=key, text=text, length=length)).select("id", "start").distinct()
-    from pyspark.sql import Window
-
+    s = shared_spans(candidate_spans(docs, key=key, text=text, length=length, starts=True)).select("id", "start").distinct()
     after = F.lead("start").over(Window.partitionBy("id").orderBy("start"))
     covered = s.withColumn("c", F.least(F.coalesce(after - F.col("start"), F.lit(length)), F.lit(length))).groupBy("id").agg(F.sum("c").alias("shared_chars"))
     sizes = docs.groupBy(F.col(key).cast("long").alias("id")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n_chars"))
