@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shutterlake.functions.instants import parse_instant
-from shutterlake.session import shared_dir
+from shutterlake.session import drop_at_exit, shared_dir
 
 KEY = ["reading", "offset_text", "tz_name"]
 DICTIONARY = "reading string, offset_text string, tz_name string, instant_ms long"
@@ -70,7 +70,10 @@ def normalise_instants(reads: DataFrame, zones: DataFrame, *, reading: str, offs
     )
     keys = rows.where("__reading is not null").select(F.col("__reading").alias(KEY[0]), F.col("__offset").alias(KEY[1]), F.col("__zone").alias(KEY[2])).distinct()
     spark = reads.sparkSession
-    book = InstantDictionary(spark, store or shared_dir(spark, "instants")).resolve(keys)
+    path = store or shared_dir(spark, "instants")
+    book = InstantDictionary(spark, path).resolve(keys)
+    if store is None:
+        drop_at_exit(spark, path)
     book = book.where("instant_ms is not null").toDF("__k0", "__k1", "__k2", "instant_ms")
     same = (F.col("__reading") == F.col("__k0")) & F.col("__offset").eqNullSafe(F.col("__k1")) & F.col("__zone").eqNullSafe(F.col("__k2"))
     return rows.join(book, same, "left").drop("__reading", "__offset", "__zone", "__k0", "__k1", "__k2")

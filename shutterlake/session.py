@@ -52,6 +52,15 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: li
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver remove a folder of one run when it ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Materialise an intermediate result in the shared folder."""
-    return write_table(df, shared_dir(df.sparkSession, name), "errorifexists")
+    """Materialise an intermediate result in the shared folder, until the driver ends."""
+    path = shared_dir(df.sparkSession, name)
+    out = write_table(df, path, "errorifexists")
+    drop_at_exit(df.sparkSession, path)
+    return out
