@@ -3,14 +3,38 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.session import cut
+
+
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its key up to and including it, ordered by ``order`` (unique within a key).
+
+    Safe for keys that hold much of the table: rows are ranged by key and order over all partitions, sums run within a
+    partition, and a key that spans several gets the totals of the partitions before. At most one key spans a border, so
+    these totals are at most two rows a partition and are sent to all executors. The ranged rows are materialised, as their
+    borders come from a sample.
+    """
+    keys = [F.col(c) for c in by]
+    ranged = df.withColumn("__v", value).repartitionByRange(*keys, *[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
+    ranged = cut(ranged, "ranged")
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    group = F.to_json(F.struct(*by)) if by else F.lit("")  # a null key is a key of its own
+    sums = ranged.groupBy(group.alias("__key"), F.col("__part").alias("__p")).agg(F.sum("__v").alias("__t"))
+    parts = Window.partitionBy("__key").orderBy("__p")
+    sums = sums.withColumn("__before", F.sum("__t").over(parts) - F.col("__t")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("__key"))).where("__n > 1")
+    before = F.broadcast(sums.select("__key", "__p", "__before"))
+    out = ranged.withColumn("__in", F.sum("__v").over(inside)).join(before, (group == F.col("__key")) & (F.col("__part") == F.col("__p")), "left")
+    return out.withColumn(name, F.col("__in") + F.coalesce("__before", F.lit(0))).drop("__v", "__part", "__in", "__key", "__p", "__before")
+
 
 def ordinals(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Zero-based rank of each row of a key, and the key's next number in a ring of 100."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("counter", (F.count(F.lit(1)).over(Window.partitionBy(key)) % 100).cast("int"))
+    counts = df.groupBy(F.col(key).alias("__k")).agg((F.count(F.lit(1)) % 100).cast("int").alias("counter"))
+    ranked = running_sum(df, [key], order, F.lit(1).cast("long"), "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
+    return ranked.join(counts, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
 
 
 def next_free_ordinal(used: DataFrame, key: str, ordinal: str, counter: str, ring: int = 100) -> DataFrame:
@@ -23,9 +47,8 @@ def next_free_ordinal(used: DataFrame, key: str, ordinal: str, counter: str, rin
 def sequence_numbers(items: DataFrame, directory: str, order: list[str], skipped: str, width: int, base: int = 0) -> DataFrame:
     """Numbers 1..10^width-1 per directory in order, wrapping; skipped items get none and use none up."""
     top = 10**width - 1
-    w = Window.partitionBy(directory).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    nth = F.sum(F.when(F.col(skipped), 0).otherwise(1)).over(w)
-    return items.withColumn("seq", F.when(~F.col(skipped), (F.pmod(nth + (base - 1), F.lit(top)) + 1).cast("long")))
+    numbered = running_sum(items, [directory], order, F.when(F.col(skipped), 0).otherwise(1).cast("long"), "__nth")
+    return numbered.withColumn("seq", F.when(~F.col(skipped), (F.pmod(F.col("__nth") + (base - 1), F.lit(top)) + 1).cast("long"))).drop("__nth")
 
 
 def collision_suffixes(items: DataFrame, taken: DataFrame) -> DataFrame:
@@ -53,21 +76,15 @@ def collision_suffixes(items: DataFrame, taken: DataFrame) -> DataFrame:
     return items.select("dir", "id", "stem").groupBy("dir").cogroup(taken.select("dir", "stem").groupBy("dir")).applyInPandas(assign, "dir string, id long, final_stem string")
 
 
-def evict(cache: DataFrame, max_bytes: int, *, key: str, size: str, hits: str, last_used: str, pinned: str, buckets: int = 64) -> DataFrame:
-    """Entries to drop, least used first, until the total is at most ``max_bytes``; pinned ones stay.
+def evict(cache: DataFrame, max_bytes: int, *, key: str, size: str, hits: str, last_used: str, pinned: str) -> DataFrame:
+    """Entries to drop, least used first (hits, last use, key), until the total is at most ``max_bytes``; pinned ones stay.
 
-    A running sum over the whole cache without a global sort in one task: entries are ranged into buckets by
-    (hits, last_used, key), sums run within a bucket and over the buckets' totals.
+    Null sizes, hits and times count as 0.
     """
     c = cache.select(key, F.coalesce(F.col(size), F.lit(0)).alias("__b"), F.coalesce(F.col(hits), F.lit(0)).alias("__h"), F.coalesce(F.col(last_used), F.lit(0)).alias("__u"), F.col(pinned).alias("__p"))
     total = c.agg(F.coalesce(F.sum("__b"), F.lit(0))).first()[0]
-    excess = max(0, total - max_bytes)
-    free = c.where("not __p").repartitionByRange(buckets, "__h", "__u", key).withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part").orderBy("__h", "__u", key).rowsBetween(Window.unboundedPreceding, 0)
-    sums = free.groupBy("__part").agg(F.sum("__b").alias("__t"))
-    sums = sums.withColumn("__before", F.sum("__t").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__t")).drop("__t")  # one row a bucket
-    run = free.withColumn("__run", F.sum("__b").over(inside) - F.col("__b")).join(F.broadcast(sums), "__part")
-    return run.withColumn("bytes_before", F.col("__before") + F.col("__run")).where(F.col("bytes_before") < excess).select(key, "bytes_before")
+    run = running_sum(c.where("not __p").drop("__p"), [], ["__h", "__u", key], F.col("__b").cast("long"), "__upto")
+    return run.withColumn("bytes_before", F.col("__upto") - F.col("__b")).where(F.col("bytes_before") < max(0, total - max_bytes)).select(key, "bytes_before")
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: list[float]) -> DataFrame:

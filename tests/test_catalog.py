@@ -111,3 +111,17 @@ def test_collisions_and_eviction(rows):
     kw = dict(key="id", size="b", hits="h", last_used="u", pinned="p")
     assert sorted(r.id for r in ranking.evict(cache, 25, **kw).collect()) == [1, 3]
     assert ranking.evict(cache, 40, **kw).count() == 0
+
+
+def test_running_sum_over_hot_and_null_keys(rows):
+    import random
+
+    rnd = random.Random(3)
+    data = [(rnd.choice(["hot"] * 6 + ["a", "b", None]), i, rnd.randrange(5)) for i in range(500)]
+    rnd.shuffle(data)
+    got = ranking.running_sum(rows(data, "k string, i long, v long"), ["k"], ["i"], F.col("v"), "s").collect()
+    want, sums = {}, {}
+    for k, i, v in sorted(data, key=lambda d: d[1]):
+        sums[k] = sums.get(k, 0) + v
+        want[i] = (k, sums[k])
+    assert {r.i: (r.k, r.s) for r in got} == want
