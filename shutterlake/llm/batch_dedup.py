@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from shutterlake.llm.store import VersionedTable
 from shutterlake.operators.ranges import range_extremes
 from shutterlake.operators.snapshots import usable_identity
-from shutterlake.session import cut, shared_dir
+from shutterlake.session import cut, drop_at_exit, shared_dir
 
 #: Characters in a shingle of a content, and shingles in a winnowing window.
 GRAM, WINDOW = 5, 4
@@ -141,12 +141,10 @@ class BatchDeduplicator:
         self._contents = contents = cut(pool.select(*group).distinct().select(*group, part.alias("part"), _prints("kind", "content").alias("prints")), "prints")
         known = self.filters.read()
         if known is not None:
-            tested = contents.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_test, contents.schema)
-            positives = cut(tested, "positives").withColumnRenamed("prints", "own_prints")
+            positives = contents.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_test, contents.schema).withColumnRenamed("prints", "own_prints")
             covered = F.size(F.array_intersect("prints", "own_prints")) / F.size(F.array_union("prints", "own_prints")) >= 1
             verified = self.store.read().join(positives, [*group, "part"]).where(covered).select(*group, "size", F.struct("id", "run").alias("first"))
-            pool = pool.unionByName(verified).groupBy(*group, "size").agg(F.min("first").alias("first"))
-        pool = cut(pool, "pool")
+            pool = cut(pool.unionByName(verified).groupBy(*group, "size").agg(F.min("first").alias("first")), "pool")
         crowd = pool.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group)
         points = cut(pool.join(crowd, group, "left_semi").withColumnRenamed("size", "at"), "points")
         lo, hi = self.nearness
@@ -169,11 +167,12 @@ class BatchDeduplicator:
 
 def replay(ops: DataFrame, batches: int = 3, path: str | None = None) -> DataFrame:
     """``check`` and ``accept`` over the whole table in ``batches`` parts by run: the duplicates of every run."""
-    spark = ops.sparkSession
+    spark, own = ops.sparkSession, path is None
     span = ops.agg(F.min("run_id"), F.max("run_id"), F.count(F.lit(1))).first()
     if span[0] is None:
         return spark.createDataFrame([], "first_id long, dup_id long")
-    d = BatchDeduplicator(spark, path or shared_dir(spark, "registers"), 2 * span[2])
+    path = path or shared_dir(spark, "registers")
+    d = BatchDeduplicator(spark, path, 2 * span[2])
     cuts = [span[0] + (span[1] + 1 - span[0]) * i // batches for i in range(batches + 1)]
     found = None
     for lo, hi in zip(cuts, cuts[1:]):
@@ -181,4 +180,6 @@ def replay(ops: DataFrame, batches: int = 3, path: str | None = None) -> DataFra
             part = cut(d.check(ops.where((F.col("run_id") >= lo) & (F.col("run_id") < hi))), "dups")
             d.accept()
             found = part if found is None else found.unionByName(part)
+    if own:
+        drop_at_exit(spark, path)
     return found
