@@ -42,7 +42,8 @@ def match_runs(refs: DataFrame, runs: DataFrame, scope: str, key: str) -> DataFr
         refs.select(scope, _bucket(F.col(key)).alias("bucket"), F.col(key).alias("at"), F.lit(1).alias("is_ref"), F.lit(None).cast("long").alias("run_end"))
     )
     return (
-        events.withColumn("reach", F.last("run_end", ignorenulls=True).over(w))
+        events.repartition(scope, "bucket")  # the window must not trust that the union's inputs are partitioned alike
+        .withColumn("reach", F.last("run_end", ignorenulls=True).over(w))
         .where("is_ref = 1")
         .select(scope, F.col("at").alias(key), F.coalesce(F.col("reach") >= F.col("at"), F.lit(False)).alias("in_run"))
     )

@@ -32,6 +32,7 @@ def range_extremes(points: DataFrame, probes: DataFrame, *, group: list[str], at
     rest = q.where("__hb > __lb").select(*g, F.explode(F.sequence(F.col("__lb") + 1, F.col("__hb"))).alias("__b"), "__hb", "__h", "__x")
     heads = rest.select(*g, "__b", F.when(F.col("__b") == F.col("__hb"), F.col("__h")).otherwise(F.lit(_FAR)).alias("__pos"), F.lit(1).alias("__probe"), "__x", *nothing)
     run = lambda order: Window.partitionBy(*group, "__b").orderBy(order, "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    found = [p.unionByName(part).withColumns(ext(run(order))).where("__probe = 1") for part, order in ((ends, F.col("__pos").desc()), (heads, F.col("__pos").asc()))]
+    # The explicit partitioning keeps the window from trusting that the union's inputs are partitioned alike.
+    found = [p.unionByName(part).repartition(*group, "__b").withColumns(ext(run(order))).where("__probe = 1") for part, order in ((ends, F.col("__pos").desc()), (heads, F.col("__pos").asc()))]
     aggs = [F.min(f"__lo_{c}").alias(f"least_{c}") for c in least] + [F.max(f"__hi_{c}").alias(f"most_{c}") for c in most]
     return found[0].unionByName(found[1]).groupBy(*g, F.col("__x").alias(at)).agg(*aggs)

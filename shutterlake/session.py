@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,36 @@ def local_session(app: str = "shutterlake", cpus: str | int = "*", shuffle_parti
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, once a session, unless PYTHONPATH already leads to them."""
+    root, app = Path(__file__).resolve().parent, spark.sparkContext.applicationId
+    on_path = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _shipped or str(root.parent) in on_path:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="shutterlake-")) / "shutterlake_sources.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+#: A union that claims its inputs' partitioning loses rows of a later window or aggregate when adaptive execution
+#: coalesces the inputs differently (seen in Spark 4.1.2), so it is switched off.
+SAFE_SETTINGS = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every query needs of its session."""
+    ship_package(spark)
+    for k, v in SAFE_SETTINGS.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path for one run of an operator, below the folder all executors share.
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.operators.impute import fill_missing
@@ -64,3 +65,21 @@ def test_range_extremes_against_brute_force(spark, rows):
     for r in near.collect():
         seen = [v for (g, x), v in pts.items() if g == r.g and abs(x - r.x) <= 100]
         assert (r.least_v, r.most_v) == (min(seen), max(seen))
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_range_extremes_of_inputs_that_are_partitioned_alike(spark, rows, broadcast):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rnd = random.Random(4)
+        p = rows([(g, x, rnd.randrange(1000)) for g in range(300) for x in rnd.sample(range(1000), 3)], "g int, x long, v long")
+        p = p.join(p.groupBy("g").count().where("count > 1"), "g", "left_semi")
+        near = range_extremes(p, p.select("g", "x"), group=["g"], at="x", lo=F.col("x") - 50, hi=F.col("x") + 50, block=lambda c: F.floor(c / F.lit(50)), least=["v"], most=["v"])
+        data = [tuple(r) for r in p.collect()]
+        got = {(r.g, r.x): (r.least_v, r.most_v) for r in near.collect()}
+        for g, x, _ in data:
+            seen = [v for h, y, v in data if h == g and abs(x - y) <= 50]
+            assert got[g, x] == (min(seen), max(seen))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
