@@ -261,9 +261,7 @@ def kind_counts(spark, root):
 
 @query("""SELECT a.id AS a_id, b.id AS b_id FROM tags a JOIN tags b ON a.id < b.id AND a.created_at = b.created_at AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1 AND length(a.name) >= 4 AND length(b.name) >= 4""")
 def fuzzy_names(spark, root):
-    t = table(spark, root, "tags").select("id", "name", "created_at")
-    a, b = (t.select(F.col("id").alias(f"{x}_id"), F.col("name").alias(f"{x}_name"), "created_at") for x in "ab")
-    return a.join(b, "created_at").where((F.col("a_id") < F.col("b_id")) & p.edit_distance_at_most_one(F.col("a_name"), F.col("b_name"))).select("a_id", "b_id")
+    return l.near_names(table(spark, root, "tags"), key="id", name="name")
 
 
 @query()
