@@ -238,7 +238,7 @@ def path_parts(spark, root):
 
 @query("SELECT register_id, nfc_normalize(regexp_replace(replace(source_path, chr(92), '/'), '([^/])/+', '\\1/', 'g')) AS path FROM registers WHERE NOT starts_with(source_path, chr(92) || chr(92))")
 def path_normalise(spark, root):
-    return table(spark, root, "registers").where(~F.col("source_path").startswith("\\\\")).select("register_id", nfc(p.normalise_path(F.col("source_path"))).alias("path"))
+    return table(spark, root, "registers").select("register_id", nfc(p.normalise_path(F.col("source_path"))).alias("path"))
 
 
 @query("SELECT row_no, nfc_normalize(lower(replace(target_rel, chr(92), '/'))) AS folded FROM new_assets")
