@@ -36,5 +36,5 @@ def stream_debounce(spark, root):
 @query()
 def stream_sessions(spark, root):
     at = shared_dir(spark, "stream-sessions")
-    out = s.drain(s.stream_sessions(_log(spark, root, "events"), user="user_id", at="ts", gap="30 minutes"), f"{at}/rows", f"{at}/log")
+    out = s.drain_ended(spark, _log(spark, root, "events"), lambda log: s.stream_sessions(log, user="user_id", at="ts", gap="30 minutes"), at="ts", work=at)
     return out.select("user_id", F.unix_millis("start_at").alias("start_ms"), F.unix_millis("end_at").alias("end_ms"), "n_events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +83,25 @@ def stream_sessions(log: DataFrame, *, user: str, at: str, gap: str, late: str =
     return s.select(user, "start_at", "end_at", "n_events")
 
 
+#: Time of a closing record: later than any event, so the watermark it sets passes the end of every session.
+CLOSING_TIME = "9999-01-01 00:00:00"
+
+
+def drain_ended(spark: SparkSession, log: DataFrame, build: Callable[[DataFrame], DataFrame], *, at: str, work: str) -> DataFrame:
+    """The table of ``build(log)`` once the log has ended, with what the watermark still held back.
+
+    ``build`` gets the log with a second source below ``work``, which is empty in the first run. The second run goes on
+    from its state and reads a single closing record there, so no event of the log can come after it. What the record
+    itself opens (at ``CLOSING_TIME``, all else null) stays in the state and is not emitted.
+    """
+    record = spark.range(1).select(*[F.lit(CLOSING_TIME if f.name == at else None).cast(f.dataType).alias(f.name) for f in log.schema])
+    record.where("false").write.parquet(f"{work}/end")
+    stream = build(log.unionByName(spark.readStream.schema(log.schema).parquet(f"{work}/end")))
+    drain(stream, f"{work}/rows", f"{work}/log")
+    record.write.mode("append").parquet(f"{work}/end")
+    return drain(stream, f"{work}/rows", f"{work}/log")
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all there is into a table, and read it."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

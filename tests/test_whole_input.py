@@ -27,3 +27,22 @@ def test_path_normalise_of_every_register(spark, rows, tmp_path):
     odd = [(1, None), (2, "\\\\srv\\share\\\\e\u0301\\"), (3, "C:\\")]
     rows(odd, "register_id long, source_path string").write.parquet(f"{tmp_path}/registers.parquet")
     assert dict(tuple(r) for r in Q["path_normalise"](spark, str(tmp_path)).collect()) == {1: None, 2: "//srv/share/\u00e9", 3: "C:/"}
+
+
+def sessions(data, gap):
+    out = []
+    for user in {u for u, _ in data}:
+        run = []
+        for t in sorted(t for u, t in data if u == user):
+            if run and t - run[-1] >= gap:
+                out.append((user, run[0], run[-1], len(run)))
+                run = []
+            run.append(t)
+        out.append((user, run[0], run[-1], len(run)))
+    return sorted(out)
+
+
+def test_stream_sessions_are_all_of_the_batch(spark):
+    data = connect().execute("SELECT user_id, epoch_us(ts) FROM events WHERE ts IS NOT NULL").fetchall()
+    got = sorted((r.user_id, r.start_ms, r.end_ms, r.n_events) for r in Q["stream_sessions"](spark, DATA).collect())
+    assert got == sorted((u, a // 1000, b // 1000, n) for u, a, b, n in sessions(data, 30 * 60_000_000))
