@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions import kernels as k
@@ -60,16 +61,18 @@ def best_source(spark, root):
 
 @query()
 def reconcile_snapshots(spark, root):
-    """Each delivery of a library against its previous one, as a disk listing against catalogue rows."""
+    """Each delivery of a library against the last one delivered before it, as a disk listing against catalogue rows."""
     f = table(spark, root, "rescan_files")
     ident = F.when(usable_identity(F.col("volume_serial"), F.col("file_id")), F.concat_ws(":", F.col("volume_serial").cast("string"), F.hex("file_id")))
     f = f.select("repository_id", "snapshot_no", fold_path("rel_path").alias("key"), F.col("size_bytes").alias("size"), F.col("mtime_ms").alias("mtime"), ident.alias("ident"))
     f = f.distinct().withColumn("id", F.xxhash64("repository_id", "snapshot_no", "key"))
     scope = lambda no: F.concat_ws("#", F.col("repository_id"), no.cast("string"))
-    disk = f.withColumn("scope", scope(F.col("snapshot_no")))
-    db = f.withColumn("scope", scope(F.col("snapshot_no") + 1)).withColumn("missing", F.lit(False))
-    both = disk.select("scope").distinct().join(db.select("scope").distinct(), "scope")
-    out = l.reconcile(disk.join(both, "scope", "left_semi"), db.join(both, "scope", "left_semi"))
+    order = Window.partitionBy("repository_id").orderBy("snapshot_no")
+    deliveries = f.select("repository_id", "snapshot_no").distinct().withColumns({"next_no": F.lead("snapshot_no").over(order), "previous_no": F.lag("snapshot_no").over(order)})
+    f = f.join(deliveries, ["repository_id", "snapshot_no"])
+    disk = f.where("previous_no is not null").withColumn("scope", scope(F.col("snapshot_no")))
+    db = f.where("next_no is not null").withColumn("scope", scope(F.col("next_no"))).withColumn("missing", F.lit(False))
+    out = l.reconcile(disk, db)
     return out.groupBy("scope", "state", "evidence").agg(F.count(F.lit(1)).alias("n"))
 
 

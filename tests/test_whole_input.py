@@ -29,6 +29,14 @@ def test_path_normalise_of_every_register(spark, rows, tmp_path):
     assert dict(tuple(r) for r in Q["path_normalise"](spark, str(tmp_path)).collect()) == {1: None, 2: "//srv/share/\u00e9", 3: "C:/"}
 
 
+def test_reconcile_across_a_skipped_delivery(rows, spark, tmp_path):
+    one = lambda no, lib, path, size: (no, lib, path, size, 0, None, None)
+    data = [one(1, "a", "x", 1), one(1, "a", "y", 1), one(3, "a", "x", 2), one(3, "a", "z", 9), one(4, "a", "x", 2), one(2, "b", "x", 1)]
+    rows(data, "snapshot_no int, repository_id string, rel_path string, size_bytes long, mtime_ms long, volume_serial long, file_id binary").write.parquet(f"{tmp_path}/rescan_files.parquet")
+    got = {(r.scope, r.state, r.n) for r in Q["reconcile_snapshots"](spark, str(tmp_path)).collect()}
+    assert got == {("a#3", "modified", 1), ("a#3", "missing", 1), ("a#3", "new", 1), ("a#4", "unchanged", 1), ("a#4", "missing", 1)}
+
+
 def sessions(data, gap):
     out = []
     for user in {u for u, _ in data}:
