@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterlake.operators.ranges import range_extremes
@@ -34,16 +34,16 @@ class Field:
 CATALOGUE_FIELDS = [Field("width"), Field("height"), Field("taken_at_source", TIME_SOURCES)]
 
 
-def fill_missing(rows: DataFrame, *, key: str, group: str, model: str, time: str, fields: list[Field] = CATALOGUE_FIELDS, window_ms: int = 30 * 60 * 1000) -> DataFrame:
+def fill_missing(rows: DataFrame, *, key: str, group: str, model: str, time: str, fields: list[Field] = CATALOGUE_FIELDS, window_ms: int = 30 * 60 * 1000, agreed_only: bool = False) -> DataFrame:
     """(key, field_name, fill_text, donor_id, level, prediction) for each missing cell that can be filled.
 
     Predictive mean matching with predictors at three levels, the first that has donors holds:
     ``window``: the mean of the field over the group's and model's records within ``window_ms``. If all
     of them agree the prediction is that value, every record with it is a donor at distance 0.
-    ``window_mixed``: they disagree; the donor is of the window's least and greatest value the one nearer
-    to the group's fitted line over time. ``group``, ``model``: no record in the window has the field;
-    the prediction is the group's line, or the model's mean, and the donor has the observed value
-    next to it. The donor's value is copied, never the prediction; ties go to the smaller value, then id.
+    ``window_mixed``: they disagree; the donor is of all the window's values the one nearest to the
+    group's fitted line at the cell's time. ``group``: no record in the window has the field; the prediction is
+    the same line, and the donor has the group's observed value nearest to it. ``model``: the same with the
+    model's mean, where the group has no donor. The donor's value is copied, never the prediction; ties go to the smaller value, then id.
 
     A line through one regressor, time, orders a group's predictions as their times, so the search for nearby
     predictions at window level is a search over time and is exact in milliseconds. Cells of
@@ -74,33 +74,45 @@ def fill_missing(rows: DataFrame, *, key: str, group: str, model: str, time: str
         )
     )
     cells = cells.select("__id", *gmt, pick.alias("c")).select("__id", *gmt, "c.*")
-    return _match(r, cells, fields).select(F.col("__id").alias(key), "field_name", "fill_text", "donor_id", "level", "prediction")
+    if agreed_only:
+        c = cells.where("low.v = high.v").withColumns({"level": F.lit("window"), "d": F.col("low"), "prediction": F.col("low.v").cast("double")})
+        found = _texts(c, fields)
+    else:
+        found = _match(r, cells, fields, window_ms)
+    return found.select(F.col("__id").alias(key), "field_name", "fill_text", "donor_id", "level", "prediction")
 
 
 def agreed_fills(rows: DataFrame, **kw) -> DataFrame:
     """Only the fills at window level, where all donors agree."""
-    return fill_missing(rows, **kw).where("level = 'window'")
+    return fill_missing(rows, **kw, agreed_only=True)
 
 
-def _match(r: DataFrame, cells: DataFrame, fields: list[Field]) -> DataFrame:
+def _match(r: DataFrame, cells: DataFrame, fields: list[Field], window_ms: int) -> DataFrame:
     names = [f.name for f in fields]
+    on = ["__g", "__m", "field"]
     t = F.col("__t").cast("double")
-    obs = r.select("__id", "__g", "__m", t.alias("__t"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("v")) for n in names])).alias("c"))
+    obs = r.select("__id", "__g", "__m", "__t", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("v")) for n in names])).alias("c"))
     obs = obs.select("__id", "__g", "__m", "__t", "c.*").where("v is not null")
     fit = obs.groupBy("__g", "__m", "field").agg(
-        F.avg("v").alias("mean"), F.coalesce(F.regr_slope(F.col("v").cast("double"), F.col("__t")), F.lit(0.0)).alias("slope"), F.avg("__t").alias("t0")
+        F.avg("v").alias("mean"), F.coalesce(F.regr_slope(F.col("v").cast("double"), t), F.lit(0.0)).alias("slope"), F.avg(t).alias("t0")
     )
     values = obs.groupBy("__g", "__m", "field", "v").agg(F.min("__id").alias("donor"), F.count(F.lit(1)).alias("n"))
-    g_best = _nearest(values, fit.select("__g", "__m", "field", "mean"), ["__g", "__m", "field"], "g")
     m_values = values.groupBy("__m", "field", "v").agg(F.min("donor").alias("donor"), F.sum("n").alias("n"))
     m_best = _nearest(m_values, m_values.groupBy("__m", "field").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")), ["__m", "field"], "m")
-    c = cells.join(fit, ["__g", "__m", "field"], "left").join(g_best, ["__g", "__m", "field"], "left").join(m_best, ["__m", "field"], "left")
     line = F.col("mean") + F.col("slope") * (F.col("__t") - F.col("t0"))
     agreed = F.col("low.v") == F.col("high.v")
-    low_nearer = F.abs(F.col("low.v") - line) <= F.abs(F.col("high.v") - line)
-    level = F.when(agreed, "window").when(F.col("low").isNotNull(), "window_mixed").when(F.col("g").isNotNull(), "group").when(F.col("m").isNotNull(), "model")
-    donor = F.when(agreed, F.col("low")).when(F.col("low").isNotNull(), F.when(low_nearer, F.col("low")).otherwise(F.col("high"))).otherwise(F.coalesce("g", "m"))
+    lined = cells.join(fit, on).withColumn("p", line)
+    g_best = _nearest_to_line(values, lined.where("low is null").select(*on, "__t", "p").distinct(), on)
+    w_best = _nearest_in_window(obs, lined.where("low.v <> high.v").select(*on, "__t", "p").distinct(), on, window_ms)
+    c = cells.join(fit, on, "left").join(g_best.unionByName(w_best), [*on, "__t"], "left").join(m_best, ["__m", "field"], "left")
+    level = F.when(agreed, "window").when(F.col("low").isNotNull(), "window_mixed").when(F.col("best").isNotNull(), "group").when(F.col("m").isNotNull(), "model")
+    donor = F.when(agreed, F.col("low")).otherwise(F.coalesce("best", "m"))
     c = c.withColumns({"level": level, "d": donor, "prediction": F.when(agreed, F.col("low.v").cast("double")).otherwise(F.coalesce(line, F.col("m_mean")))}).where("level is not null")
+    return _texts(c, fields)
+
+
+def _texts(c: DataFrame, fields: list[Field]) -> DataFrame:
+    """Cells with their donor ``d`` as text."""
     text = reduce(lambda e, f: e.when(F.col("field") == f.name, f.text(F.col("d.v"))), fields, F.when(F.lit(False), F.lit("")))
     return c.select("__id", F.col("field").alias("field_name"), text.alias("fill_text"), F.col("d.donor").alias("donor_id"), "level", "prediction")
 
@@ -111,3 +123,35 @@ def _nearest(values: DataFrame, means: DataFrame, on: list[str], name: str) -> D
     j = values.join(means, on)
     best = F.min_by(F.struct("v", "donor"), F.struct(F.abs(F.col("v") - F.col(f"{name}_mean")), F.col("v")))
     return j.groupBy(*on).agg(best.alias(name), F.first(f"{name}_mean").alias(f"{name}_mean"))
+
+
+def _nearest_to_line(values: DataFrame, probes: DataFrame, on: list[str]) -> DataFrame:
+    """(on, __t, best) of probes (on, __t, p): of the group's distinct values the one nearest ``p``, the smaller of two.
+
+    The values next to ``p`` from below and above, matched as-of. A window partition holds a group's distinct values and probes.
+    """
+    own = F.struct("v", "donor")
+    x = values.select(*on, F.col("v").cast("double").alias("x"), F.lit(None).cast("long").alias("__t"), own.alias("own"), F.lit(0).alias("probe"))
+    q = probes.select(*on, F.col("p").alias("x"), "__t", F.lit(None).cast(x.schema["own"].dataType).alias("own"), F.lit(1).alias("probe"))
+    last = lambda order: F.last("own", ignorenulls=True).over(Window.partitionBy(*on).orderBy(order, "probe").rowsBetween(Window.unboundedPreceding, 0))
+    # The explicit partitioning keeps the window from trusting that the union's inputs are partitioned alike.
+    u = x.unionByName(q).repartition(*on).withColumns({"below": last(F.col("x").asc()), "above": last(F.col("x").desc())}).where("probe = 1")
+    below_nearer = F.abs(F.col("below.v") - F.col("x")) <= F.abs(F.col("above.v") - F.col("x"))
+    return u.select(*on, "__t", F.when(F.col("above").isNull() | below_nearer, F.col("below")).otherwise(F.col("above")).alias("best"))
+
+
+def _nearest_in_window(obs: DataFrame, probes: DataFrame, on: list[str], window_ms: int) -> DataFrame:
+    """(on, __t, best) of probes (on, __t, p): of the values observed within ``window_ms`` the one nearest ``p``, the smaller of two, by its least id.
+
+    Blocks are as wide as the window reaches, so the window holds the probe's own block, an end of the one before and a start of
+    the one after: the last and first time of each distinct value of a block tell whether it is in. So a probe meets the
+    distinct values of three blocks, not their rows.
+    """
+    block = lambda c: F.floor(c / F.lit(window_ms))
+    spans = obs.groupBy(*on, block(F.col("__t")).alias("b"), "v").agg(F.min("__t").alias("since"), F.max("__t").alias("until"))
+    q = probes.withColumn("b", F.explode(F.sequence(block(F.col("__t")) - 1, block(F.col("__t")) + 1)))
+    near = q.join(spans, [*on, "b"]).where((F.col("until") >= F.col("__t") - window_ms) & (F.col("since") <= F.col("__t") + window_ms))
+    won = near.groupBy(*on, "__t").agg(F.min_by("v", F.struct(F.abs(F.col("v") - F.col("p")), F.col("v"))).alias("v"))
+    points = obs.join(won.select(*on, "v").distinct(), [*on, "v"], "left_semi").groupBy(*on, "v", "__t").agg(F.min("__id").alias("donor"))
+    ids = range_extremes(points, won.select(*on, "v", "__t"), group=[*on, "v"], at="__t", lo=F.col("__t") - window_ms, hi=F.col("__t") + window_ms, block=block, least=["donor"], most=[])
+    return ids.select(*on, "__t", F.struct("v", F.col("least_donor").alias("donor")).alias("best"))
