@@ -90,9 +90,19 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Materialise an intermediate result in the shared folder, until the driver ends."""
+def cut(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
+    """Materialise an intermediate result in the shared folder, until the driver ends or ``discard`` is called on ``held``."""
     path = shared_dir(df.sparkSession, name)
     out = write_table(df, path, "errorifexists")
     drop_at_exit(df.sparkSession, path)
+    if held is not None:
+        held.append(path)
     return out
+
+
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Remove intermediate results that nothing reads any more."""
+    for path in held:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    held.clear()
