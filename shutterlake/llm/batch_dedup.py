@@ -1,35 +1,39 @@
-"""Problem 4: new batches checked for duplicates against everything accepted before.
-
-A record is described by contents: short texts that say what it is (here the file's identity, and its
-name without letter case, Unicode form and copy marks). Winnowing reduces a content to
-fingerprints. Partitioned Bloom filters, one bit set per hash partition of contents, tell which contents
-of a batch may be known; only those are looked up in the fingerprint store, where shared coverage, the
-content itself and the size decide. Filters and store then take in the batch. Neither step reads the history's
-records again: a look-up reads store rows of the positives' partitions.
+"""Problem 4: new batches checked for duplicates and near-duplicates against everything accepted before.
+
+A record is described by contents: short texts that say what it is (here the file's identity, and its name
+without letter case, Unicode form and copy marks). Winnowing reduces a content to fingerprints. A look-up key
+combines several fingerprints of one content, chosen so that any two contents with the wanted coverage (shared
+fingerprints over all of both) have a key in common. Partitioned Bloom filters tell which keys of a batch the
+history may hold; only their partitions of the fingerprint store are read, joined by key, and
+coverage is verified. The batch's own entries are looked up in the same join, as the newest segment. Then store and filters take in
+what is new. The history's records are never read again.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shutterlake.llm.store import VersionedTable
+from shutterlake.llm.store import COLUMNS, FingerprintStore
 from shutterlake.operators.ranges import range_extremes
 from shutterlake.operators.snapshots import usable_identity
-from shutterlake.session import cut, drop_at_exit, shared_dir
+from shutterlake.session import cut, discard, drop_at_exit, shared_dir
 
 #: Characters in a shingle of a content, and shingles in a winnowing window.
 GRAM, WINDOW = 5, 4
-BLOOM_BITS, BLOOM_HASHES = 1 << 20, 4
-#: Contents per filter partition the number of partitions is chosen for.
-PARTITION_CONTENTS = 50_000
+#: Fingerprints a key combines where the coverage wanted is below 1.
+COMBINED = 2
+#: A fingerprint that more than one in so many contents of the first batch have is common, and chosen for keys last.
+COMMON_SHARE = 1000
+#: Coverage from which names count as near-duplicates: one edit in a name of 20 characters leaves about two thirds.
+NEAR_COVERAGE = 0.6
 
 # What operating systems and cameras add to the name of a copy, by place.
 COPY_WORDS = "copy|kopie|copie|copia|cópia|kopia|kopi|kopio|kópia|másolat|копия|副本|复件|コピー|복사본"
@@ -54,10 +58,70 @@ def name_content(path: str | None) -> str | None:
     return stem.strip() + dot + ext or None
 
 
-def winnow(content: str, gram: int = GRAM, window: int = WINDOW) -> list[int]:
-    """Sorted distinct fingerprints: of each window of shingle hashes the least (the last of equal ones)."""
-    grams = [xxhash.xxh3_64_intdigest(content[i : i + gram].encode("utf-8", "surrogatepass")) >> 1 for i in range(max(1, len(content) - gram + 1))]
-    return sorted({min(grams[i : i + window]) for i in range(max(1, len(grams) - window + 1))})
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints(texts: list[str], whole: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, print): the distinct winnowed fingerprints of each text, sorted within it; a text marked ``whole`` has one.
+
+    Of each window of consecutive shingle hashes the least is a fingerprint. Texts shorter than a shingle are filled up with zeros.
+    """
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    chars = np.frombuffer("".join(t.ljust(gram, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    room = np.maximum(lengths, gram)
+    starts = np.concatenate([[0], np.cumsum(room)])[:-1]
+    grams = room - gram + 1
+    owner = np.repeat(np.arange(len(texts)), grams)
+    nth = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams)
+    at = starts[owner] + nth
+    h = np.zeros(len(at), dtype=np.uint64)
+    for k in range(gram):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + chars[at + k] + np.uint64(1))
+    # The union of all shingles of a text marked whole.
+    sums = np.add.reduceat(_mix(h + nth.astype(np.uint64)), np.cumsum(grams) - grams) if len(at) else h
+    least = h.copy()
+    for k in range(1, window):
+        inside = np.flatnonzero(nth + k < grams[owner])
+        least[inside] = np.minimum(least[inside], h[inside + k])
+    opens = nth <= np.maximum(grams[owner] - window, 0)
+    least[whole[owner]] = sums[owner[whole[owner]]]
+    prints, owner = (least[opens] >> np.uint64(1)).astype(np.int64), owner[opens]
+    order = np.lexsort((prints, owner))
+    prints, owner = prints[order], owner[order]
+    fresh = np.r_[True, (prints[1:] != prints[:-1]) | (owner[1:] != owner[:-1])] if len(prints) else np.zeros(0, bool)
+    return owner[fresh], prints[fresh]
+
+
+def winnow(content: str) -> list[int]:
+    """Sorted distinct fingerprints of one content."""
+    return fingerprints([content], np.zeros(1, bool))[1].tolist()
+
+
+def keys_of(prints: list[np.ndarray], space: np.ndarray, coverage: float, common: np.ndarray) -> list[np.ndarray]:
+    """The look-up keys of each content from its sorted distinct fingerprints, in its space (scope and kind).
+
+    Two sets of n and m fingerprints with the coverage share at least o = ceil(coverage * max(n, m)). In one order of
+    all fingerprints (rare ones first) their first n - o + l and m - o + l then share at least l, so the combinations of l
+    of these are keys that meet. With coverage 1 all fingerprints are one key.
+    """
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(prints)
+    sizes = np.array([len(p) for p in prints])
+    for n in np.unique(sizes):
+        i = np.flatnonzero(sizes == n)
+        p = np.stack([prints[k] for k in i])
+        need = n if coverage >= 1 else int(np.ceil(coverage * n - 1e-9))
+        l = n if coverage >= 1 else min(need, COMBINED)
+        if coverage < 1:
+            rare = np.argsort(np.isin(p, common), axis=1, kind="stable")
+            p = np.take_along_axis(p, rare, axis=1)[:, : n - need + l]
+        picks = np.array(list(itertools.combinations(range(p.shape[1]), l)))
+        keys = _mix(_mix(p.astype(np.uint64))[:, picks].sum(axis=2, dtype=np.uint64) + space[i].astype(np.uint64)[:, None]).view(np.int64)
+        for k, row in zip(i, keys):
+            out[k] = np.unique(row)
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -68,7 +132,16 @@ def _names(s: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _prints(kind: pd.Series, content: pd.Series) -> pd.Series:
     """Fingerprints of a name are winnowed; an identity is opaque and has one."""
-    return pd.Series([winnow(c) if k == "name" else [xxhash.xxh3_64_intdigest(c) >> 1] for k, c in zip(kind, content)])
+    owner, prints = fingerprints(content.tolist(), (kind != "name").to_numpy())
+    return pd.Series(np.split(prints, np.flatnonzero(np.diff(owner)) + 1) if len(owner) else [], dtype=object)
+
+
+def _keys(coverage: float, common: np.ndarray):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(prints: pd.Series, space: pd.Series) -> pd.Series:
+        return pd.Series(keys_of([np.asarray(p, dtype=np.int64) for p in prints], space.to_numpy(), coverage, common), dtype=object)
+
+    return run
 
 
 def register_contents(ops: DataFrame) -> DataFrame:
@@ -81,31 +154,6 @@ def register_contents(ops: DataFrame) -> DataFrame:
     return o.select("id", "run", "scope", "size", kinds.alias("k")).select("id", "run", "scope", "size", "k.*").where("content is not null")
 
 
-def _slots(scope: str, kind: str, prints) -> np.ndarray:
-    seed = xxhash.xxh3_64_intdigest(f"{kind}:{scope}")
-    p = np.asarray(prints, dtype=np.uint64)[:, None] ^ np.uint64(seed)
-    h = p * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)[:BLOOM_HASHES]
-    h ^= h >> np.uint64(29)
-    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64).ravel() % BLOOM_BITS
-
-
-def _test(contents: pd.DataFrame, bloom: pd.DataFrame) -> pd.DataFrame:
-    """The contents all of whose fingerprints the partition's filter may hold."""
-    if bloom.empty or contents.empty:
-        return contents.iloc[:0]
-    bits = np.unpackbits(np.frombuffer(bloom.bits.iloc[0], dtype=np.uint8))
-    return contents[[bool(bits[_slots(s, k, p)].all()) for s, k, p in zip(contents.scope, contents.kind, contents.prints)]]
-
-
-def _add(contents: pd.DataFrame, bloom: pd.DataFrame) -> pd.DataFrame:
-    """The partition's filter with the contents' fingerprints."""
-    bits = np.zeros(BLOOM_BITS, dtype=np.uint8) if bloom.empty else np.unpackbits(np.frombuffer(bloom.bits.iloc[0], dtype=np.uint8)).copy()
-    for s, k, p in zip(contents.scope, contents.kind, contents.prints):
-        bits[_slots(s, k, p)] = 1
-    part = (contents if bloom.empty else bloom).part.iloc[0]
-    return pd.DataFrame({"part": [part], "bits": [np.packbits(bits).tobytes()]})
-
-
 def _size_block(size):
     """Blocks of sizes: one size each up to 2,047, then a quarter of a percent."""
     small = 2048
@@ -113,72 +161,114 @@ def _size_block(size):
 
 
 class BatchDeduplicator:
-    """Accepted operations of all batches so far: a fingerprint store and its Bloom filters below ``path``.
+    """Accepted operations of all batches so far, as a fingerprint store with its Bloom filters below ``path``.
 
     ``check(batch)`` gives (first_id, dup_id): operations of the batch for which an earlier run of the same
-    library registered the same source file, with the first such registration. ``accept()`` takes the batch in.
-    A batch may hold several runs; ids must ascend with runs. Two operations are the same file if their sizes
-    differ by at most ``1 - nearness`` of the larger and a content of one kind is equal (shared coverage
-    of fingerprints 1, then the content itself). Rows with a null or negative size, library or run match
-    nothing; null or empty paths and unusable identities are no contents. Repeated rows count once.
-    Both tables are written in versions and switched last, so a lost run leaves the old state.
+    library registered the same source file, with the first such registration: their sizes differ by at
+    most ``1 - nearness`` of the larger and a content of one kind is equal (coverage 1, then the content itself). ``near()`` gives
+    (first_id, dup_id, coverage): pairs of different names of one library with at least ``coverage`` and
+    sizes as near, by the first registration of each name and size (its class); it needs a ``coverage`` below 1.
+    ``accept()`` takes in what the history lacks; ``release()`` gives up what the batch left in the shared folder.
+
+    A batch may hold several runs; ids must ascend with runs. Rows with a null or negative size, library or run
+    match nothing; null or empty paths and unusable identities are no contents. Repeated rows count once. A store
+    remembers its settings; opening it with others raises. Hot contents are one entry a size before
+    anything is sorted, and sizes are matched without listing pairs.
     """
 
-    def __init__(self, spark: SparkSession, path: str, expected_contents: int, nearness: tuple[int, int] = (995, 1000)):
-        self.spark, self.nearness = spark, nearness
-        self.partitions = max(8, -(-expected_contents // PARTITION_CONTENTS))
-        self.store = VersionedTable(spark, f"{path}/store", "scope string, kind string, content string, prints array<bigint>, part int, size bigint, id bigint, run bigint")
-        self.filters = VersionedTable(spark, f"{path}/filters", "part int, bits binary")
-        self._sizes: DataFrame | None = None
-        self._contents: DataFrame | None = None
+    def __init__(self, spark: SparkSession, path: str, coverage: float = 1.0, nearness: tuple[int, int] = (995, 1000)):
+        self.spark, self.nearness, self.coverage = spark, nearness, coverage
+        self.store = FingerprintStore(spark, path, {"gram": GRAM, "window": WINDOW, "combined": COMBINED, "coverage": coverage})
+        self._held: list[str] = []
+
+    def _common(self, prints: DataFrame) -> np.ndarray:
+        """Fingerprints that are frequent in the first batch: at most ``COMMON_SHARE`` times the mean number a content has. They order, they decide nothing."""
+        if self.coverage >= 1:
+            return np.zeros(0, np.int64)
+        if self.store.extra is None:
+            least = max(2, prints.count() // COMMON_SHARE)
+            often = prints.select(F.explode("prints").alias("p")).groupBy("p").count().where(F.col("count") > least)
+            self._extra = sorted(r.p for r in often.collect())
+        else:
+            self._extra = self.store.extra
+        return np.array(self._extra, dtype=np.int64)
 
     def check(self, batch: DataFrame) -> DataFrame:
-        rows = cut(register_contents(batch), "contents")
-        group = ["scope", "kind", "content"]
-        # One row per content and size: the hottest content is as small as the number of its sizes.
-        self._sizes = pool = cut(rows.groupBy(*group, "size").agg(F.min(F.struct("id", "run")).alias("first")), "batch")
-        part = F.pmod(F.xxhash64(*group), F.lit(self.partitions)).cast("int")
-        self._contents = contents = cut(pool.select(*group).distinct().select(*group, part.alias("part"), _prints("kind", "content").alias("prints")), "prints")
-        known = self.filters.read()
-        if known is not None:
-            positives = contents.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_test, contents.schema).withColumnRenamed("prints", "own_prints")
-            covered = F.size(F.array_intersect("prints", "own_prints")) / F.size(F.array_union("prints", "own_prints")) >= 1
-            verified = self.store.read().join(positives, [*group, "part"]).where(covered).select(*group, "size", F.struct("id", "run").alias("first"))
-            pool = cut(pool.unionByName(verified).groupBy(*group, "size").agg(F.min("first").alias("first")), "pool")
-        crowd = pool.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*group)
-        points = cut(pool.join(crowd, group, "left_semi").withColumnRenamed("size", "at"), "points")
+        self.release()
+        held, who = self._held, ["c1", "c2"]
+        rows = register_contents(batch)
+        what = ["scope", "kind", "content"]
+        rows = cut(rows.withColumns({"c1": F.xxhash64(*what), "c2": F.xxhash64(F.lit(1), *what)}), "contents", held)
+        classes = rows.groupBy(*who, *what, "size").agg(F.min(F.struct("id", "run")).alias("first")).withColumn("prints", _prints("kind", "content"))
+        if self.coverage < 1:
+            classes = cut(classes, "prints", held)
+        keys = _keys(self.coverage, self._common(classes))("prints", F.xxhash64("scope", "kind"))
+        self._entries = entries = cut(classes.select(*who, *what, "prints", "size", "first.id", "first.run", F.explode(keys).alias("key")).select(*COLUMNS), "entries", held)
+        own = entries.groupBy("key", *who).agg(F.first("prints").alias("own_prints"), F.first("content").alias("own_content")).withColumnsRenamed({"c1": "o1", "c2": "o2"})
+        asked = entries.select("key").distinct()
+        chosen = self.store.positives(asked, asked.count()) if self.store.segments else {}
+        known = self.store.read(chosen)
+        self._looked = looked = entries.withColumn("old", F.lit(False)) if known is None else entries.withColumn("old", F.lit(False)).unionByName(known.withColumn("old", F.lit(True)))
+        same = looked.join(own, "key").where(_covered("prints", "own_prints") >= 1).where("content = own_content")
+        # One row a content and size of what batch and history have of the batch's contents.
+        self._pool = pool = cut(same.groupBy(*who, "size").agg(F.min(F.struct("id", "run")).alias("first"), F.max("old").alias("old")), "pool", held)
+        crowd = pool.groupBy(*who).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*who)
+        points = cut(pool.join(crowd, who, "left_semi").select(*who, F.col("size").alias("at"), "first"), "points", held)
         lo, hi = self.nearness
         near = range_extremes(
-            points, points, group=group, at="at", lo=F.expr(f"(at * {lo} + {hi - 1}) div {hi}"), hi=F.expr(f"(at * {hi}) div {lo}"), block=_size_block, least=["first"], most=[]
+            points, points, group=who, at="at", lo=F.expr(f"(at * {lo} + {hi - 1}) div {hi}"), hi=F.expr(f"(at * {hi}) div {lo}"), block=_size_block, least=["first"], most=[]
         )
-        nearest = pool.withColumnRenamed("size", "at").join(near, [*group, "at"], "left").select(*group, F.col("at").alias("size"), F.coalesce("least_first", "first").alias("first"))
-        matched = rows.join(nearest, [*group, "size"]).where("first.run < run")
+        nearest = pool.withColumnRenamed("size", "at").join(near, [*who, "at"], "left").select(*who, F.col("at").alias("size"), F.coalesce("least_first", "first").alias("first"))
+        matched = rows.select("id", "run", *who, "size").join(nearest, [*who, "size"]).where("first.run < run")
         return matched.groupBy(F.col("id").alias("dup_id")).agg(F.min("first.id").alias("first_id")).select("first_id", "dup_id")
 
+    def near(self) -> DataFrame:
+        """Near-duplicates of the batch last checked; each pair of classes is listed with the batch that brings the later one."""
+        if self.coverage >= 1:
+            raise ValueError("a coverage of 1 has no near-duplicates")
+        lo, hi = self.nearness
+        fresh = self._fresh().where("kind = 'name'").select("key", *[F.col(c).alias(f"o_{c}") for c in COLUMNS if c != "key"])
+        a, b = F.col("size"), F.col("o_size")
+        close = F.least(a, b) * hi >= F.greatest(a, b) * lo
+        other = (F.col("run") < F.col("o_run")) & ((F.col("c1") != F.col("o_c1")) | (F.col("c2") != F.col("o_c2")))
+        pairs = self._looked.join(fresh, "key").where(other & close).where("scope = o_scope and kind = o_kind")
+        pairs = pairs.select(F.col("id").alias("first_id"), F.col("o_id").alias("dup_id"), F.round(_covered("prints", "o_prints"), 6).alias("coverage"))
+        return pairs.where(F.col("coverage") >= self.coverage).distinct()
+
+    def _fresh(self) -> DataFrame:
+        """Entries of the batch that the history lacks."""
+        return self._entries.join(self._pool.where("not old").select("c1", "c2", "size"), ["c1", "c2", "size"], "left_semi").select(*COLUMNS)
+
     def accept(self) -> None:
-        """Take the batch last checked into store and filters."""
-        known = self.filters.read()
-        if known is None:
-            known = self.spark.createDataFrame([], "part int, bits binary")
-        self.filters.replace(self._contents.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(_add, "part int, bits binary"))
-        rows = self._sizes.join(self._contents, ["scope", "kind", "content"])
-        self.store.append(rows.select("scope", "kind", "content", "prints", "part", "size", "first.id", "first.run"))
+        """Take what is new of the batch last checked into store and filters."""
+        fresh = cut(self._fresh(), "fresh", self._held)
+        self.store.append(fresh, fresh.count(), self._extra if self.coverage < 1 and self.store.extra is None else None)
+
+    def release(self) -> None:
+        """Give up the batch's intermediate tables; what ``check`` and ``near`` returned must have been read."""
+        discard(self.spark, self._held)
+
+
+def _covered(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
-def replay(ops: DataFrame, batches: int = 3, path: str | None = None) -> DataFrame:
-    """``check`` and ``accept`` over the whole table in ``batches`` parts by run: the duplicates of every run."""
+def replay(ops: DataFrame, batches: int = 3, path: str | None = None, coverage: float = 1.0) -> DataFrame:
+    """``check`` (with a ``coverage`` below 1: ``near``) and ``accept`` over the whole table in ``batches`` parts by run: the result of every run."""
     spark, own = ops.sparkSession, path is None
-    span = ops.agg(F.min("run_id"), F.max("run_id"), F.count(F.lit(1))).first()
+    span = ops.agg(F.min("run_id"), F.max("run_id")).first()
     if span[0] is None:
-        return spark.createDataFrame([], "first_id long, dup_id long")
+        return spark.createDataFrame([], "first_id long, dup_id long" + ("" if coverage >= 1 else ", coverage double"))
     path = path or shared_dir(spark, "registers")
-    d = BatchDeduplicator(spark, path, 2 * span[2])
+    d = BatchDeduplicator(spark, path, coverage)
     cuts = [span[0] + (span[1] + 1 - span[0]) * i // batches for i in range(batches + 1)]
     found = None
     for lo, hi in zip(cuts, cuts[1:]):
         if lo < hi:
-            part = cut(d.check(ops.where((F.col("run_id") >= lo) & (F.col("run_id") < hi))), "dups")
+            dups = d.check(ops.where((F.col("run_id") >= lo) & (F.col("run_id") < hi)))
+            part = cut(dups if coverage >= 1 else d.near(), "dups")
             d.accept()
+            d.release()
             found = part if found is None else found.unionByName(part)
     if own:
         drop_at_exit(spark, path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm.batch_dedup import replay
+from shutterlake.llm.batch_dedup import NEAR_COVERAGE, replay
 from shutterlake.llm.lookalikes import canonical_names, lookalike_pairs
 from shutterlake.llm.mixing import mix, share_report
 from shutterlake.llm.packing import pack_documents, packing_report
@@ -21,6 +21,11 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return replay(table(spark, root, "registers"))
 
 
+def p4_near(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of different names, by the first registration of each name and size; equal names and sizes are one class."""
+    return replay(table(spark, root, "registers"), coverage=NEAR_COVERAGE)
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike_pairs(table(spark, root, "tags"), key="id", name="name")
 
@@ -57,4 +62,4 @@ def p10_shares(spark: SparkSession, root: str) -> DataFrame:
     return shared_share(table(spark, root, "documents"), key="doc_id", text="text", length=SPAN_CHARS)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_found, p7_folded, p8_packed, p8_report, p9_mixture, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_near, p7_found, p7_folded, p8_packed, p8_report, p9_mixture, p9_shares, p10_found, p10_shares)}
