@@ -145,13 +145,17 @@ def _keys(coverage: float, common: np.ndarray):
 
 
 def register_contents(ops: DataFrame) -> DataFrame:
-    """(id, run, scope, size, kind, content): up to two contents of each operation of known size."""
+    """(id, run, size, space, c1, c2, prints): up to two contents of each operation of known size, by digest and fingerprints.
+
+    The digest (128 bits) is that of library, kind and content; ``space`` is that of library and kind.
+    """
     o = ops.where("size_bytes >= 0 and repository_id is not null and run_id is not null").select(
         F.col("register_id").alias("id"), F.col("run_id").alias("run"), F.col("repository_id").alias("scope"), F.col("size_bytes").cast("long").alias("size"), _names("source_path").alias("name"),
         F.when(usable_identity(F.col("source_volume_serial"), F.col("source_file_id")), F.concat_ws(":", F.col("source_volume_serial").cast("string"), F.hex("source_file_id"))).alias("identity"),
     )
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("content")) for k in ("name", "identity")]))
-    return o.select("id", "run", "scope", "size", kinds.alias("k")).select("id", "run", "scope", "size", "k.*").where("content is not null")
+    kinds = F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("content"))) for k in ("name", "identity")])))
+    o, what = o.select("id", "run", "scope", "size", kinds.alias("k")).select("id", "run", "scope", "size", "k.*"), ["scope", "kind", "content"]
+    return o.select("id", "run", "size", F.xxhash64("scope", "kind").alias("space"), F.xxhash64(*what).alias("c1"), F.xxhash64(F.lit(1), *what).alias("c2"), _prints("kind", "content").alias("prints"))
 
 
 def _size_block(size):
@@ -165,7 +169,7 @@ class BatchDeduplicator:
 
     ``check(batch)`` gives (first_id, dup_id): operations of the batch for which an earlier run of the same
     library registered the same source file, with the first such registration: their sizes differ by at
-    most ``1 - nearness`` of the larger and a content of one kind is equal (coverage 1, then the content itself). ``near()`` gives
+    most ``1 - nearness`` of the larger and a content of one kind is equal (coverage 1 and the same digest). ``near()`` gives
     (first_id, dup_id, coverage): pairs of different names of one library with at least ``coverage`` and
     sizes as near, by the first registration of each name and size (its class); it needs a ``coverage`` below 1.
     ``accept()`` takes in what the history lacks; ``release()`` gives up what the batch left in the shared folder.
@@ -196,22 +200,21 @@ class BatchDeduplicator:
     def check(self, batch: DataFrame) -> DataFrame:
         self.release()
         held, who = self._held, ["c1", "c2"]
-        rows = register_contents(batch)
-        what = ["scope", "kind", "content"]
-        rows = cut(rows.withColumns({"c1": F.xxhash64(*what), "c2": F.xxhash64(F.lit(1), *what)}), "contents", held)
-        classes = rows.groupBy(*who, *what, "size").agg(F.min(F.struct("id", "run")).alias("first")).withColumn("prints", _prints("kind", "content"))
-        if self.coverage < 1:
-            classes = cut(classes, "prints", held)
-        keys = _keys(self.coverage, self._common(classes))("prints", F.xxhash64("scope", "kind"))
-        self._entries = entries = cut(classes.select(*who, *what, "prints", "size", "first.id", "first.run", F.explode(keys).alias("key")).select(*COLUMNS), "entries", held)
-        own = entries.groupBy("key", *who).agg(F.first("prints").alias("own_prints"), F.first("content").alias("own_content")).withColumnsRenamed({"c1": "o1", "c2": "o2"})
+        rows = cut(register_contents(batch), "contents", held)
+        keys = _keys(self.coverage, self._common(rows))("prints", "space")
+        # One row a content and size, before anything is sorted. Ids ascend with runs, so the least of both belong together.
+        classes = rows.groupBy(*who, "prints", "space", "size").agg(F.min("id").alias("id"), F.min("run").alias("run"))
+        self._entries = entries = cut(classes.select(F.explode(keys).alias("key"), *COLUMNS[1:]), "entries", held)
         asked = entries.select("key").distinct()
-        chosen = self.store.positives(asked, asked.count()) if self.store.segments else {}
-        known = self.store.read(chosen)
-        self._looked = looked = entries.withColumn("old", F.lit(False)) if known is None else entries.withColumn("old", F.lit(False)).unionByName(known.withColumn("old", F.lit(True)))
-        same = looked.join(own, "key").where(_covered("prints", "own_prints") >= 1).where("content = own_content")
-        # One row a content and size of what batch and history have of the batch's contents.
-        self._pool = pool = cut(same.groupBy(*who, "size").agg(F.min(F.struct("id", "run")).alias("first"), F.max("old").alias("old")), "pool", held)
+        known = self.store.read(self.store.positives(asked, rows.count()) if self.store.segments else {})
+        self._looked = pool = entries.withColumn("old", F.lit(False))
+        if known is not None:
+            self._looked = entries.withColumn("old", F.lit(False)).unionByName(known.withColumn("old", F.lit(True)))
+            # Coverage 1 is equality of the sorted sets of fingerprints; the digest decides what they leave open.
+            same = ["key", "prints", *who]
+            pool = pool.unionByName(known.join(entries.select(*same).distinct(), same, "left_semi").withColumn("old", F.lit(True)))
+        self._pool = pool = cut(pool.groupBy(*who, "prints", "size").agg(F.min("id").alias("id"), F.min("run").alias("run"), F.max("old").alias("old")), "pool", held)
+        pool = pool.select(*who, "size", F.struct("id", "run").alias("first"))
         crowd = pool.groupBy(*who).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*who)
         points = cut(pool.join(crowd, who, "left_semi").select(*who, F.col("size").alias("at"), "first"), "points", held)
         lo, hi = self.nearness
@@ -227,11 +230,11 @@ class BatchDeduplicator:
         if self.coverage >= 1:
             raise ValueError("a coverage of 1 has no near-duplicates")
         lo, hi = self.nearness
-        fresh = self._fresh().where("kind = 'name'").select("key", *[F.col(c).alias(f"o_{c}") for c in COLUMNS if c != "key"])
+        fresh = self._fresh().select("key", *[F.col(c).alias(f"o_{c}") for c in COLUMNS if c != "key"])
         a, b = F.col("size"), F.col("o_size")
         close = F.least(a, b) * hi >= F.greatest(a, b) * lo
         other = (F.col("run") < F.col("o_run")) & ((F.col("c1") != F.col("o_c1")) | (F.col("c2") != F.col("o_c2")))
-        pairs = self._looked.join(fresh, "key").where(other & close).where("scope = o_scope and kind = o_kind")
+        pairs = self._looked.join(fresh, "key").where(other & close)
         pairs = pairs.select(F.col("id").alias("first_id"), F.col("o_id").alias("dup_id"), F.round(_covered("prints", "o_prints"), 6).alias("coverage"))
         return pairs.where(F.col("coverage") >= self.coverage).distinct()
 
@@ -241,8 +244,13 @@ class BatchDeduplicator:
 
     def accept(self) -> None:
         """Take what is new of the batch last checked into store and filters."""
-        fresh = cut(self._fresh(), "fresh", self._held)
-        self.store.append(fresh, fresh.count(), self._extra if self.coverage < 1 and self.store.extra is None else None)
+        fresh = self._fresh()
+        if self.coverage >= 1:
+            n = self._pool.where("not old").count()  # one key a content
+        else:
+            fresh = cut(fresh, "fresh", self._held)
+            n = fresh.count()
+        self.store.append(fresh, n, self._extra if self.coverage < 1 and self.store.extra is None else None)
 
     def release(self) -> None:
         """Give up the batch's intermediate tables; what ``check`` and ``near`` returned must have been read."""

@@ -23,7 +23,8 @@ PARTITION_ENTRIES, BITS_PER_KEY, HASHES, FANOUT = 50_000, 16, 6, 4
 #: Keys one task asks one filter about.
 PROBE_KEYS = 500_000
 
-ENTRY = "key bigint, scope string, kind string, content string, prints array<bigint>, c1 bigint, c2 bigint, size bigint, id bigint, run bigint"
+#: ``c1`` and ``c2`` are a digest of the content; the text itself is not kept.
+ENTRY = "key bigint, prints array<bigint>, c1 bigint, c2 bigint, size bigint, id bigint, run bigint"
 COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
 _FILTER = "part int, bits binary"
 
