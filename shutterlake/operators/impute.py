@@ -34,52 +34,37 @@ class Field:
 CATALOGUE_FIELDS = [Field("width"), Field("height"), Field("taken_at_source", TIME_SOURCES)]
 
 
+#: Predictions are rounded to this many decimals, so that they are the same however sums are ordered.
+DECIMALS = 3
+
+
 def fill_missing(rows: DataFrame, *, key: str, group: str, model: str, time: str, fields: list[Field] = CATALOGUE_FIELDS, window_ms: int = 30 * 60 * 1000, agreed_only: bool = False) -> DataFrame:
-    """(key, field_name, fill_text, donor_id, level, prediction) for each missing cell that can be filled.
-
-    Predictive mean matching with predictors at three levels, the first that has donors holds:
-    ``window``: the mean of the field over the group's and model's records within ``window_ms``. If all
-    of them agree the prediction is that value, every record with it is a donor at distance 0.
-    ``window_mixed``: they disagree; the donor is of all the window's values the one nearest to the
-    group's fitted line at the cell's time. ``group``: no record in the window has the field; the prediction is
-    the same line, and the donor has the group's observed value nearest to it. ``model``: the same with the
-    model's mean, where the group has no donor. The donor's value is copied, never the prediction; ties go to the smaller value, then id.
-
-    A line through one regressor, time, orders a group's predictions as their times, so the search for nearby
-    predictions at window level is a search over time and is exact in milliseconds. Cells of
-    records without group, model or time are left alone. Repeated rows count once per cell.
-    Records of one group, model and instant are one point before anything is sorted.
+    """(key, field_name, fill_text, donor_id, level, prediction, distance) for each missing cell that can be filled.
+
+    Predictive mean matching. A predictor is fitted for each group, model and field: for numbers a line over time, for
+    fields with levels the level seen most. Each missing cell gets its prediction; among its donors the observed value nearest
+    to the prediction is copied, never the prediction itself, with the id of a record that has it. Donors are searched at
+    three levels, the first that has any holds. ``window``: the group's and model's records within ``window_ms``; it is called
+    ``window_mixed`` if they hold several values. ``group``: all records of group and model. ``model``: all records of the
+    model in any group, by a prediction fitted there, where the group has no observed value. Ties go to the smaller value, then id.
+    Cells of records without group, model or time are left alone; repeated rows count once per cell; an empty table
+    gives none. Only the named columns are read.
     """
     r = rows.select(F.col(key).alias("__id"), F.col(group).alias("__g"), F.col(model).alias("__m"), F.col(time).cast("long").alias("__t"), *[f.code().alias(f.name) for f in fields])
     r = r.where("__g is not null and __m is not null and __t is not null")
-    names = [f.name for f in fields]
-    gmt = ["__g", "__m", "__t"]
-    with_donor = lambda n, agg: agg(F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("v"), F.col("__id").alias("donor"))))
-    any_of = lambda cond: reduce(lambda a, b: a | b, map(cond, names))
-    grouped = r.groupBy(*gmt).agg(
-        *[with_donor(n, F.min).alias(f"min_{n}") for n in names],
-        *[with_donor(n, F.max).alias(f"max_{n}") for n in names],
-        any_of(lambda n: F.max(F.col(n).isNull())).alias("__lacks"),
-    )
-    points = grouped.where(any_of(lambda n: F.col(f"min_{n}").isNotNull())).drop("__lacks")
-    probes = grouped.where("__lacks").select(*gmt)
-    near = range_extremes(
-        points, probes, group=["__g", "__m"], at="__t", lo=F.col("__t") - window_ms, hi=F.col("__t") + window_ms,
-        block=lambda c: F.floor(c / F.lit(window_ms)), least=[f"min_{n}" for n in names], most=[f"max_{n}" for n in names],
-    )
-    cells = r.where(any_of(lambda n: F.col(n).isNull())).distinct().join(near, gmt, "left")
-    pick = F.explode(
-        F.array_compact(
-            F.array(*[F.when(F.col(n).isNull(), F.struct(F.lit(n).alias("field"), F.col(f"least_min_{n}").alias("low"), F.col(f"most_max_{n}").alias("high"))) for n in names])
-        )
-    )
-    cells = cells.select("__id", *gmt, pick.alias("c")).select("__id", *gmt, "c.*")
-    if agreed_only:
-        c = cells.where("low.v = high.v").withColumns({"level": F.lit("window"), "d": F.col("low"), "prediction": F.col("low.v").cast("double")})
-        found = _texts(c, fields)
-    else:
-        found = _match(r, cells, fields, window_ms)
-    return found.select(F.col("__id").alias(key), "field_name", "fill_text", "donor_id", "level", "prediction")
+    each = lambda c: F.explode(F.array_compact(F.array(*[c(f.name) for f in fields])))
+    at = ["__id", "__g", "__m", "__t"]
+    obs = r.select(*at, each(lambda n: F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("field"), F.col(n).alias("v")))).alias("c")).select(*at, "c.*")
+    cells = r.select(*at, each(lambda n: F.when(F.col(n).isNull(), F.lit(n))).alias("field")).distinct()
+    on = ["__g", "__m", "field"]
+    predicted = cells.join(_fit(obs, on, fields), on, "left").withColumn("p", _prediction(fields)).select(*at, "field", "p", "least", "most")
+    found = _in_window(obs, predicted, on, window_ms)
+    c = found.where("best is not null" + (" and low = high" if agreed_only else "")).withColumn("level", F.when(F.col("low") == F.col("high"), "window").otherwise("window_mixed"))
+    if not agreed_only:
+        rest = found.where("best is null")
+        c = c.unionByName(_in_group(obs, rest.where("p is not null"), on)).unionByName(_in_model(obs, rest.where("p is null"), fields))
+    text = reduce(lambda e, f: e.when(F.col("field") == f.name, f.text(F.col("best.v"))), fields, F.when(F.lit(False), F.lit("")))
+    return c.select(F.col("__id").alias(key), F.col("field").alias("field_name"), text.alias("fill_text"), F.col("best.donor").alias("donor_id"), "level", F.col("p").alias("prediction"), F.col("best.d").alias("distance"))
 
 
 def agreed_fills(rows: DataFrame, **kw) -> DataFrame:
@@ -87,71 +72,72 @@ def agreed_fills(rows: DataFrame, **kw) -> DataFrame:
     return fill_missing(rows, **kw, agreed_only=True)
 
 
-def _match(r: DataFrame, cells: DataFrame, fields: list[Field], window_ms: int) -> DataFrame:
-    names = [f.name for f in fields]
-    on = ["__g", "__m", "field"]
-    t = F.col("__t").cast("double")
-    obs = r.select("__id", "__g", "__m", "__t", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("v")) for n in names])).alias("c"))
-    obs = obs.select("__id", "__g", "__m", "__t", "c.*").where("v is not null")
-    fit = obs.groupBy("__g", "__m", "field").agg(
-        F.avg("v").alias("mean"), F.coalesce(F.regr_slope(F.col("v").cast("double"), t), F.lit(0.0)).alias("slope"), F.avg(t).alias("t0")
-    )
-    values = obs.groupBy("__g", "__m", "field", "v").agg(F.min("__id").alias("donor"), F.count(F.lit(1)).alias("n"))
-    m_values = values.groupBy("__m", "field", "v").agg(F.min("donor").alias("donor"), F.sum("n").alias("n"))
-    m_best = _nearest(m_values, m_values.groupBy("__m", "field").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean")), ["__m", "field"], "m")
-    line = F.col("mean") + F.col("slope") * (F.col("__t") - F.col("t0"))
-    agreed = F.col("low.v") == F.col("high.v")
-    lined = cells.join(fit, on).withColumn("p", line)
-    g_best = _nearest_to_line(values, lined.where("low is null").select(*on, "__t", "p").distinct(), on)
-    w_best = _nearest_in_window(obs, lined.where("low.v <> high.v").select(*on, "__t", "p").distinct(), on, window_ms)
-    c = cells.join(fit, on, "left").join(g_best.unionByName(w_best), [*on, "__t"], "left").join(m_best, ["__m", "field"], "left")
-    level = F.when(agreed, "window").when(F.col("low").isNotNull(), "window_mixed").when(F.col("best").isNotNull(), "group").when(F.col("m").isNotNull(), "model")
-    donor = F.when(agreed, F.col("low")).otherwise(F.coalesce("best", "m"))
-    c = c.withColumns({"level": level, "d": donor, "prediction": F.when(agreed, F.col("low.v").cast("double")).otherwise(F.coalesce(line, F.col("m_mean")))}).where("level is not null")
-    return _texts(c, fields)
-
-
-def _texts(c: DataFrame, fields: list[Field]) -> DataFrame:
-    """Cells with their donor ``d`` as text."""
-    text = reduce(lambda e, f: e.when(F.col("field") == f.name, f.text(F.col("d.v"))), fields, F.when(F.lit(False), F.lit("")))
-    return c.select("__id", F.col("field").alias("field_name"), text.alias("fill_text"), F.col("d.donor").alias("donor_id"), "level", "prediction")
-
-
-def _nearest(values: DataFrame, means: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Of each group's distinct observed values the one nearest its predicted mean: one partial aggregation."""
-    means = means.withColumnRenamed("mean", f"{name}_mean")
-    j = values.join(means, on)
-    best = F.min_by(F.struct("v", "donor"), F.struct(F.abs(F.col("v") - F.col(f"{name}_mean")), F.col("v")))
-    return j.groupBy(*on).agg(best.alias(name), F.first(f"{name}_mean").alias(f"{name}_mean"))
-
-
-def _nearest_to_line(values: DataFrame, probes: DataFrame, on: list[str]) -> DataFrame:
-    """(on, __t, best) of probes (on, __t, p): of the group's distinct values the one nearest ``p``, the smaller of two.
-
-    The values next to ``p`` from below and above, matched as-of. A window partition holds a group's distinct values and probes.
-    """
-    own = F.struct("v", "donor")
-    x = values.select(*on, F.col("v").cast("double").alias("x"), F.lit(None).cast("long").alias("__t"), own.alias("own"), F.lit(0).alias("probe"))
-    q = probes.select(*on, F.col("p").alias("x"), "__t", F.lit(None).cast(x.schema["own"].dataType).alias("own"), F.lit(1).alias("probe"))
-    last = lambda order: F.last("own", ignorenulls=True).over(Window.partitionBy(*on).orderBy(order, "probe").rowsBetween(Window.unboundedPreceding, 0))
-    # The explicit partitioning keeps the window from trusting that the union's inputs are partitioned alike.
-    u = x.unionByName(q).repartition(*on).withColumns({"below": last(F.col("x").asc()), "above": last(F.col("x").desc())}).where("probe = 1")
-    below_nearer = F.abs(F.col("below.v") - F.col("x")) <= F.abs(F.col("above.v") - F.col("x"))
-    return u.select(*on, "__t", F.when(F.col("above").isNull() | below_nearer, F.col("below")).otherwise(F.col("above")).alias("best"))
+def _fit(obs: DataFrame, on: list[str], fields: list[Field]) -> DataFrame:
+    """The predictor of each group: mean, slope and centre of a line over time, the most frequent level, and the ends of the observed values."""
+    t, v = F.col("__t").cast("double"), F.col("v").cast("double")
+    levelled = F.col("field").isin([f.name for f in fields if f.levels is not None])
+    return obs.groupBy(*on).agg(
+        F.avg("v").alias("mean"), F.coalesce(F.regr_slope(v, t), F.lit(0.0)).alias("slope"), F.avg(t).alias("t0"),
+        F.mode(F.when(levelled, F.col("v")), True).alias("mode"), F.min("v").alias("least"), F.max("v").alias("most"),
+    )
+
 
+def _prediction(fields: list[Field], over_time: bool = True) -> Column:
+    levelled = F.col("field").isin([f.name for f in fields if f.levels is not None])
+    line = F.col("mean") + F.col("slope") * (F.col("__t") - F.col("t0")) if over_time else F.col("mean")
+    return F.when(levelled, F.col("mode").cast("double")).otherwise(F.round(line, DECIMALS))
 
-def _nearest_in_window(obs: DataFrame, probes: DataFrame, on: list[str], window_ms: int) -> DataFrame:
-    """(on, __t, best) of probes (on, __t, p): of the values observed within ``window_ms`` the one nearest ``p``, the smaller of two, by its least id.
 
-    Blocks are as wide as the window reaches, so the window holds the probe's own block, an end of the one before and a start of
-    the one after: the last and first time of each distinct value of a block tell whether it is in. So a probe meets the
-    distinct values of three blocks, not their rows.
+def _in_window(obs: DataFrame, cells: DataFrame, on: list[str], window_ms: int) -> DataFrame:
+    """``cells`` with the nearest donor of their window, and the least and greatest value there; null where the window has none.
+
+    Blocks are as wide as the window reaches, so it holds the cell's own block, an end of the one before and a start of the one
+    after: the last and first time of each distinct value of a block tell whether it is in. So a cell meets the distinct
+    values of three blocks, not their rows. Of the value found, the least id in the window is the donor.
     """
     block = lambda c: F.floor(c / F.lit(window_ms))
-    spans = obs.groupBy(*on, block(F.col("__t")).alias("b"), "v").agg(F.min("__t").alias("since"), F.max("__t").alias("until"))
-    q = probes.withColumn("b", F.explode(F.sequence(block(F.col("__t")) - 1, block(F.col("__t")) + 1)))
-    near = q.join(spans, [*on, "b"]).where((F.col("until") >= F.col("__t") - window_ms) & (F.col("since") <= F.col("__t") + window_ms))
-    won = near.groupBy(*on, "__t").agg(F.min_by("v", F.struct(F.abs(F.col("v") - F.col("p")), F.col("v"))).alias("v"))
+    spans = obs.groupBy(*[F.col(c).alias(f"s_{c}") for c in on], block(F.col("__t")).alias("s_b"), "v").agg(F.min("__t").alias("since"), F.max("__t").alias("until"))
+    q = cells.withColumn("b", F.explode(F.sequence(block(F.col("__t")) - 1, block(F.col("__t")) + 1)))
+    here = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"s_{c}") for c in [*on, "b"]])
+    near = q.join(spans, here & (F.col("until") >= F.col("__t") - window_ms) & (F.col("since") <= F.col("__t") + window_ms), "left")
+    nearest = F.min(F.when(F.col("v").isNotNull(), F.struct(F.abs(F.col("v") - F.col("p")).alias("d"), "v")))
+    found = near.groupBy("__id", "__t", *on, "p", "least", "most").agg(nearest.alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    found = found.select("*", "n.d", "n.v").drop("n")
+    won = found.where("v is not null").select(*on, "v", "__t").distinct()
     points = obs.join(won.select(*on, "v").distinct(), [*on, "v"], "left_semi").groupBy(*on, "v", "__t").agg(F.min("__id").alias("donor"))
-    ids = range_extremes(points, won.select(*on, "v", "__t"), group=[*on, "v"], at="__t", lo=F.col("__t") - window_ms, hi=F.col("__t") + window_ms, block=block, least=["donor"], most=[])
-    return ids.select(*on, "__t", F.struct("v", F.col("least_donor").alias("donor")).alias("best"))
+    ids = range_extremes(points, won, group=[*on, "v"], at="__t", lo=F.col("__t") - window_ms, hi=F.col("__t") + window_ms, block=block, least=["donor"], most=[])
+    return found.join(ids, [*on, "v", "__t"], "left").withColumn("best", F.when(F.col("v").isNotNull(), F.struct("d", "v", F.col("least_donor").alias("donor")))).drop("d", "v", "least_donor")
+
+
+_COLUMNS = ["__id", "__t", "__g", "__m", "field", "p", "least", "most", "best", "low", "high", "level"]
+
+
+def _in_group(obs: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
+    """``cells`` with the value of their group nearest the prediction.
+
+    The values next to the prediction from below and above, matched as-of. Values are whole numbers, so predictions
+    that round up to one half are as near to the same value, and those beyond the group's ends are nearest to an end: a window partition
+    holds a group's distinct values and at most twice the numbers between its ends, however many cells there are.
+    """
+    half = F.greatest(F.least(F.ceil(F.col("p") * 2), F.col("most") * 2), F.col("least") * 2).cast("long")
+    cells = cells.withColumn("half", half)
+    own = F.struct("v", "donor")
+    values = obs.groupBy(*on, "v").agg(F.min("__id").alias("donor"))
+    x = values.select(*on, (F.col("v") * 2).alias("half"), own.alias("own"), F.lit(0).alias("probe"))
+    q = cells.select(*on, "half").distinct().select(*on, "half", F.lit(None).cast(x.schema["own"].dataType).alias("own"), F.lit(1).alias("probe"))
+    last = lambda order: F.last("own", ignorenulls=True).over(Window.partitionBy(*on).orderBy(order, "probe").rowsBetween(Window.unboundedPreceding, 0))
+    # The explicit partitioning keeps the window from trusting that the union's inputs are partitioned alike.
+    u = x.unionByName(q).repartition(*on).withColumns({"below": last(F.col("half").asc()), "above": last(F.col("half").desc())}).where("probe = 1")
+    lower = F.col("above").isNull() | (F.abs(F.col("below.v") * 2 - F.col("half")) <= F.abs(F.col("above.v") * 2 - F.col("half")))
+    near = u.select(*on, "half", F.when(lower, F.col("below")).otherwise(F.col("above")).alias("n"))
+    best = F.struct(F.abs(F.col("n.v") - F.col("p")).alias("d"), F.col("n.v").alias("v"), F.col("n.donor").alias("donor"))
+    return cells.join(near, [*on, "half"]).withColumns({"best": best, "level": F.lit("group")}).select(*_COLUMNS)
+
+
+def _in_model(obs: DataFrame, cells: DataFrame, fields: list[Field]) -> DataFrame:
+    """``cells`` with the value of their model nearest what the model's records predict: the same for all cells of a model and field."""
+    on = ["__m", "field"]
+    fit = _fit(obs, on, fields).select(*on, "mean", "mode").withColumn("p", _prediction(fields, over_time=False))
+    values = obs.groupBy(*on, "v").agg(F.min("__id").alias("donor"))
+    best = values.join(fit, on).groupBy(*on, "p").agg(F.min(F.struct(F.abs(F.col("v") - F.col("p")).alias("d"), "v", "donor")).alias("best"))
+    return cells.drop("p", "best").join(best, on).withColumn("level", F.lit("model")).select(*_COLUMNS)

@@ -48,7 +48,8 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_filled(spark: SparkSession, root: str) -> DataFrame:
-    return fill_missing(table(spark, root, "assets"), key="id", group="repository_id", model="camera_model", time="taken_at").withColumnRenamed("id", "asset_id")
+    fills = fill_missing(table(spark, root, "assets"), key="id", group="repository_id", model="camera_model", time="taken_at")
+    return fills.withColumnRenamed("id", "asset_id").withColumn("distance", F.round("distance", 3))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

@@ -48,6 +48,38 @@ changes AS (
 )
 """
 
+_FILLS = """
+o AS (
+  SELECT id, repository_id AS g, camera_model AS m, taken_at AS t, u.f, u.v FROM assets,
+    LATERAL (VALUES ('width', CASE WHEN width > 0 THEN width END), ('height', CASE WHEN height > 0 THEN height END),
+      ('taken_at_source', list_position(['file_mtime', 'file_created', 'filename', 'sibling', 'exif'], taken_at_source) - 1)) AS u(f, v)
+  WHERE repository_id IS NOT NULL AND camera_model IS NOT NULL AND taken_at IS NOT NULL
+),
+known AS (SELECT * FROM o WHERE v IS NOT NULL),
+line AS (SELECT g, m, f, avg(v) AS mean, coalesce(regr_slope(v::DOUBLE, t::DOUBLE), 0) AS slope, avg(t::DOUBLE) AS t0 FROM known GROUP BY ALL),
+often AS (SELECT g, m, f, v AS mode FROM known GROUP BY g, m, f, v QUALIFY row_number() OVER (PARTITION BY g, m, f ORDER BY count(*) DESC, v) = 1),
+mline AS (SELECT m, f, avg(v) AS mean FROM known GROUP BY ALL),
+moften AS (SELECT m, f, v AS mode FROM known GROUP BY m, f, v QUALIFY row_number() OVER (PARTITION BY m, f ORDER BY count(*) DESC, v) = 1),
+cells AS (
+  SELECT DISTINCT o.id, o.g, o.m, o.t, o.f, CASE WHEN o.f = 'taken_at_source' THEN mode::DOUBLE ELSE round(mean + slope * (o.t - t0), 3) END AS p
+  FROM o LEFT JOIN line USING (g, m, f) LEFT JOIN often USING (g, m, f) WHERE o.v IS NULL
+),
+in_window AS (
+  SELECT *, min(v) OVER cell = max(v) OVER cell AS agreed FROM (
+    SELECT c.id, c.t, c.f, c.p, k.v, min(k.id) AS donor, abs(k.v - c.p) AS d FROM cells c JOIN known k ON k.g = c.g AND k.m = c.m AND k.f = c.f AND abs(k.t - c.t) <= 1800000 GROUP BY ALL)
+  WINDOW cell AS (PARTITION BY id, t, f)
+),
+gvalues AS (SELECT g, m, f, v, min(id) AS donor FROM known GROUP BY ALL),
+mvalues AS (SELECT m, f, v, min(id) AS donor FROM known GROUP BY ALL),
+choices AS (
+  SELECT id, t, f, p, d, v, donor, 1 AS rank, CASE WHEN agreed THEN 'window' ELSE 'window_mixed' END AS level FROM in_window
+  UNION ALL SELECT c.id, c.t, c.f, c.p, abs(x.v - c.p), x.v, x.donor, 2, 'group' FROM cells c JOIN gvalues x USING (g, m, f)
+  UNION ALL SELECT id, t, f, mp, abs(v - mp), v, donor, 3, 'model' FROM (
+    SELECT c.id, c.t, c.f, CASE WHEN c.f = 'taken_at_source' THEN mode::DOUBLE ELSE round(mean, 3) END AS mp, x.v, x.donor
+    FROM cells c JOIN mline USING (m, f) JOIN moften USING (m, f) JOIN mvalues x USING (m, f))
+)
+"""
+
 SQL = {
     "p2_found": f"WITH {_ORPHANS} SELECT * FROM orphans WHERE orphan_kind IS NOT NULL",
     "p2_report": f"WITH {_ORPHANS} SELECT ref_table, month_key, orphan_kind, count(*) AS n_refs FROM orphans WHERE orphan_kind IS NOT NULL GROUP BY ALL",
@@ -63,6 +95,9 @@ FROM a x JOIN a y ON x.r = y.r AND x.m = y.m AND x.field_name = y.field_name AND
 WHERE x.v IS NULL AND y.v IS NOT NULL
 GROUP BY x.id, x.field_name HAVING count(DISTINCT y.v) = 1
 """,
+    "p3_filled": f"""WITH {_FILLS} SELECT id AS asset_id, f AS field_name,
+  CASE WHEN f = 'taken_at_source' THEN ['file_mtime', 'file_created', 'filename', 'sibling', 'exif'][v + 1] ELSE v::VARCHAR END AS fill_text, donor AS donor_id, level, p AS prediction, round(d, 3) AS distance
+FROM choices QUALIFY row_number() OVER (PARTITION BY id, t, f ORDER BY rank, d, v, donor) = 1""",
     "p5_found": """
 WITH marks AS (SELECT DISTINCT mark_id, repository_id, millis FROM flag_marks WHERE millis IS NOT NULL),
 flagged AS (SELECT *, coalesce(millis - lag(millis) OVER (PARTITION BY repository_id ORDER BY millis) > 1800000, true)::INT AS starts FROM marks),
