@@ -20,50 +20,58 @@ def snapshot_changes(
 ) -> DataFrame:
     """(repository_id, snapshot_no, change_kind, rel_path) between each snapshot of a library and its previous one.
 
-    A full outer join on the primary key compares canonical row hashes: first on the identity, then, for
-    files neither side continued by identity, on the folded path. Rows without a partner are
-    ``registered`` or ``missing``; of partners, unequal hashes are examined for ``renamed`` (other folded
-    path) and ``modified`` (other size, or times more than ``mtime_slack_ms`` apart); both may hold.
+    A full outer join on the primary key, library, delivery and folded path, compares canonical row hashes. Its keys are unique and
+    never null, so no task gets a hot one. Rows without a partner and partners with other identities are then looked up by
+    identity in one row a delivery and identity: a file continues the earlier one with its identity, at the same path if
+    that has it, else the first by path; what no identity continues goes by the path. What is left is
+    ``registered`` or ``missing``; of partners, unequal hashes are examined for ``renamed`` (other folded path) and ``modified``
+    (other size, or times more than ``mtime_slack_ms`` apart); both may hold.
 
-    A row repeated in a snapshot counts once: of rows with the same folded path the least spelling
-    is kept, of files sharing an identity only the first by path is linked by it (the rest go by path). Null
-    paths are no files. A null size or time differs from a known one and equals another null. Libraries
-    may skip deliveries. The first delivery of a library gives no rows; an empty table gives none.
+    A row repeated in a snapshot counts once: of rows with the same folded path the least spelling is kept. Files may
+    share an identity: each of them continues the earlier file. Null paths, libraries and snapshots are no files. A
+    null size or time differs from a known one and equals another null. Libraries may skip deliveries. The first
+    delivery of a library gives no rows; an empty table gives none.
     """
     f = files.select(
         F.col(library).alias("lib"), F.col(snapshot).cast("int").alias("snap"), F.col(path).alias("path"), F.col(size).alias("size"), F.col(mtime).alias("mtime"),
-        F.when(usable_identity(F.col(volume), F.col(file_id)), F.struct(F.col(volume).alias("v"), F.col(file_id).alias("f"))).alias("ident"),
+        F.when(usable_identity(F.col(volume), F.col(file_id)), F.struct(F.col(volume).cast("long").alias("v"), F.col(file_id).alias("f"))).alias("ident"),
     ).where("lib is not null and snap is not null and path is not null")
-    f = f.withColumn("key", fold_path("path"))
-    f = f.groupBy("lib", "snap", "key").agg(F.min(F.struct("path", "size", "mtime", "ident")).alias("r")).select("lib", "snap", "key", "r.*")
     # Each delivery is the newer side of one comparison and the older side of the next.
-    deliveries = f.select("lib", "snap").distinct()
-    order = Window.partitionBy("lib").orderBy("snap")
-    deliveries = deliveries.withColumns({"first": F.lag("snap").over(order).isNull(), "next": F.lead("snap").over(order)}).toDF("d_lib", "d_snap", "first", "next")
-    f = f.join(deliveries, (F.col("lib") == F.col("d_lib")) & (F.col("snap") == F.col("d_snap"))).drop("d_lib", "d_snap")
-    f = f.withColumn("hash", F.xxhash64("key", "size", "mtime"))
-    f = f.withColumn("nth", F.when(F.col("ident").isNotNull(), F.row_number().over(Window.partitionBy("lib", "snap", "ident").orderBy("key"))))
-    f = f.withColumn("ident", F.when(F.col("nth") == 1, F.col("ident"))).drop("nth")
-    cols = ["key", "path", "size", "mtime", "hash"]
-    new = f.where("not first").select("lib", F.col("snap").alias("at"), "ident", *[F.col(c).alias(f"n_{c}") for c in cols])
-    old = f.where("next is not null").select("lib", F.col("next").alias("at"), "ident", *[F.col(c).alias(f"o_{c}") for c in cols])
-    # Rows without an identity match nothing in this join and come out one-sided.
-    by_id = new.join(old, ["lib", "at", "ident"], "full_outer")
-    linked = by_id.where("n_hash is not null and o_hash is not null").drop("ident")
-    rest_new = by_id.where("o_hash is null").select("lib", "at", F.col("n_key").alias("key"), *[f"n_{c}" for c in cols])
-    rest_old = by_id.where("n_hash is null").select("lib", "at", F.col("o_key").alias("key"), *[f"o_{c}" for c in cols])
-    by_path = rest_new.join(rest_old, ["lib", "at", "key"], "full_outer").drop("key")
-    pairs = linked.unionByName(by_path)
-    far = F.coalesce(F.abs(F.col("n_mtime") - F.col("o_mtime")) > mtime_slack_ms, F.lit(False)) | (F.col("n_mtime").isNull() != F.col("o_mtime").isNull())
+    order = Window.partitionBy("d_lib").orderBy("d_snap")
+    deliveries = f.select(F.col("lib").alias("d_lib"), F.col("snap").alias("d_snap")).distinct().withColumns({"before": F.lag("d_snap").over(order), "next": F.lead("d_snap").over(order)})
+    f = f.withColumn("key", fold_path("path")).groupBy("lib", "snap", "key").agg(F.min(F.struct("path", "size", "mtime", "ident")).alias("r"))
+    state = F.struct("key", "r.path", "r.size", "r.mtime", F.xxhash64("key", "r.size", "r.mtime").alias("hash"), F.col("r.ident").alias("ident"))
+    f = f.select("lib", "snap", "key", state.alias("s"))
+    placed = f.join(deliveries, (F.col("lib") == F.col("d_lib")) & (F.col("snap") == F.col("d_snap")))
+    new = placed.where("before is not null").select("lib", F.col("snap").alias("at"), "key", "before", F.col("s").alias("n"))
+    old = placed.where("next is not null").select("lib", F.col("next").alias("at"), "key", F.col("s").alias("o"))
+    by_path = new.join(old, ["lib", "at", "key"], "full_outer")
+    by_path = by_path.withColumn("open", ~F.col("n.ident").eqNullSafe(F.col("o.ident")))
+    # One row a delivery and identity; a probe without an identity gets one of its own that nothing has.
+    first = f.where("s.ident is not null").groupBy("lib", "snap", F.struct(F.lit(True).alias("real"), "s.ident.v", "s.ident.f").alias("who")).agg(F.min("s").alias("first"))
+    who = lambda side: F.struct(F.col(f"{side}.ident").isNotNull().alias("real"), F.coalesce(f"{side}.ident.v", F.xxhash64("key")).alias("v"), F.coalesce(f"{side}.ident.f", F.encode("key", "UTF-8")).alias("f"))
+    earlier = first.select("lib", F.col("snap").alias("before"), F.col("who").alias("n_who"), F.col("first").alias("by_ident"))
+    later = first.select("lib", F.col("snap").alias("at"), F.col("who").alias("o_who"), F.lit(True).alias("goes_on"))
+    opened = by_path.where("open").withColumns({"n_who": who("n"), "o_who": who("o"), "before": F.coalesce("before", F.lit(-1))})
+    opened = opened.join(earlier, ["lib", "before", "n_who"], "left").join(later, ["lib", "at", "o_who"], "left")
+    goes_on = F.coalesce("goes_on", F.lit(False))
+    # The earlier file a new one continues, and the earlier file that nothing continues.
+    rest = F.col("by_ident").isNull() & ~goes_on
+    partner = F.when(F.col("by_ident").isNotNull(), F.col("by_ident")).when(rest, F.col("o"))
+    lost = F.when(~goes_on & (F.col("n").isNull() | F.col("by_ident").isNotNull()), F.col("o"))
+    settled = by_path.where("not open").select("lib", "at", "n", F.col("o").alias("p"), F.when(F.col("n").isNull(), F.col("o")).alias("lost"))
+    pairs = settled.unionByName(opened.select("lib", "at", "n", F.when(F.col("n").isNotNull(), partner).alias("p"), lost.alias("lost")))
+    far = F.coalesce(F.abs(F.col("n.mtime") - F.col("p.mtime")) > mtime_slack_ms, F.lit(False)) | (F.col("n.mtime").isNull() != F.col("p.mtime").isNull())
+    unequal = F.col("n.hash") != F.col("p.hash")
+    change = lambda when, kind, side: F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(f"{side}.path").alias("path")))
     kinds = F.array(
-        F.when(F.col("o_hash").isNull(), F.lit("registered")),
-        F.when(F.col("n_hash").isNull(), F.lit("missing")),
-        F.when((F.col("n_hash") != F.col("o_hash")) & (F.col("n_key") != F.col("o_key")), F.lit("renamed")),
-        F.when(F.col("o_hash").isNotNull() & F.col("n_hash").isNotNull() & (F.col("n_hash") != F.col("o_hash")) & (~F.col("n_size").eqNullSafe(F.col("o_size")) | far), F.lit("modified")),
-    )
-    return pairs.select(
-        F.col("lib").alias("repository_id"), F.col("at").alias("snapshot_no"), F.explode(F.array_compact(kinds)).alias("change_kind"), F.coalesce("n_path", "o_path").alias("rel_path")
+        change(F.col("n").isNotNull() & F.col("p").isNull(), "registered", "n"),
+        change(F.col("lost").isNotNull(), "missing", "lost"),
+        change(unequal & (F.col("n.key") != F.col("p.key")), "renamed", "n"),
+        change(unequal & (~F.col("n.size").eqNullSafe(F.col("p.size")) | far), "modified", "n"),
     )
+    out = pairs.select("lib", "at", F.explode(F.array_compact(kinds)).alias("c"))
+    return out.select(F.col("lib").alias("repository_id"), F.col("at").alias("snapshot_no"), F.col("c.kind").alias("change_kind"), F.col("c.path").alias("rel_path"))
 
 
 def snapshot_change_report(changes: DataFrame) -> DataFrame:
