@@ -58,7 +58,7 @@ def fill_missing(rows: DataFrame, *, key: str, group: str, model: str, time: str
     cells = r.select(*at, each(lambda n: F.when(F.col(n).isNull(), F.lit(n))).alias("field")).distinct()
     on = ["__g", "__m", "field"]
     predicted = cells.join(_fit(obs, on, fields), on, "left").withColumn("p", _prediction(fields)).select(*at, "field", "p", "least", "most")
-    found = _in_window(obs, predicted, on, window_ms)
+    found = _in_window(obs, predicted, on, window_ms, least_ids=not agreed_only)
     c = found.where("best is not null" + (" and low = high" if agreed_only else "")).withColumn("level", F.when(F.col("low") == F.col("high"), "window").otherwise("window_mixed"))
     if not agreed_only:
         rest = found.where("best is null")
@@ -68,7 +68,7 @@ def fill_missing(rows: DataFrame, *, key: str, group: str, model: str, time: str
 
 
 def agreed_fills(rows: DataFrame, **kw) -> DataFrame:
-    """Only the fills at window level, where all donors agree."""
+    """Only the fills at window level, where all donors agree; the donor is the first or last record of a block of the window."""
     return fill_missing(rows, **kw, agreed_only=True)
 
 
@@ -88,21 +88,26 @@ def _prediction(fields: list[Field], over_time: bool = True) -> Column:
     return F.when(levelled, F.col("mode").cast("double")).otherwise(F.round(line, DECIMALS))
 
 
-def _in_window(obs: DataFrame, cells: DataFrame, on: list[str], window_ms: int) -> DataFrame:
+def _in_window(obs: DataFrame, cells: DataFrame, on: list[str], window_ms: int, least_ids: bool) -> DataFrame:
     """``cells`` with the nearest donor of their window, and the least and greatest value there; null where the window has none.
 
     Blocks are as wide as the window reaches, so it holds the cell's own block, an end of the one before and a start of the one
-    after: the last and first time of each distinct value of a block tell whether it is in. So a cell meets the distinct
-    values of three blocks, not their rows. Of the value found, the least id in the window is the donor.
+    after: the last and first record of each distinct value of a block tell whether it is in. So a cell meets the distinct
+    values of three blocks, not their rows. The donor is such a record, or with ``least_ids`` the one of least id in the window.
     """
     block = lambda c: F.floor(c / F.lit(window_ms))
-    spans = obs.groupBy(*[F.col(c).alias(f"s_{c}") for c in on], block(F.col("__t")).alias("s_b"), "v").agg(F.min("__t").alias("since"), F.max("__t").alias("until"))
+    end = lambda agg: agg("__t") if least_ids else agg(F.struct("__t", "__id"))
+    at = lambda c: F.col(c) if least_ids else F.col(f"{c}.__t")
+    spans = obs.groupBy(*[F.col(c).alias(f"s_{c}") for c in on], block(F.col("__t")).alias("s_b"), "v").agg(end(F.min).alias("since"), end(F.max).alias("until"))
     q = cells.withColumn("b", F.explode(F.sequence(block(F.col("__t")) - 1, block(F.col("__t")) + 1)))
     here = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"s_{c}") for c in [*on, "b"]])
-    near = q.join(spans, here & (F.col("until") >= F.col("__t") - window_ms) & (F.col("since") <= F.col("__t") + window_ms), "left")
-    nearest = F.min(F.when(F.col("v").isNotNull(), F.struct(F.abs(F.col("v") - F.col("p")).alias("d"), "v")))
-    found = near.groupBy("__id", "__t", *on, "p", "least", "most").agg(nearest.alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    found = found.select("*", "n.d", "n.v").drop("n")
+    near = q.join(spans, here & (at("until") >= F.col("__t") - window_ms) & (at("since") <= F.col("__t") + window_ms), "left")
+    donor = [] if least_ids else [F.when(F.col("b") < block(F.col("__t")), F.col("until.__id")).otherwise(F.col("since.__id")).alias("donor")]
+    nearest = F.min(F.when(F.col("v").isNotNull(), F.struct(F.abs(F.col("v") - F.col("p")).alias("d"), "v", *donor)))
+    found = near.groupBy("__id", "__t", *on, "p", "least", "most").agg(nearest.alias("best"), F.min("v").alias("low"), F.max("v").alias("high"))
+    if not least_ids:
+        return found
+    found = found.select("*", "best.d", "best.v").drop("best")
     won = found.where("v is not null").select(*on, "v", "__t").distinct()
     points = obs.join(won.select(*on, "v").distinct(), [*on, "v"], "left_semi").groupBy(*on, "v", "__t").agg(F.min("__id").alias("donor"))
     ids = range_extremes(points, won, group=[*on, "v"], at="__t", lo=F.col("__t") - window_ms, hi=F.col("__t") + window_ms, block=block, least=["donor"], most=[])

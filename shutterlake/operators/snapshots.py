@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from shutterlake.functions.text import fold_path
 
 
+#: Deliveries (library and snapshot) that may be sent to all executors; more are joined by a shuffle.
+BROADCAST_DELIVERIES = 200_000
+
+
 def usable_identity(volume: Column, file_id: Column) -> Column:
     """Neither part null, file id not all zero (an empty one is all zero)."""
     zeros = F.regexp_replace(F.hex(file_id), "0", "") == ""
@@ -40,15 +44,17 @@ def snapshot_changes(
     order = Window.partitionBy("d_lib").orderBy("d_snap")
     deliveries = f.select(F.col("lib").alias("d_lib"), F.col("snap").alias("d_snap")).distinct().withColumns({"before": F.lag("d_snap").over(order), "next": F.lead("d_snap").over(order)})
     f = f.withColumn("key", fold_path("path")).groupBy("lib", "snap", "key").agg(F.min(F.struct("path", "size", "mtime", "ident")).alias("r"))
-    state = F.struct("key", "r.path", "r.size", "r.mtime", F.xxhash64("key", "r.size", "r.mtime").alias("hash"), F.col("r.ident").alias("ident"))
+    state = F.struct("r.path", "r.size", "r.mtime", F.xxhash64("key", "r.size", "r.mtime").alias("hash"), F.col("r.ident").alias("ident"))
     f = f.select("lib", "snap", "key", state.alias("s"))
+    if deliveries.count() <= BROADCAST_DELIVERIES:
+        deliveries = F.broadcast(deliveries)
     placed = f.join(deliveries, (F.col("lib") == F.col("d_lib")) & (F.col("snap") == F.col("d_snap")))
     new = placed.where("before is not null").select("lib", F.col("snap").alias("at"), "key", "before", F.col("s").alias("n"))
     old = placed.where("next is not null").select("lib", F.col("next").alias("at"), "key", F.col("s").alias("o"))
     by_path = new.join(old, ["lib", "at", "key"], "full_outer")
     by_path = by_path.withColumn("open", ~F.col("n.ident").eqNullSafe(F.col("o.ident")))
     # One row a delivery and identity; a probe without an identity gets one of its own that nothing has.
-    first = f.where("s.ident is not null").groupBy("lib", "snap", F.struct(F.lit(True).alias("real"), "s.ident.v", "s.ident.f").alias("who")).agg(F.min("s").alias("first"))
+    first = f.where("s.ident is not null").groupBy("lib", "snap", F.struct(F.lit(True).alias("real"), "s.ident.v", "s.ident.f").alias("who")).agg(F.min(F.struct("key", "s.path", "s.size", "s.mtime", "s.hash")).alias("first"))
     who = lambda side: F.struct(F.col(f"{side}.ident").isNotNull().alias("real"), F.coalesce(f"{side}.ident.v", F.xxhash64("key")).alias("v"), F.coalesce(f"{side}.ident.f", F.encode("key", "UTF-8")).alias("f"))
     earlier = first.select("lib", F.col("snap").alias("before"), F.col("who").alias("n_who"), F.col("first").alias("by_ident"))
     later = first.select("lib", F.col("snap").alias("at"), F.col("who").alias("o_who"), F.lit(True).alias("goes_on"))
@@ -57,17 +63,18 @@ def snapshot_changes(
     goes_on = F.coalesce("goes_on", F.lit(False))
     # The earlier file a new one continues, and the earlier file that nothing continues.
     rest = F.col("by_ident").isNull() & ~goes_on
-    partner = F.when(F.col("by_ident").isNotNull(), F.col("by_ident")).when(rest, F.col("o"))
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct("key", f"{c}.path", f"{c}.size", f"{c}.mtime", f"{c}.hash"))
+    partner = F.when(F.col("by_ident").isNotNull(), F.col("by_ident")).when(rest, side("o"))
     lost = F.when(~goes_on & (F.col("n").isNull() | F.col("by_ident").isNotNull()), F.col("o"))
-    settled = by_path.where("not open").select("lib", "at", "n", F.col("o").alias("p"), F.when(F.col("n").isNull(), F.col("o")).alias("lost"))
-    pairs = settled.unionByName(opened.select("lib", "at", "n", F.when(F.col("n").isNotNull(), partner).alias("p"), lost.alias("lost")))
+    settled = by_path.where("not open").select("lib", "at", "key", "n", side("o").alias("p"), F.when(F.col("n").isNull(), F.col("o")).alias("lost"))
+    pairs = settled.unionByName(opened.select("lib", "at", "key", "n", F.when(F.col("n").isNotNull(), partner).alias("p"), lost.alias("lost")))
     far = F.coalesce(F.abs(F.col("n.mtime") - F.col("p.mtime")) > mtime_slack_ms, F.lit(False)) | (F.col("n.mtime").isNull() != F.col("p.mtime").isNull())
     unequal = F.col("n.hash") != F.col("p.hash")
     change = lambda when, kind, side: F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(f"{side}.path").alias("path")))
     kinds = F.array(
         change(F.col("n").isNotNull() & F.col("p").isNull(), "registered", "n"),
         change(F.col("lost").isNotNull(), "missing", "lost"),
-        change(unequal & (F.col("n.key") != F.col("p.key")), "renamed", "n"),
+        change(unequal & (F.col("key") != F.col("p.key")), "renamed", "n"),
         change(unequal & (~F.col("n.size").eqNullSafe(F.col("p.size")) | far), "modified", "n"),
     )
     out = pairs.select("lib", "at", F.explode(F.array_compact(kinds)).alias("c"))
