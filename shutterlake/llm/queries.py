@@ -8,7 +8,7 @@ from shutterlake.llm.batch_dedup import NEAR_COVERAGE, replay
 from shutterlake.llm.lookalikes import canonical_names, lookalike_pairs
 from shutterlake.llm.mixing import mix, share_report
 from shutterlake.llm.packing import pack_documents, packing_report
-from shutterlake.llm.spans import shared_share, span_pairs
+from shutterlake.llm.spans import shared_share, span_groups, span_pairs
 from shutterlake.llm.tokens import token_count
 from shutterlake.session import cut
 from shutterlake.sources.tables import table
@@ -58,8 +58,12 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return span_pairs(table(spark, root, "documents"), key="doc_id", text="text", length=SPAN_CHARS)
 
 
+def p10_groups(spark: SparkSession, root: str) -> DataFrame:
+    return span_groups(table(spark, root, "documents"), key="doc_id", text="text", length=SPAN_CHARS)
+
+
 def p10_shares(spark: SparkSession, root: str) -> DataFrame:
     return shared_share(table(spark, root, "documents"), key="doc_id", text="text", length=SPAN_CHARS)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_near, p7_found, p7_folded, p8_packed, p8_report, p9_mixture, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_near, p7_found, p7_folded, p8_packed, p8_report, p9_mixture, p9_shares, p10_found, p10_groups, p10_shares)}

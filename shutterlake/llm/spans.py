@@ -3,8 +3,8 @@
 Windows of ``ANCHOR`` characters are hashed only where the position modulo ``PERIOD`` lies in a difference
 cover. For any two positions there is a shift below ``PERIOD`` that brings both onto the cover, so two records
 that share ``ANCHOR + PERIOD - 1`` characters share the hash of an aligned anchor. Anchors seen in two
-records are extended: every span of the full length that contains one is hashed, and equal hashes
-of full spans decide.
+records are extended: every span of the full length that contains one is hashed, spans with equal hashes are
+grouped, and the passages themselves are compared.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shutterlake.session import cut
 
@@ -25,9 +24,10 @@ PERIOD = 73
 COVER = (0, 1, 3, 7, 15, 31, 36, 54, 63)
 #: Characters hashed at a time, and anchors gathered before they are sent.
 SEGMENT, FLUSH = 1 << 20, 1 << 21
-HASH_BITS = 40
-#: Anchors a hash partition is sized for.
-PARTITION_ANCHORS = 1 << 20
+#: An anchor's hash has so many bits more than the number of anchors, so that about one in 2**24 meets another by chance at any size.
+SPARE_BITS = 24
+#: Anchors and full spans a hash partition is sized for, and spans sent at a time.
+PARTITION_ANCHORS, PARTITION_SPANS, SPAN_ROWS = 1 << 20, 1 << 20, 1 << 18
 #: Documents whose ids may be sent to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -129,10 +129,23 @@ def _unpress(blob: bytes, width: int) -> np.ndarray:
 _BLOBS = "part int, known boolean, hashes binary, docs binary, spots binary"
 
 
-def _anchor_blobs(width: int, partitions: int):
+class _Layout:
+    """How anchors travel: the partition is the hash modulo their number, the quotient is sent, with one bit above it."""
+
+    def __init__(self, anchors: int):
+        self.partitions = max(8, anchors // PARTITION_ANCHORS + 1)
+        self.bits = min(63, SPARE_BITS + max(1, anchors).bit_length())
+        self.mask = np.uint64((1 << self.bits) - 1)
+        self.flag = ((1 << self.bits) // self.partitions).bit_length()
+        self.width = self.flag // 8 + 1
+
+
+def _anchor_blobs(width: int, layout: _Layout):
+    partitions = layout.partitions
+
     def flush(held) -> Iterator[pd.DataFrame]:
         h, d, p = (np.concatenate(x) for x in zip(*held))
-        h &= np.uint64((1 << HASH_BITS) - 1)
+        h &= layout.mask
         order = np.argsort(h, kind="stable")
         hs, ds = h[order], d[order]
         fresh = np.r_[True, hs[1:] != hs[:-1]]
@@ -150,14 +163,15 @@ def _anchor_blobs(width: int, partitions: int):
         for flag in (False, True):
             chosen = np.flatnonzero(known == flag)
             chosen = chosen[np.argsort(part[chosen], kind="stable")]
-            edges = np.searchsorted(part[chosen], np.arange(partitions + 1))
-            for k in range(partitions):
-                i = chosen[edges[k] : edges[k + 1]]
-                if len(i):
-                    # One bit above the hash says that another document of the flush has it.
-                    x = h[i] // np.uint64(partitions) | stands[i].astype(np.uint64) << np.uint64(HASH_BITS - 1)
-                    gaps = np.diff(d[i], prepend=0).astype(np.int64)
-                    rows.append((k, flag, b"" if flag else _press(x, 5), _press((gaps << 1 ^ gaps >> 63).view(np.uint64), 8), _press(p[i].view(np.uint64), 8)))
+            kinds, edges = np.unique(part[chosen], return_index=True)
+            for k, i in zip(kinds.tolist(), np.split(chosen, edges[1:])):
+                gaps = np.diff(d[i], prepend=0).astype(np.int64)
+                docs = _press((gaps << 1 ^ gaps >> 63).view(np.uint64), 8)
+                if flag:
+                    rows.append((k, True, b"", docs, _press(p[i].view(np.uint64), 8)))
+                else:
+                    # The bit above the hash says that another document of the flush has it.
+                    rows.append((k, False, _press(h[i] // np.uint64(partitions) | stands[i].astype(np.uint64) << np.uint64(layout.flag), layout.width), docs, b""))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOBS.split(", ")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,53 +189,54 @@ def _anchor_blobs(width: int, partitions: int):
     return run
 
 
-def _unblob(row) -> tuple[np.ndarray, np.ndarray]:
-    z = _unpress(row.docs, 8)
-    gaps = (z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64)
-    return np.cumsum(gaps), _unpress(row.spots, 8).astype(np.int64)
-
-
-def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(id, spots) of the partition's anchors that lie in at least two documents."""
-    docs, spots, hashes, sure = [], [], [], []
-    for row in pdf.itertuples():
-        d, p = _unblob(row)
-        docs.append(d)
-        spots.append(p)
-        if row.known:
-            hashes.append(np.zeros(len(d), dtype=np.uint64))
-            sure.append(np.full(len(d), 2, dtype=np.int8))
-        else:
-            x = _unpress(row.hashes, 5)
-            top = np.uint64(1 << (HASH_BITS - 1))
-            hashes.append(x & ~top)
-            sure.append(((x & top) != 0).astype(np.int8))
-    d, p, h, s = (np.concatenate(x) for x in (docs, spots, hashes, sure))
-    keep = s > 0
-    i = np.flatnonzero(s < 2)
-    if len(i):
-        order = i[np.argsort(h[i], kind="stable")]
-        hs, ds = h[order], d[order]
-        fresh = np.r_[True, hs[1:] != hs[:-1]]
-        first, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-        mixed = np.maximum.reduceat(ds, first) != np.minimum.reduceat(ds, first)
-        keep[order] |= mixed[group]
-        # A hash kept by its stand-in in one flush may repeat within another flush's single document: keep those too.
-        some = np.maximum.reduceat(s[order], first) > 0
-        keep[order] |= some[group]
-    d, p = d[keep], p[keep]
-    if not len(d):
-        return pd.DataFrame({"id": pd.Series(dtype="int64"), "spots": pd.Series(dtype="object")})
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
-    edges = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    return pd.DataFrame({"id": d[edges], "spots": np.split(p, edges[1:])})
+def _docs(blob: bytes) -> np.ndarray:
+    z = _unpress(blob, 8)
+    return np.cumsum((z >> np.uint64(1)).astype(np.int64) ^ -(z & np.uint64(1)).astype(np.int64))
+
+
+def _by_doc(d: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct documents and what belongs to each."""
+    order = np.lexsort((x, d))
+    d, x = d[order], x[order]
+    edges = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
+    return d[edges], np.split(x, edges[1:]) if len(d) else []
+
+
+_FOUND = "id long, spots array<long>, hashes array<long>"
+
+
+def _shared_anchors(layout: _Layout):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of the partition's anchors those that lie in at least two documents: by place where that came along, else by hash."""
+        known, rest = pdf[pdf.known], pdf[~pdf.known]
+        out = []
+        if len(known):
+            ids, spots = _by_doc(np.concatenate([_docs(b) for b in known.docs]), np.concatenate([_unpress(b, 8).astype(np.int64) for b in known.spots]))
+            out.append((ids, spots, [[]] * len(ids)))
+        if len(rest):
+            d = np.concatenate([_docs(b) for b in rest.docs])
+            x = np.concatenate([_unpress(b, layout.width) for b in rest.hashes])
+            top = np.uint64(1 << layout.flag)
+            sure, h = (x & top) != 0, x & ~top
+            order = np.argsort(h, kind="stable")
+            hs, ds = h[order], d[order]
+            fresh = np.r_[True, hs[1:] != hs[:-1]]
+            first, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            # A hash may also repeat in other documents of a flush, where only its stand-in came along.
+            shared = (np.maximum.reduceat(ds, first) != np.minimum.reduceat(ds, first)) | np.logical_or.reduceat(sure[order], first)
+            keep = order[shared[group]]
+            whole = h[keep] * np.uint64(layout.partitions) + np.uint64(rest.part.iloc[0])
+            ids, hashes = _by_doc(d[keep], whole.view(np.int64))
+            out.append((ids, [[]] * len(ids), hashes))
+        return pd.concat([pd.DataFrame({"id": i, "spots": pd.Series(s, dtype=object), "hashes": pd.Series(h, dtype=object)}) for i, s, h in out])
+
+    return run
 
 
-_SPANS = [T.StructField("id", T.LongType()), T.StructField("span", T.LongType()), T.StructField("start", T.LongType())]
+_SPANS = "id long, span long, start long"
 
 
-def _full_spans(length: int, width: int, starts: bool):
+def _full_spans(length: int, width: int, layout: _Layout):
     def starts_of(spots: np.ndarray, n: int) -> np.ndarray:
         """Starts of all full spans that contain an anchor: the union of [spot - (length - width), spot]."""
         lo, hi = np.maximum(spots - (length - width), 0), np.minimum(spots, n - length)
@@ -231,46 +246,70 @@ def _full_spans(length: int, width: int, starts: bool):
         np.add.at(mark, hi[ok] + 1, -1)
         return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
 
+    def places(pdf: pd.DataFrame) -> list[np.ndarray]:
+        """The places of each text's shared anchors; those known by hash are found by hashing its anchors again."""
+        asked = [np.asarray(x, dtype=np.int64) for x in pdf.hashes]
+        wanted = np.unique(_mix(np.concatenate(asked).view(np.uint64) ^ _mix(np.repeat(np.arange(len(asked), dtype=np.uint64), [len(x) for x in asked]))))
+        found = [[np.asarray(x, dtype=np.int64)] for x in pdf.spots]
+        some = [k for k, x in enumerate(asked) if len(x)]
+        for h, k, p in _anchors(some, [pdf.text.iloc[k] for k in some], width):
+            hit = np.isin(_mix((h & layout.mask) ^ _mix(k.astype(np.uint64))), wanted)
+            ids, at = _by_doc(k[hit], p[hit])
+            for i, x in zip(ids, at):
+                found[i].append(x)
+        return [np.unique(np.concatenate(x)) for x in found]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for pdf in batches:
-            for doc, text, spots in zip(pdf.id, pdf.text, pdf.spots):
+            for doc, text, spots in zip(pdf.id, pdf.text, places(pdf)):
                 if len(text) < length:
                     continue
-                at = starts_of(np.unique(np.asarray(spots, dtype=np.int64)), len(text))
+                at = starts_of(spots, len(text))
                 chars = code_points(text)
                 for k in range(0, len(at), SEGMENT):  # long texts in parts
                     some = at[k : k + SEGMENT]
                     for a in np.split(some, np.flatnonzero(np.diff(some) > SEGMENT) + 1):
                         if len(a):
-                            h = window_hashes(chars[a[0] : a[-1] + length], length, a - a[0])
-                            h = h.view(np.int64)
-                            yield pd.DataFrame({"id": doc, "span": h, "start": a} if starts else {"id": doc, "span": np.unique(h)})
+                            held.append((np.full(len(a), doc), window_hashes(chars[a[0] : a[-1] + length], length, a - a[0]).view(np.int64), a))
+                            n += len(a)
+                if n >= SPAN_ROWS:
+                    yield pd.DataFrame(dict(zip(("id", "span", "start"), map(np.concatenate, zip(*held)))))
+                    held, n = [], 0
+        if held:
+            yield pd.DataFrame(dict(zip(("id", "span", "start"), map(np.concatenate, zip(*held)))))
 
     return run
 
 
-def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int, starts: bool) -> DataFrame:
-    """(id, span, start): hashes of all full spans that hold an anchor found in another record as well; without ``starts`` once a record."""
+def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
+    """(id, span, start): hashes of all full spans that hold an anchor found in another record as well, partitioned by hash."""
     width = length - PERIOD + 1
     if width < 1:
         raise ValueError(f"spans must be longer than {PERIOD} characters")
     d = docs.where(F.length(text) >= length).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
-    partitions = max(8, int(chars * len(COVER) / PERIOD) // PARTITION_ANCHORS + 1)
-    blobs = d.mapInPandas(_anchor_blobs(width, partitions), _BLOBS)
-    shared = blobs.groupBy("part").applyInPandas(_shared_anchors, T.StructType([T.StructField("id", T.LongType()), T.StructField("spots", T.ArrayType(T.LongType()))]))
-    spots = cut(shared, "anchors").groupBy("id").agg(F.flatten(F.collect_list("spots")).alias("spots"))
-    spots = cut(spots, "spots")
-    if spots.count() <= BROADCAST_IDS:
-        d = d.join(F.broadcast(spots.select("id")), "id", "left_semi")
-    joined = d.join(spots, "id")
-    return cut(joined.mapInPandas(_full_spans(length, width, starts), T.StructType(_SPANS if starts else _SPANS[:2])), "spans")
-
-
-def shared_spans(spans: DataFrame) -> DataFrame:
-    """The candidate spans that occur in at least two records."""
-    known = spans.groupBy("span").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("span")
-    return spans.join(known, "span", "left_semi")
+    layout = _Layout(int(chars * len(COVER) / PERIOD))
+    blobs = d.mapInPandas(_anchor_blobs(width, layout), _BLOBS)
+    shared = cut(blobs.groupBy("part").applyInPandas(_shared_anchors(layout), _FOUND), "anchors")
+    both = shared.groupBy("id").agg(F.flatten(F.collect_list("spots")).alias("spots"), F.flatten(F.collect_list("hashes")).alias("hashes"))
+    n_docs, n_anchors = shared.agg(F.approx_count_distinct("id"), F.coalesce(F.sum(F.size("spots") + F.size("hashes")), F.lit(0))).first()
+    if n_docs <= BROADCAST_IDS:
+        d = d.join(F.broadcast(shared.select("id").distinct()), "id", "left_semi")
+    spans = d.join(both, "id").mapInPandas(_full_spans(length, width, layout), _SPANS)
+    # As many partitions as the spans around the shared anchors fill.
+    return spans.repartition(max(8, n_anchors * PERIOD // len(COVER) // PARTITION_SPANS + 1), "span")
+
+
+def _groups(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
+    """(span, id, passage): the members of one span for each set of records that share one, with the passage itself."""
+    s = candidate_spans(docs, key=key, text=text, length=length).groupBy("span", "id").agg(F.min("start").alias("start"))
+    sets = s.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min("start").alias("z")).where("n > 1")
+    first = sets.groupBy("n", "x", "y").agg(F.min(F.struct("span", "z")).alias("f")).select("f.*")
+    # The second condition always holds; by it both sides read all columns, and so the same shuffle.
+    members = s.join(first, "span").where("start >= z").select("span", "id", "start")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text"))
+    return cut(members.join(texts, "id").select("span", "id", F.substring("__text", F.col("start").cast("int") + 1, F.lit(length)).alias("passage")).distinct(), "groups")
 
 
 def span_pairs(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
@@ -281,13 +320,20 @@ def span_pairs(docs: DataFrame, *, key: str, text: str, length: int) -> DataFram
     same set of records stand for one another, so a pair is not listed once per character of what it shares.
     The result lists pairs and grows with the square of a group that shares one passage; nothing before does.
     """
-    s = shared_spans(candidate_spans(docs, key=key, text=text, length=length, starts=False)).select("span", "id").distinct()
-    s = cut(s, "shared")
-    sets = s.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
-    first = sets.groupBy("n", "x", "y").agg(F.min("span").alias("span")).select("span")
-    s = cut(s.join(first, "span", "left_semi"), "groups")
+    s = _groups(docs, key=key, text=text, length=length)
     a, b = s.withColumnRenamed("id", "doc_a"), s.withColumnRenamed("id", "doc_b")
-    return a.join(b, "span").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    return a.join(b, ["span", "passage"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+
+
+def span_groups(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
+    """(group_id, doc_id, n_docs, passage): each set of records that share a span, by one span and its passage.
+
+    The linear form of ``span_pairs``: two records are a pair if and only if they are in one group. ``group_id`` is the
+    least record of the group; groups may overlap, and two may have the same least record but other passages.
+    """
+    s = _groups(docs, key=key, text=text, length=length)
+    g = s.groupBy("span", "passage").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
+    return s.join(g, ["span", "passage"]).select("group_id", F.col("id").alias("doc_id"), "n_docs", "passage")
 
 
 def shared_share(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
@@ -295,7 +341,9 @@ def shared_share(docs: DataFrame, *, key: str, text: str, length: int) -> DataFr
 
     Null and empty texts have share 0. Rows repeated with one key are one record (the longest text's length).
     """
-    s = shared_spans(candidate_spans(docs, key=key, text=text, length=length, starts=True)).select("id", "start").distinct()
+    same = Window.partitionBy("span")
+    s = candidate_spans(docs, key=key, text=text, length=length).withColumns({"a": F.min("id").over(same), "b": F.max("id").over(same)})
+    s = s.where("a < b").select("id", "start").distinct()
     after = F.lead("start").over(Window.partitionBy("id").orderBy("start"))
     covered = s.withColumn("c", F.least(F.coalesce(after - F.col("start"), F.lit(length)), F.lit(length))).groupBy("id").agg(F.sum("c").alias("shared_chars"))
     sizes = docs.groupBy(F.col(key).cast("long").alias("id")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n_chars"))

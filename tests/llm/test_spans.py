@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from shutterlake.llm import spans
-from shutterlake.llm.spans import COVER, PERIOD, code_points, cover_positions, shared_share, span_pairs, window_hashes
+from shutterlake.llm.spans import COVER, PERIOD, code_points, cover_positions, shared_share, span_groups, span_pairs, window_hashes
 
 DOCS = "doc_id long, text string, id long, span string"
 
@@ -53,6 +53,28 @@ def test_pairs_against_brute_force(rows):
         assert len(got) == len(set(got)) and set(got) == brute(docs)[0] and got
 
 
+def test_groups_hold_the_same_pairs(rows):
+    docs = corpus(6)
+    groups, text = {}, {}
+    for i, t, *_ in docs:
+        text.setdefault(i, t or "")
+    for r in span_groups(rows(docs, DOCS), key="doc_id", text="text", length=150).collect():
+        groups.setdefault((r.group_id, r.passage), []).append(r)
+        assert r.passage in text[r.doc_id] and len(r.passage) == 150
+    pairs = {p for g in groups.values() for p in itertools.combinations(sorted(r.doc_id for r in g), 2)}
+    assert pairs == brute(docs)[0] and all(r.n_docs == len(g) and r.group_id == min(x.doc_id for x in g) for g in groups.values() for r in g)
+
+
+def test_equal_hashes_of_other_passages_are_no_span(rows, monkeypatch):
+    real = spans.window_hashes
+    monkeypatch.setattr(spans, "window_hashes", lambda chars, width, at: real(chars, width, at) % np.uint64(1009))
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdef") for _ in range(n))
+    anchor, passage = word(149), word(150)
+    docs = [(i, word(3) + anchor + word(9), 1, "") for i in range(6)] + [(10, passage, 1, ""), (11, passage, 1, "")]
+    assert {tuple(r) for r in span_pairs(rows(docs, DOCS), key="doc_id", text="text", length=150).collect()} == brute(docs)[0]
+
+
 def test_long_texts_in_segments(rows, monkeypatch):
     monkeypatch.setattr(spans, "SEGMENT", 1024)
     rnd = random.Random(3)
@@ -69,7 +91,8 @@ def test_long_texts_in_segments(rows, monkeypatch):
 
 
 def test_hot_passage_over_many_flushes(rows, monkeypatch):
-    blobs = spans._anchor_blobs(78, 4)
+    layout = spans._Layout(3000)
+    blobs = spans._anchor_blobs(78, layout)
     rnd = random.Random(5)
     p = "".join(rnd.choice("abcdef") for _ in range(160))
     import pandas as pd
@@ -77,10 +100,12 @@ def test_hot_passage_over_many_flushes(rows, monkeypatch):
     monkeypatch.setattr(spans, "FLUSH", 50)
     texts = [p + "".join(rnd.choice("abcdef") for _ in range(100)) for _ in range(40)]
     out = pd.concat(list(blobs(iter([pd.DataFrame({"id": range(40), "text": texts})]))))
-    found = pd.concat([spans._shared_anchors(g) for _, g in out.groupby("part")])
+    found = pd.concat([spans._shared_anchors(layout)(g) for _, g in out.groupby("part")])
     spots = {}
-    for i, s in zip(found.id, found.spots):
-        spots.setdefault(i, set()).update(s.tolist())
+    for i, s, h in zip(found.id, found.spots, found.hashes):
+        at = cover_positions(260, 78)
+        hit = np.isin(window_hashes(code_points(texts[i]), 78, at) & layout.mask, np.asarray(h, dtype=np.int64).view(np.uint64))
+        spots.setdefault(i, set()).update(np.asarray(s, dtype=np.int64).tolist(), at[hit].tolist())
     want = {k for k in cover_positions(260, 78).tolist() if k + 78 <= 160}
     assert len(spots) == 40 and all(want <= s for s in spots.values())
 
