@@ -296,7 +296,7 @@ def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> Dat
     n_docs, n_anchors = shared.agg(F.approx_count_distinct("id"), F.coalesce(F.sum(F.size("spots") + F.size("hashes")), F.lit(0))).first()
     if n_docs <= BROADCAST_IDS:
         d = d.join(F.broadcast(shared.select("id").distinct()), "id", "left_semi")
-    spans = d.join(both, "id").mapInPandas(_full_spans(length, width, layout), _SPANS)
+    spans = d.join(both, "id").mapInPandas(_full_spans(length, width, layout), _SPANS).where("span is not null and id is not null")
     # As many partitions as the spans around the shared anchors fill.
     return spans.repartition(max(8, n_anchors * PERIOD // len(COVER) // PARTITION_SPANS + 1), "span")
 
@@ -306,7 +306,7 @@ def _groups(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
     s = candidate_spans(docs, key=key, text=text, length=length).groupBy("span", "id").agg(F.min("start").alias("start"))
     sets = s.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min("start").alias("z")).where("n > 1")
     first = sets.groupBy("n", "x", "y").agg(F.min(F.struct("span", "z")).alias("f")).select("f.*")
-    # The second condition always holds; by it both sides read all columns, and so the same shuffle.
+    # The second condition always holds; by it both sides read all columns of unfiltered rows, and so the same shuffle.
     members = s.join(first, "span").where("start >= z").select("span", "id", "start")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text"))
     return cut(members.join(texts, "id").select("span", "id", F.substring("__text", F.col("start").cast("int") + 1, F.lit(length)).alias("passage")).distinct(), "groups")
