@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,21 @@ def bin86(v: Column) -> Column:
     return F.when(v == 0, 0).otherwise(F.floor((v - 1) / F.lit(3)) + 1).cast("int")
 
 
+def histogram(pixels: DataFrame, r: str, g: str, b: str) -> DataFrame:
+    """(channel, bin, height, share) of 8-bit pixels: red, green, blue and luma in 86 bins.
+
+    Bin 0 is the value 0 alone; the others are the means of three values, so all bins are as high a value. ``share`` is the height over
+    the highest of red, green and blue. Only bins that occur have a row; null channels are no pixels.
+    """
+    y = F.floor((2126 * F.col(r) + 7152 * F.col(g) + 722 * F.col(b) + 5000) / F.lit(10000)).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("channel"), c.cast("int").alias("v")) for n, c in (("r", F.col(r)), ("g", F.col(g)), ("b", F.col(b)), ("luma", y))]))
+    counts = pixels.where(F.col(r).isNotNull() & F.col(g).isNotNull() & F.col(b).isNotNull()).select(each.alias("c")).groupBy("c.channel", "c.v").agg(F.count(F.lit(1)).alias("n"))
+    bins = counts.groupBy("channel", bin86(F.col("v")).alias("bin")).agg(F.sum(F.when(F.col("v") == 0, F.col("n").cast("double")).otherwise(F.col("n") / 3)).alias("h"))
+    # At most 4 x 86 rows are left here.
+    top = bins.agg(F.max(F.when(F.col("channel") != "luma", F.col("h"))).alias("top")).withColumn("__one", F.lit(1))
+    return bins.withColumn("__one", F.lit(1)).join(F.broadcast(top), "__one").select("channel", "bin", F.round("h", 6).alias("height"), F.round(F.col("h") / F.col("top"), 6).alias("share"))
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return r * LUMA[0] + g * LUMA[1] + b * LUMA[2]
 
@@ -44,12 +59,51 @@ def linear_to_srgb(v: Column) -> Column:
     return F.when(v <= 0.0031308, v * 12.92).otherwise(F.lit(1.055) * F.pow(v, F.lit(1 / 2.4)) - 0.055)
 
 
+def vibrance(c: Column, y: Column, saturation: Column, amount: float) -> Column:
+    """As ``saturate``, the more the less saturated a colour is (``saturation`` in 0..1)."""
+    return y + (c - y) * (F.lit(1.0) + F.lit(float(amount)) * (F.lit(1.0) - F.greatest(F.lit(0.0), F.least(F.lit(1.0), saturation))))
+
+
+def soft_saturate(v: Column, limit: float) -> Column:
+    """Values pressed smoothly below ``limit`` in size: v / (1 + |v| / limit)."""
+    return v / (F.lit(1.0) + F.abs(v) / F.lit(float(limit)))
+
+
+def kelvin_xy(kelvin: Column) -> tuple[Column, Column]:
+    """Chromaticity of daylight of a colour temperature between 4,000 and 25,000 K (clamped)."""
+    # The polynomials of the standard daylight locus.
+    t = F.greatest(F.lit(4000.0), F.least(F.lit(25000.0), kelvin.cast("double")))
+    cold, warm = (0.237040, 0.24748e3, 1.9018e6, -2.0064e9), (0.244063, 0.09911e3, 2.9678e6, -4.6070e9)
+    poly = lambda k: F.lit(k[0]) + F.lit(k[1]) / t + F.lit(k[2]) / F.pow(t, F.lit(2)) + F.lit(k[3]) / F.pow(t, F.lit(3))
+    x = F.when(t <= 7000, poly(warm)).otherwise(poly(cold))
+    return x, -3.0 * x * x + 2.870 * x - 0.275
+
+
+def inverse_3x3(m: list[list[float]]) -> list[list[float]]:
+    """The inverse of a colour matrix; raises if it has none."""
+    a = np.array(m, dtype=float)
+    if a.shape != (3, 3) or abs(np.linalg.det(a)) < 1e-12:
+        raise ValueError("no inverse")
+    return np.linalg.inv(a).tolist()
+
+
+def matrix_product(m: list[list[float]], rgb: list[Column]) -> list[Column]:
+    return [sum((F.lit(float(w)) * c for w, c in zip(row[1:], rgb[1:])), F.lit(float(row[0])) * rgb[0]) for row in m]
+
+
 def box_blur(row: Column, radius: int) -> Column:
-    """Mean over [i-r, i+r] cut at the ends, of an array."""
+    """Mean over [i-r, i+r] cut at the ends, of an array: a window that slides by differences of running sums, so the radius costs nothing."""
     n = F.size(row)
-    at = lambda i: F.slice(row, F.greatest(i - radius, F.lit(0)) + 1, F.least(i + radius, n - 1) - F.greatest(i - radius, F.lit(0)) + 1)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
-    return F.when(n == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: mean(at(i))))
+    grow = lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x.cast("double")))
+    sums = F.aggregate(row, F.array(F.lit(0.0)), grow)
+
+    def mean(i: Column, upto: Column) -> Column:
+        lo, hi = F.greatest(i - radius, F.lit(0)), F.least(i + radius, n - 1)
+        return (F.get(upto, hi + 1) - F.get(upto, lo)) / (hi - lo + 1)
+
+    # The sums are made once a row: they are the only element of the outer array.
+    blurred = F.transform(F.array(sums), lambda upto: F.transform(F.sequence(F.lit(0), n - 1), lambda i: mean(i, upto)))
+    return F.when(n == 0, F.array().cast("array<double>")).otherwise(F.get(blurred, F.lit(0)))
 
 
 def box_down(row: Column, by: int) -> Column:
@@ -60,7 +114,7 @@ def box_down(row: Column, by: int) -> Column:
 
 
 def monotone_curve(points: list[tuple[float, float]]) -> Callable[[np.ndarray], np.ndarray]:
-    """A cubic through the points that doesn't overshoot (harmonic-mean slopes limited so that each piece is monotone), flat beyond the ends."""
+    """A cubic through the points that doesn't overshoot (mean slopes, limited so that each piece is monotone), flat beyond the ends."""
     x, y = (np.array(v, dtype=float) for v in zip(*sorted(points)))
     h, d = np.diff(x), np.diff(y) / np.diff(x)
     m = np.concatenate([d[:1], (d[:-1] + d[1:]) / 2, d[-1:]])
@@ -116,3 +170,23 @@ def trilinear(cube: np.ndarray, rgb: np.ndarray, strength: float = 1.0) -> np.nd
         j = np.minimum(i + np.array(c), k)
         out += w[:, None] * cube[j[:, 0], j[:, 1], j[:, 2]]
     return rgb + (out - rgb) * strength
+
+
+def apply_cube(rgb: Column, cube: np.ndarray, shaper: list[float] | None = None, strength: float = 1.0) -> Column:
+    """An array [r, g, b, r, g, b, ...] through a 1-D shaper (if any) and a cube, blended with the input by ``strength``. The cube is bounded by its own definition."""
+    c = np.asarray(cube, dtype=float)
+    grid = None if shaper is None else np.linspace(0, 1, len(shaper))
+
+    @F.pandas_udf(_DOUBLES)
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for a in s:
+            if a is None:
+                out.append(None)
+                continue
+            v = np.asarray(a, dtype=float)[: len(a) // 3 * 3].reshape(-1, 3)
+            shaped = v if grid is None else np.interp(v, grid, np.asarray(shaper, dtype=float))
+            out.append((v + (trilinear(c, shaped) - v) * strength).ravel().tolist())
+        return pd.Series(out, dtype=object)
+
+    return run(rgb)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File extensions of photographs and sidecars, and names that are never photographs.
-RAW_EXTENSIONS = "3fr ari arw bay cr2 cr3 crw dcr dng erf fff iiq k25 kdc mef mos mrw nef nrw orf pef raf rw2 srw".split()
-BITMAP_EXTENSIONS = "jpg jpeg png webp tif tiff heic heif avif".split()
-SIDECAR_EXTENSIONS = "xmp".split()
-JUNK_NAMES = "thumbs.db desktop.ini .ds_store".split()
+RAW_EXTENSIONS = "ari cr3 cr2 crw erf raf 3fr kdc dcs dcr iiq mos mef mrw nef nrw orf rw2 pef srw arw srf sr2 dng".split()
+BITMAP_EXTENSIONS = "jpg jpeg png webp tif tiff heif heic avif".split()
+SIDECAR_EXTENSIONS = "xmp aae thm lrv dop pp3".split()
+SYSTEM_FILES = ["thumbs.db", "desktop.ini", ".ds_store", ".localized", "ehthumbs.db", "icon\r"]
+SYSTEM_DIRS = ["$recycle.bin", "recycler", "system volume information", "$windows.~ws", "$windows.~bt", ".trash", ".trashes", ".spotlight-v100", ".fseventsd", ".documentrevisions-v100"]
+CATALOG_FILE = "catalog.db"
 
 
 def normalise_path(p: Column) -> Column:
@@ -54,9 +58,19 @@ def kind(ext: Column) -> Column:
     return F.when(e.isin(RAW_EXTENSIONS), "raw").when(e.isin(BITMAP_EXTENSIONS), "bitmap").when(e.isin(SIDECAR_EXTENSIONS), "sidecar").otherwise("other")
 
 
+def junk_kind(p: Column) -> Column:
+    """Why a name is never a photograph: ``stream`` (of another file), ``system``, ``temporary`` or ``catalog``; null for others."""
+    n = F.lower(F.regexp_extract(p, r"[^/\\]*$", 0))
+    return (
+        F.when(F.contains(n, F.lit(":")), "stream")
+        .when(n.isin(SYSTEM_FILES + SYSTEM_DIRS) | n.startswith("._"), "system")
+        .when(n.startswith("~$") | n.endswith(".tmp") | n.startswith(".goutputstream-"), "temporary")
+        .when((n == CATALOG_FILE) | n.startswith(CATALOG_FILE + "-"), "catalog")
+    )
+
+
 def is_junk(p: Column) -> Column:
-    n = F.lower(file_name(p))
-    return n.isin(JUNK_NAMES) | n.startswith("._") | n.startswith("~$") | n.endswith(".tmp")
+    return junk_kind(p).isNotNull()
 
 
 def natural_key(s: Column) -> Column:
@@ -81,12 +95,35 @@ def collision_stem(s: Column, n: Column) -> Column:
     return F.format_string("%s_%02d", s, n)
 
 
-def render_template(when: Column, name: Column, brand: Column, model: Column, seq: Column, width: int = 4) -> Column:
-    """``YYYY/MM/DD-Wnn/brand/model/name_SEQ``: missing dates are zeros, missing texts ``Unknown``; a long number widens."""
+#: The variables of a path template, longest first, and the prefix of a sequence number.
+TEMPLATE_VARS, SEQUENCE = ["FILENAME", "CMONTH", "CYEAR", "CWEEK", "BRAND", "MODEL", "CDAY"], "SEQ"
+
+
+def parse_template(template: str) -> list[tuple[str, str | int]]:
+    """A template's parts: ("text", literal), ("var", name) or ("seq", digits). A variable is ``:NAME``, a sequence number ``:SEQ`` and as many zeros as digits."""
+    parts: list[tuple[str, str | int]] = []
+    for m in re.finditer(rf":(?:({'|'.join(TEMPLATE_VARS)})|{SEQUENCE}(0+))|(:|[^:]+)", template):
+        if m[1]:
+            parts.append(("var", m[1]))
+        elif m[2]:
+            parts.append(("seq", len(m[2])))
+        else:
+            if m[3] == ":":
+                raise ValueError(f"unknown variable at {template[m.start() :]!r}")
+            parts.append(("text", m[3]))
+    return parts
+
+
+def render(template: str, *, when: Column, name: Column, brand: Column, model: Column, seq: Column) -> Column:
+    """A template filled in: missing dates are zeros, missing brands and models ``Unknown``; a number longer than its digits widens."""
     date = lambda f, none: F.coalesce(F.date_format(when, f), F.lit(none))
     word = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("Unknown"))
-    week = F.when(when.isNull(), "00").otherwise(F.format_string("%02d", F.weekofyear(when)))
-    return F.concat_ws("/", date("yyyy", "0000"), date("MM", "00"), F.concat(date("dd", "00"), F.lit("-W"), week), word(brand), word(model), F.concat(word(name), F.lit("_"), F.format_string(f"%0{width}d", seq)))
+    values = {
+        "CYEAR": date("yyyy", "0000"), "CMONTH": date("MM", "00"), "CDAY": date("dd", "00"), "CWEEK": F.when(when.isNull(), "00").otherwise(F.format_string("%02d", F.weekofyear(when))),
+        "FILENAME": F.coalesce(name, F.lit("")), "BRAND": word(brand), "MODEL": word(model),
+    }
+    one = {"text": F.lit, "var": values.get, "seq": lambda width: F.format_string(f"%0{width}d", seq)}
+    return F.concat(*[one[kind](value) for kind, value in parse_template(template)], F.lit(""))
 
 
 def path_problem(p: Column, longest: int = 255) -> Column:

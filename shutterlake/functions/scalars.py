@@ -74,11 +74,82 @@ def band_weight(distance: Column, inner: float, outer: float) -> Column:
     return F.lit(1.0) - t * t * (3 - 2 * t)
 
 
-def match_score(text: Column, typed: str) -> Column:
-    """How well a name fits what was typed: 1000 equal, below 800 by length as a prefix, 600 less the place as a substring; 0 not at all."""
-    t, q = F.lower(text), typed.strip().lower()
-    at = F.instr(t, q)
-    return F.when(t == q, 1000).when(t.startswith(q), F.greatest(F.lit(601), 800 - F.length(t))).when(at > 0, F.greatest(F.lit(1), 600 - at)).otherwise(0)
+def subsequence_score(text: Column, typed: Column) -> Column:
+    """How well the characters of ``typed`` occur in order in ``text``, both in lower case: -1 if they don't, 0 for nothing typed.
+
+    A character counts 10, 5 more for each in a row with it, 8 more at the start of a word; the place of the first is taken off, at most 20.
+    """
+    start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("streak"), F.lit(0).alias("matched"), F.lit(-1).alias("first"))
+
+    def step(s: Column, i: Column) -> Column:
+        hit = (s["matched"] < F.length(typed)) & (F.substring(text, i, F.lit(1)) == F.substring(typed, s["matched"] + 1, F.lit(1)))
+        word = (i == 1) | F.substring(text, i - 1, F.lit(1)).rlike(r"[\s·/\\|,.\-_:]")
+        streak = F.when(hit, s["streak"] + 1).when(s["matched"] < F.length(typed), F.lit(0)).otherwise(s["streak"])
+        return F.struct(
+            F.when(hit, s["score"] + 10 + 5 * (s["streak"] + 1) + F.when(word, 8).otherwise(0)).otherwise(s["score"]).alias("score"), streak.alias("streak"),
+            F.when(hit, s["matched"] + 1).otherwise(s["matched"]).alias("matched"), F.when(hit & (s["first"] < 0), i - 1).otherwise(s["first"]).alias("first"),
+        )
+
+    def end(s: Column) -> Column:
+        return F.when(s["matched"] < F.length(typed), -1).otherwise(s["score"] - F.least(s["first"], F.lit(20)))
+
+    scored = F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, end)
+    return F.when(F.length(typed) == 0, 0).when(F.length(text) < F.length(typed), -1).otherwise(scored)
+
+
+def match_score(typed: str, title: Column, ident: Column | None = None, group: Column | None = None, keywords: list[Column] = ()) -> Column:
+    """How well an entry fits what was typed; null if not at all, 0 if nothing was typed.
+
+    1000 for an equal title; 800 less what a title is longer (at most 100) if it starts so; else the best subsequence score of title, id and
+    keywords (both times 0.7) and group (times 0.5). A text typed with spaces is tried without them too.
+    """
+    raw = typed.strip().lower()
+    if not raw:
+        return F.lit(0.0)
+    needles = [raw, "".join(raw.split())] if " " in raw else [raw]
+    t = F.lower(title)
+    weighted = [(ident, 0.7), (group, 0.5), *[(k, 0.7) for k in keywords]]
+
+    def one(n: str) -> Column:
+        score = lambda c, w: F.when(c.isNull(), -1.0).otherwise(F.when(subsequence_score(F.lower(c), F.lit(n)) < 0, -1.0).otherwise(subsequence_score(F.lower(c), F.lit(n)) * w))
+        best = F.greatest(score(title, 1.0), *[score(c, w) for c, w in weighted if c is not None], F.lit(-1.0))
+        return F.when(t == n, 1000.0).when(t.startswith(n), 800.0 - F.least(F.length(t) - len(n), F.lit(100))).otherwise(best)
+
+    best = F.greatest(*[one(n) for n in needles], F.lit(-1.0))
+    return F.when(best >= 0, best)
+
+
+def recent_boost(ident: Column, recent: list) -> Column:
+    """20 for the entry used last, 3 less for each before it, never below 0."""
+    place = F.array_position(F.array(*map(F.lit, recent)), ident) if recent else F.lit(0)
+    return F.when(place > 0, F.greatest(F.lit(0), F.lit(20) - 3 * (place - 1))).otherwise(0)
+
+
+def clean_name(c: Column, most: int = 64) -> Column:
+    """A tag's name without blanks at the ends; null for an empty one and one of more than ``most`` characters."""
+    t = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when((F.length(t) >= 1) & (F.length(t) <= most), t)
+
+
+def utc_format(millis: Column, form: str) -> Column:
+    """Milliseconds as UTC text whatever the session's zone: ``compact`` (20260915-143002Z), ``human`` (2026-09-15 14:30:02 UTC) or ``iso`` (2026-09-15T14:30:02Z)."""
+    seconds = F.floor(millis / F.lit(1000))
+    day = F.date_from_unix_date(F.floor(seconds / F.lit(86400)).cast("int")).cast("string")
+    of_day = F.pmod(seconds, F.lit(86400))
+    clock = [F.floor(of_day / F.lit(3600)), F.pmod(F.floor(of_day / F.lit(60)), F.lit(60)), F.pmod(of_day, F.lit(60))]
+    if form == "compact":
+        return F.concat(F.replace(day, F.lit("-"), F.lit("")), F.format_string("-%02d%02d%02dZ", *clock))
+    return F.concat(day, F.format_string({"human": " %02d:%02d:%02d UTC", "iso": "T%02d:%02d:%02dZ"}[form], *clock))
+
+
+def marking_problem(rating: Column, color: Column, like: Column, lock: Column) -> Column:
+    """The first marking that isn't allowed, or null: ratings 0 to 5, six colours, like or dislike, locks 0 to 2; nulls are allowed but for the rating and the lock."""
+    return (
+        F.when(rating.isNull() | ~rating.between(0, 5), "rating")
+        .when(color.isNotNull() & ~color.isin(COLORS), "color")
+        .when(like.isNotNull() & ~like.isin("like", "dislike"), "like")
+        .when(lock.isNull() | ~lock.between(0, 2), "lock")
+    )
 
 
 def is_under(path: Column, directory: str, subdirectories: bool) -> Column:

@@ -74,13 +74,28 @@ def inherit_times(files: DataFrame, *, key: str, path: str, is_raw: str, time: s
     return p.join(least, "__pair", "left").withColumn("inherited_at", F.when(F.col(is_raw) & F.col(time).isNull(), F.col("__least"))).drop("__pair", "__least")
 
 
-def sidecar_audit(files: DataFrame) -> DataFrame:
-    """(asset_id, verdict): photos that should have a sidecar beside their raw against the sidecars there are."""
-    want = files.where("role = 'raw'").select("asset_id", F.concat(stem(F.col("rel_path_folded")), F.lit(".xmp")).alias("want")).distinct()
-    have = files.where("role = 'sidecar'").select(F.col("asset_id").alias("owner"), file_name(F.col("rel_path_folded")).alias("have"), F.col("missing_since").isNotNull().alias("lost")).distinct()
-    j = want.join(have, F.col("asset_id") == F.col("owner"), "full_outer")
-    verdict = F.when(F.col("have").isNull(), "absent").when(F.col("want").isNull(), "orphan").when(F.col("lost"), "lost").otherwise("present")
-    return j.select(F.coalesce("asset_id", "owner").alias("asset_id"), verdict.alias("verdict")).distinct()
+def sidecar_audit(photos: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """(path, asset_id, verdict): the sidecars photos should have against those on disk, by folded path.
+
+    ``photos`` are (asset_id, path, wanted, content): the path of the photo's file, whether it has anything a sidecar could say, and
+    a digest of that (null: not compared). ``sidecars`` are (path, ours, content). ``absent``: wanted, not there. ``outdated``: there with
+    other content. ``present``. ``stale``: not wanted, one of ours is there. ``foreign``: not wanted, someone else's. ``orphan``: at a path no
+    photo owns. Photos without a path own none; a photo neither wanted nor there gives no row. Of photos with one path the first owns it.
+    """
+    own = photos.where("path is not null").withColumn("want", F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit(".xmp"))).groupBy("want")
+    own = own.agg(F.min(F.struct("asset_id", "wanted", F.col("content").alias("due"))).alias("o")).select("want", "o.*")
+    there = sidecars.where("path is not null").groupBy("path").agg(F.min(F.struct("ours", "content")).alias("s")).select("path", "s.*")
+    j = own.join(there, F.col("want") == F.col("path"), "full_outer")
+    verdict = (
+        F.when(F.col("want").isNull(), "orphan")
+        .when(F.col("wanted") & F.col("path").isNull(), "absent")
+        .when(F.col("wanted") & (F.col("due") != F.col("content")), "outdated")
+        .when(F.col("wanted"), "present")
+        .when(F.col("path").isNull(), None)
+        .when(F.col("ours"), "stale")
+        .otherwise("foreign")
+    )
+    return j.select(F.coalesce("want", "path").alias("path"), "asset_id", verdict.alias("verdict")).where("verdict is not null")
 
 
 def content_duplicates(files: DataFrame) -> DataFrame:
@@ -103,11 +118,12 @@ def fill_blanks(rows: DataFrame, donors: DataFrame, key: str, columns: list[str]
     return j.withColumns({c: F.when(blank(c), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}).select(rows.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str, counters: list[str] = ()) -> DataFrame:
-    """Latest row of each key of both; counters keep their maximum."""
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str], counters: list[str] = ()) -> DataFrame:
+    """Latest row of each key of both, by ``order`` and then by the other columns, so ties are settled; counters keep their maximum."""
     both = old.unionByName(new)
     rest = [c for c in old.columns if c not in key and c not in counters]
-    return both.groupBy(*key).agg(*[F.max_by(c, order).alias(c) for c in rest], *[F.max(c).alias(c) for c in counters]).select(old.columns)
+    row = F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("__r")
+    return both.groupBy(*key).agg(row, *[F.max(c).alias(c) for c in counters]).select(*[c if c in key or c in counters else F.col(f"__r.{c}") for c in old.columns])
 
 
 def near_names(rows: DataFrame, *, key: str, name: str, least_chars: int = 4) -> DataFrame:
@@ -144,17 +160,33 @@ def by_position(ids: list[int], rows: DataFrame, key: str) -> DataFrame:
     return lst.join(rows, key)
 
 
+def known_sources(incoming: DataFrame, registered: DataFrame) -> DataFrame:
+    """(id, known_by) of incoming files that were registered before: by ``identity``, else by ``path`` (folded path, size and time).
+
+    Both have (ident, path, size, mtime), ``incoming`` also id. A null identity or path finds nothing; null sizes and times equal null ones.
+    Registered files are reduced to distinct keys first, so a hot one is one row.
+    """
+    idents = registered.where("ident is not null").select(F.col("ident").alias("r_ident")).distinct().withColumn("by_ident", F.lit(True))
+    paths = registered.where("path is not null").select(*[F.col(c).alias(f"r_{c}") for c in ("path", "size", "mtime")]).distinct().withColumn("by_path", F.lit(True))
+    same = (F.col("path") == F.col("r_path")) & F.col("size").eqNullSafe(F.col("r_size")) & F.col("mtime").eqNullSafe(F.col("r_mtime"))
+    j = incoming.join(idents, F.col("ident") == F.col("r_ident"), "left").join(paths, same, "left")
+    return j.select("id", F.when(F.col("by_ident"), "identity").when(F.col("by_path"), "path").alias("known_by")).where("known_by is not null")
 
 
-def import_verdicts(planned: DataFrame, existing: DataFrame) -> DataFrame:
-    """(id, verdict) of planned files (id, key, size, hash) against existing ones (key, size, hash): ``free``, ``skip`` or ``conflict``.
+def import_plan(planned: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, leader, verdict, group_conflict) of planned files (id, dir, stem, bitmap, key, size, hash) against existing ones (key, size, hash).
 
-    A path that is taken is skipped if size and content hash are known and equal; only there are hashes looked at. Two
-    planned files with one path: the later by id is in conflict with the earlier.
+    Files of one source directory and folded stem are a group; its leader is its first bitmap, else its first file. ``verdict`` on the
+    file's own target path ``key``: ``free``; ``conflict`` if an earlier planned file has it, or an existing one that isn't known to be equal;
+    ``skip`` if size and content hash are known and equal - hashes are looked at only where path and size are. ``group_conflict``: some
+    file of the group is in conflict, so the whole group needs another name. Null paths conflict with nothing.
     """
     e = existing.where("key is not null").groupBy("key").agg(F.min(F.struct("size", "hash")).alias("e"))
     first = planned.where("key is not null").groupBy("key").agg(F.min("id").alias("first"))
-    j = planned.join(e, "key", "left").join(first, "key", "left")
+    lead = planned.groupBy("dir", "stem").agg(F.min(F.struct(~F.col("bitmap"), "id")).alias("l")).select(F.col("dir").alias("g_dir"), F.col("stem").alias("g_stem"), F.col("l.id").alias("leader"))
     same = (F.col("size") == F.col("e.size")) & (F.col("hash") == F.col("e.hash"))
-    verdict = F.when(F.col("e").isNotNull(), F.when(F.coalesce(same, F.lit(False)), "skip").otherwise("conflict")).when(F.col("id") != F.col("first"), "conflict").otherwise("free")
-    return j.select("id", verdict.alias("verdict"))
+    verdict = F.when(F.col("id") != F.col("first"), "conflict").when(F.col("e").isNull(), "free").when(F.coalesce(same, F.lit(False)), "skip").otherwise("conflict")
+    j = planned.join(e, "key", "left").join(first, "key", "left").select("id", "dir", "stem", verdict.alias("verdict"))
+    bad = j.groupBy("dir", "stem").agg(F.max(F.col("verdict") == "conflict").alias("group_conflict")).toDF("c_dir", "c_stem", "group_conflict")
+    of = lambda d, s: F.col("dir").eqNullSafe(F.col(d)) & F.col("stem").eqNullSafe(F.col(s))
+    return j.join(lead, of("g_dir", "g_stem")).join(bad, of("c_dir", "c_stem")).select("id", "leader", "verdict", "group_conflict")

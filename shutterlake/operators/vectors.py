@@ -10,21 +10,43 @@ from shutterlake.functions.vectors import contrastive
 MAX_CONCEPTS = 4096
 
 
+def _blocks(concepts: DataFrame) -> list[DataFrame]:
+    """The concepts as one-row tables of at most about ``MAX_CONCEPTS`` concepts each."""
+    n = -(-concepts.count() // MAX_CONCEPTS)
+    c = F.struct("concept", "positive", "negative")
+    part = F.pmod(F.xxhash64("concept"), F.lit(max(1, n)))
+    return [concepts.where(part == b).agg(F.array_sort(F.collect_list(c)).alias("__c")).withColumn("__one", F.lit(1)) for b in range(n)]
+
+
 def concept_scores(vectors: DataFrame, concepts: DataFrame, *, key: str, vector: str) -> DataFrame:
     """(key, concept, score) for each vector and concept (concept, positive, negative).
 
-    The concept set is small by definition: above ``MAX_CONCEPTS`` it is refused. It is sent to all executors as one row
-    and unrolled there, so vectors aren't shuffled. Vectors that can't be scored (another length, zero or not finite) give null.
+    Concepts are sent to all executors in blocks of ``MAX_CONCEPTS`` and unrolled there, so vectors aren't shuffled. Vectors that
+    can't be scored (another length, zero or not finite) give null.
     """
-    if (n := concepts.count()) > MAX_CONCEPTS:
-        raise ValueError(f"{n} concepts; at most {MAX_CONCEPTS}")
-    one = concepts.agg(F.array_sort(F.collect_list(F.struct("concept", "positive", "negative"))).alias("__c")).withColumn("__one", F.lit(1))
-    v = vectors.select(F.col(key), F.col(vector).alias("__v"), F.lit(1).alias("__one")).join(F.broadcast(one), "__one")
-    return v.select(key, "__v", F.explode("__c").alias("c")).select(key, "c.concept", contrastive(F.col("__v"), F.col("c.positive"), F.col("c.negative")).alias("score"))
+    out = None
+    for block in _blocks(concepts):
+        v = vectors.select(F.col(key), F.col(vector).alias("__v"), F.lit(1).alias("__one")).join(F.broadcast(block), "__one")
+        s = v.select(key, "__v", F.explode("__c").alias("c")).select(key, "c.concept", contrastive(F.col("__v"), F.col("c.positive"), F.col("c.negative")).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return vectors.sparkSession.createDataFrame([], f"{key} {dict(vectors.dtypes)[key]}, concept string, score double") if out is None else out
 
 
-def top_concepts(scores: DataFrame, key: str, k: int) -> DataFrame:
-    """The k best concepts of each vector; ties to the smaller concept. Kept as one bounded array a vector."""
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), F.col("concept")))), 1, k)
-    s = scores.where("score is not null").groupBy(key).agg(ranked.alias("r")).select(key, F.posexplode("r").alias("rank", "r"))
+def top_concepts(vectors: DataFrame, concepts: DataFrame, k: int, *, key: str, vector: str) -> DataFrame:
+    """(key, rank, concept, score): the ``k`` best concepts of each vector; ties go to the smaller concept.
+
+    All scores of a vector are made and sorted within its row, so neither vectors nor scores are shuffled. Concepts beyond
+    ``MAX_CONCEPTS`` are taken in blocks, of which each vector keeps its ``k`` best.
+    """
+    best = None
+    for block in _blocks(concepts):
+        v = vectors.select(F.col(key), F.col(vector).alias("__v"), F.lit(1).alias("__one")).join(F.broadcast(block), "__one")
+        scored = F.transform("__c", lambda c: F.struct((-contrastive(F.col("__v"), c["positive"], c["negative"])).alias("neg"), c["concept"].alias("concept")))
+        top = v.select(key, F.slice(F.array_sort(F.filter(scored, lambda s: s["neg"].isNotNull())), 1, k).alias("r"))
+        best = top if best is None else best.unionByName(top)
+    if best is None:
+        best = vectors.select(key, F.expr("cast(array() as array<struct<neg: double, concept: string>>)").alias("r"))
+    elif concepts.count() > MAX_CONCEPTS:
+        best = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, k).alias("r"))
+    s = best.select(key, F.posexplode("r").alias("rank", "r"))
     return s.select(key, (F.col("rank") + 1).alias("rank"), F.col("r.concept").alias("concept"), (-F.col("r.neg")).alias("score"))

@@ -84,11 +84,21 @@ def sibling_inherit(spark, root):
     return l.inherit_times(f, key="id", path="path", is_raw="raw", time="t").select("id", "inherited_at")
 
 
-@query(r"""WITH w AS (SELECT DISTINCT asset_id, regexp_replace(regexp_extract(rel_path_folded, '[^/]*$'), '^(.+)\.[^.]*$', '\1') || '.xmp' AS want FROM asset_files WHERE role = 'raw'),
-h AS (SELECT DISTINCT asset_id AS owner, missing_since IS NOT NULL AS lost FROM asset_files WHERE role = 'sidecar')
-SELECT DISTINCT coalesce(asset_id, owner) AS asset_id, CASE WHEN owner IS NULL THEN 'absent' WHEN asset_id IS NULL THEN 'orphan' WHEN lost THEN 'lost' ELSE 'present' END AS verdict FROM w FULL JOIN h ON asset_id = owner""")
+@query(r"""WITH f AS (SELECT asset_id, arg_min(rel_path_folded, (role, id)) AS path FROM asset_files WHERE role <> 'sidecar' GROUP BY asset_id),
+o AS (SELECT regexp_replace(f.path, '\.[^./]*$', '') || '.xmp' AS want, arg_min(a.id, a.id) AS asset_id, arg_min(a.deleted_at IS NULL AND (a.rating > 0 OR a.color_label IS NOT NULL OR a.like_state IS NOT NULL OR trim(a.author) <> ''
+    OR trim(a.description) <> ''), a.id) AS wanted FROM assets a JOIN f ON f.asset_id = a.id GROUP BY 1),
+s AS (SELECT rel_path_folded AS path, missing_since IS NULL AS ours FROM asset_files WHERE role = 'sidecar')
+SELECT * FROM (SELECT coalesce(want, path) AS path, asset_id, CASE WHEN want IS NULL THEN 'orphan' WHEN wanted AND path IS NULL THEN 'absent' WHEN wanted THEN 'present' WHEN path IS NULL THEN NULL WHEN ours THEN 'stale' ELSE 'foreign' END AS verdict
+  FROM o FULL JOIN s ON want = path) WHERE verdict IS NOT NULL""")
 def sidecar_audit(spark, root):
-    return l.sidecar_audit(table(spark, root, "asset_files"))
+    """A photo's sidecar stands beside its display file and is wanted if it has a marking or a text; sidecars not seen on disk count as someone else's."""
+    f, a = table(spark, root, "asset_files"), table(spark, root, "assets")
+    said = (F.col("rating") > 0) | F.col("color_label").isNotNull() | F.col("like_state").isNotNull() | (F.trim("author") != "") | (F.trim("description") != "")
+    own = f.where("role <> 'sidecar'").groupBy("asset_id").agg(F.min_by("rel_path_folded", F.struct("role", "id")).alias("path"))
+    wanted = F.coalesce(F.col("deleted_at").isNull() & F.coalesce(said, F.lit(False)), F.lit(False)).alias("wanted")
+    photos = own.join(a.select(F.col("id").alias("asset_id"), wanted, F.lit(None).cast("string").alias("content")), "asset_id")
+    there = f.where("role = 'sidecar'").select(F.col("rel_path_folded").alias("path"), F.col("missing_since").isNull().alias("ours"), F.lit(None).cast("string").alias("content"))
+    return l.sidecar_audit(photos, there)
 
 
 @query("""SELECT f.id, c.class_id, c.n_copies FROM asset_files f JOIN (SELECT content_hash_kind AS k, content_hash AS h, min(id) AS class_id, count(*) AS n_copies FROM asset_files
@@ -111,13 +121,11 @@ def fill_geo_blanks(spark, root):
     return l.fill_blanks(a, g, "city", ["country", "province_state"]).select("id", "country", "province_state")
 
 
-@query("""SELECT id, arg_max(status, emitted_at) AS status, max(revision) AS revision, max(emitted_at)::VARCHAR AS emitted_at
-FROM (SELECT DISTINCT id, revision, status, emitted_at FROM task_states) t GROUP BY id HAVING count(*) = count(DISTINCT emitted_at)""")
+@query("""SELECT id, (max({'e': emitted_at, 'r': revision, 's': status})).s AS status, max(revision) AS revision, max(emitted_at)::VARCHAR AS emitted_at FROM task_states WHERE id IS NOT NULL GROUP BY id""")
 def upsert_latest(spark, root):
-    s = table(spark, root, "task_states").select("id", "revision", "status", "emitted_at").distinct()
-    clear = s.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("emitted_at").alias("d")).where("n = d").select("id")
-    s = s.join(clear, "id", "left_semi")
-    u = l.upsert(s.where("revision <= 2"), s.where("revision > 2"), ["id"], "emitted_at", counters=["revision"])
+    """Later states over earlier ones; of states at one time the one of the greatest revision, then status."""
+    s = table(spark, root, "task_states").select("id", F.col("revision").alias("at_revision"), "revision", "status", "emitted_at")
+    u = l.upsert(s.where("revision <= 2"), s.where("revision > 2 or revision is null"), ["id"], ["emitted_at", "at_revision", "status"], counters=["revision"])
     text = F.regexp_replace(F.date_format("emitted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0+$", "")
     return u.where("id is not null").select("id", "status", "revision", text.alias("emitted_at"))
 
@@ -200,9 +208,11 @@ def keep_recent(spark, root):
     return cat.keep_recent(table(spark, root, "new_assets"), "repository_id", "created_at", "row_no", 5).select("repository_id", "row_no")
 
 
-@query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, count(value) AS n FROM events GROUP BY 1""")
+@query("""WITH v AS (SELECT event_type, value, ts, row_number() OVER (PARTITION BY event_type ORDER BY value) AS place, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(value) FILTER (place = greatest(1, ceil(0.5 * n))) AS p50, max(value) FILTER (place = greatest(1, ceil(0.95 * n))) AS p95, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS greatest, count(*) AS n,
+  round(count(*) FILTER (value > 100) / count(*), 6) AS over_budget, round(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 6) AS per_second FROM v GROUP BY event_type""")
 def percentile_nearest_rank(spark, root):
-    return r.nearest_rank(table(spark, root, "events"), ["event_type"], "value", [0.5, 0.95])
+    return r.nearest_rank(table(spark, root, "events"), ["event_type"], "value", [0.5, 0.95], budget=100.0, at="ts")
 
 
 @query("""WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
@@ -211,14 +221,31 @@ def percentile_rounded_rank(spark, root):
     return r.rounded_rank(table(spark, root, "events"), "event_type", "value", 0.95)
 
 
-@query("""WITH s AS (SELECT repository_id AS k, rating::DOUBLE AS score, (like_state IS NOT DISTINCT FROM 'like')::INT AS label FROM assets WHERE rating IS NOT NULL),
+@query("""WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, value AS median FROM v WHERE i = floor(n / 2)""")
+def median_value(spark, root):
+    return r.upper_median(table(spark, root, "events"), ["event_type"], "value")
+
+
+THRESHOLDS = """WITH s AS (SELECT repository_id AS k, rating::DOUBLE AS score, (like_state IS NOT DISTINCT FROM 'like')::INT AS label FROM assets WHERE rating IS NOT NULL),
 d AS (SELECT k, score AS threshold, sum(label) AS pos, count(*) AS a FROM s GROUP BY 1, 2),
 w AS (SELECT k, threshold, sum(pos) OVER (PARTITION BY k ORDER BY threshold DESC) AS tp, sum(a) OVER (PARTITION BY k ORDER BY threshold DESC) AS n, sum(pos) OVER (PARTITION BY k) AS t FROM d)
 SELECT k AS repository_id, threshold, tp / n AS precision, tp / t AS recall, tp::BIGINT AS tp FROM w WHERE tp >= 1 AND tp / n >= 0.05
-QUALIFY row_number() OVER (PARTITION BY k ORDER BY tp / t DESC, tp / n DESC, threshold DESC) = 1""")
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY {goal} DESC, tp / n DESC, threshold DESC) = 1"""
+
+
+def _judged(spark, root):
+    return table(spark, root, "assets").select("repository_id", F.col("rating").cast("double").alias("score"), F.col("like_state").eqNullSafe("like").cast("int").alias("label"))
+
+
+@query(THRESHOLDS.format(goal="tp / t"))
 def threshold_select(spark, root):
-    a = table(spark, root, "assets").select("repository_id", F.col("rating").cast("double").alias("score"), F.col("like_state").eqNullSafe("like").cast("int").alias("label"))
-    return r.choose_threshold(a, "repository_id", "label", "score", 0.05)
+    return r.choose_threshold(_judged(spark, root), "repository_id", "label", "score", 0.05)
+
+
+@query(THRESHOLDS.format(goal="(1 + 0.25) * (tp / n) * (tp / t) / (0.25 * (tp / n) + tp / t)"))
+def threshold_f_beta(spark, root):
+    return r.choose_threshold(_judged(spark, root), "repository_id", "label", "score", 0.05, beta=0.5)
 
 
 @query("""SELECT repository_id, CASE WHEN count(DISTINCT color_label) = 0 THEN 'none' WHEN count(DISTINCT color_label) > 1 OR count(color_label) < count(*) THEN 'mixed' ELSE 'value' END AS state,
@@ -239,7 +266,8 @@ def path_parts(spark, root):
     return table(spark, root, "asset_files").select("id", p.file_name(x).alias("file_name"), p.parent(x).alias("dir_path"), p.extension(x).alias("extension"), p.stem(x).alias("stem"))
 
 
-@query("SELECT register_id, nfc_normalize(regexp_replace(replace(source_path, chr(92), '/'), '([^/])/+', '\\1/', 'g')) AS path FROM registers WHERE NOT starts_with(source_path, chr(92) || chr(92))")
+@query(r"""WITH p AS (SELECT register_id, replace(source_path, chr(92), '/') AS s FROM registers), f AS (SELECT *, regexp_replace(s, '/+', '/', 'g') AS flat FROM p)
+SELECT register_id, nfc_normalize(CASE WHEN starts_with(s, '//') THEN '/' ELSE '' END || CASE WHEN length(flat) > 1 AND NOT regexp_matches(flat, '^[A-Za-z]:/$') THEN regexp_replace(flat, '/$', '') ELSE flat END) AS path FROM f""")
 def path_normalise(spark, root):
     return table(spark, root, "registers").select("register_id", nfc(p.normalise_path(F.col("source_path"))).alias("path"))
 
@@ -256,13 +284,13 @@ def pair_groups(spark, root):
     return f.groupBy(p.pair_key(F.col("rel_path")).alias("pair_key")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("role") == "raw").alias("has_raw"))
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN lower(ext) IN ('3fr','ari','arw','bay','cr2','cr3','crw','dcr','dng','erf','fff','iiq','k25','kdc','mef','mos','mrw','nef','nrw','orf','pef','raf','rw2','srw') THEN 'raw'
-  WHEN lower(ext) IN ('jpg','jpeg','png','webp','tif','tiff','heic','heif','avif') THEN 'bitmap' WHEN lower(ext) = 'xmp' THEN 'sidecar' ELSE 'other' END AS kind FROM asset_files) GROUP BY 1""")
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN lower(ext) IN ('ari','cr3','cr2','crw','erf','raf','3fr','kdc','dcs','dcr','iiq','mos','mef','mrw','nef','nrw','orf','rw2','pef','srw','arw','srf','sr2','dng') THEN 'raw'
+  WHEN lower(ext) IN ('jpg','jpeg','png','webp','tif','tiff','heic','heif','avif') THEN 'bitmap' WHEN lower(ext) IN ('xmp','aae','thm','lrv','dop','pp3') THEN 'sidecar' ELSE 'other' END AS kind FROM asset_files) GROUP BY 1""")
 def kind_counts(spark, root):
     return table(spark, root, "asset_files").groupBy(p.kind(F.col("ext")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT a.id AS a_id, b.id AS b_id FROM tags a JOIN tags b ON a.id < b.id AND a.created_at = b.created_at AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1 AND length(a.name) >= 4 AND length(b.name) >= 4""")
+@query("""SELECT a.id AS a_id, b.id AS b_id FROM tags a JOIN tags b ON a.id < b.id AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1 AND length(a.name) >= 4 AND length(b.name) >= 4""")
 def fuzzy_names(spark, root):
     return l.near_names(table(spark, root, "tags"), key="id", name="name")
 
@@ -272,11 +300,14 @@ def natural_order(spark, root):
     return table(spark, root, "asset_files").select("id", "rel_path", p.natural_key(p.file_name(F.col("rel_path"))).alias("k")).orderBy("k", "id").select("id", "rel_path")
 
 
+TEMPLATE = ":CYEAR/:CMONTH/:CDAY-W:CWEEK/:BRAND/:MODEL/:FILENAME_:SEQ0000"
+
+
 @query(r"""WITH a AS (SELECT id, make_timestamp(taken_at * 1000) AS w, organization_uid, camera_make, camera_model FROM assets)
 SELECT id, concat_ws('/', coalesce(strftime(w, '%Y'), '0000'), coalesce(strftime(w, '%m'), '00'), coalesce(strftime(w, '%d'), '00') || '-W' || coalesce(lpad(weekofyear(w)::VARCHAR, 2, '0'), '00'),
-  coalesce(nullif(trim(camera_make), ''), 'Unknown'), coalesce(nullif(trim(camera_model), ''), 'Unknown'), organization_uid || '_' || printf('%04d', id)) AS path FROM a""")
+  coalesce(nullif(trim(camera_make), ''), 'Unknown'), coalesce(nullif(trim(camera_model), ''), 'Unknown'), coalesce(organization_uid, '') || '_' || printf('%04d', id)) AS path FROM a""")
 def template_render(spark, root):
-    return table(spark, root, "assets").select("id", p.render_template(F.timestamp_millis("taken_at"), F.col("organization_uid"), F.col("camera_make"), F.col("camera_model"), F.col("id")).alias("path"))
+    return table(spark, root, "assets").select("id", p.render(TEMPLATE, when=F.timestamp_millis("taken_at"), name=F.col("organization_uid"), brand=F.col("camera_make"), model=F.col("camera_model"), seq=F.col("id")).alias("path"))
 
 
 @query(r"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN source_path IS NULL OR trim(source_path) = '' THEN 'empty' WHEN regexp_matches(source_path, '[<>:"|?*\\\x00-\x1f]') THEN 'illegal character'
@@ -349,8 +380,7 @@ s AS (SELECT vec_id, concept, {COS.format("positive")} AS score FROM e JOIN n ON
 SELECT vec_id, rank::INT AS rank, concept, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, concept) AS rank FROM s) WHERE rank <= 3""")
 def top_k_concepts(spark, root):
     plain = _concepts(spark, root).withColumn("negative", F.lit(None).cast("array<double>"))
-    s = concept_scores(table(spark, root, "embeddings"), plain, key="vec_id", vector="embedding")
-    return top_concepts(s, "vec_id", 3).withColumn("score", F.round("score", 6))
+    return top_concepts(table(spark, root, "embeddings"), plain, 3, key="vec_id", vector="embedding").withColumn("score", F.round("score", 6))
 
 
 PIXELS = "px AS (SELECT vec_id, unnest(list_transform(embedding, lambda z: greatest(0, least(255, floor(128 + z::DOUBLE * 256)))::INT)) AS v FROM embeddings)"
@@ -360,10 +390,18 @@ def _pixels():
     return F.transform("embedding", lambda z: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.lit(128) + z.cast("double") * 256).cast("int"))))
 
 
-@query(f"WITH {PIXELS} SELECT CASE WHEN v = 0 THEN 0 ELSE (v - 1) // 3 + 1 END::INT AS bin, count(*) AS n FROM px GROUP BY 1")
+@query("""WITH e AS (SELECT list_transform(embedding, lambda z: greatest(0, least(255, floor(128 + z::DOUBLE * 256)))::INT) AS p FROM embeddings),
+rgb AS (SELECT unnest(list_transform(range(len(p) // 3), lambda i: {'r': p[i * 3 + 1], 'g': p[i * 3 + 2], 'b': p[i * 3 + 3]})) AS c FROM e),
+ch AS (SELECT u.channel, u.v FROM rgb, LATERAL (VALUES ('r', c.r), ('g', c.g), ('b', c.b), ('luma', (2126 * c.r + 7152 * c.g + 722 * c.b + 5000) // 10000)) AS u(channel, v)),
+h AS (SELECT channel, CASE WHEN v = 0 THEN 0 ELSE (v - 1) // 3 + 1 END::INT AS bin, count(*) / CASE WHEN v = 0 THEN 1 ELSE 3 END AS part FROM ch GROUP BY channel, v)
+SELECT channel, bin, round(sum(part), 6) AS height, round(sum(part) / max(sum(part)) FILTER (channel <> 'luma') OVER (), 6) AS share FROM h GROUP BY channel, bin""")
 def histogram86(spark, root):
-    px = table(spark, root, "embeddings").select(F.explode(_pixels()).alias("v"))
-    return px.groupBy(k.bin86(F.col("v")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Three consecutive values of a vector as the channels of a pixel."""
+    px = table(spark, root, "embeddings").select(_pixels().alias("p"))
+    at = lambda i, c: F.element_at("p", i * 3 + c)
+    triples = F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / F.lit(3)).cast("int") - 1), lambda i: F.struct(at(i, 1).alias("r"), at(i, 2).alias("g"), at(i, 3).alias("b")))
+    rgb = px.where(F.size("p") >= 3).select(F.explode(triples).alias("c")).select("c.*")
+    return k.histogram(rgb, "r", "g", "b")
 
 
 @query("""WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)

@@ -26,27 +26,6 @@ def excluded_count(spark, root):
     return table(spark, root, "asset_files").where(hit).agg(F.count(F.lit(1)).alias("n"))
 
 
-LENS = """prof AS (SELECT camera_make, lens, focal_mm, count(*) AS n FROM assets WHERE camera_make IS NOT NULL AND lens IS NOT NULL AND focal_mm IS NOT NULL GROUP BY ALL),
-best AS (SELECT *, rank() OVER (PARTITION BY camera_make, focal_mm ORDER BY n DESC) AS r FROM prof),
-sure AS (SELECT camera_make, focal_mm, min(lens) AS lens FROM best WHERE r = 1 GROUP BY 1, 2 HAVING count(*) = 1)"""
-
-
-@query(f"WITH {LENS} SELECT a.id, s.lens AS matched_lens FROM assets a JOIN sure s ON a.camera_make = s.camera_make AND a.focal_mm = s.focal_mm WHERE a.lens IS NULL")
-def lens_match(spark, root):
-    """For photos without a lens the profile of their maker and focal length seen most; an ambiguous best matches none."""
-    a = table(spark, root, "assets").select("id", "camera_make", "focal_mm", "lens")
-    n = a.dropna().groupBy("camera_make", "focal_mm", "lens").agg(F.count(F.lit(1)).alias("n"))
-    top = F.rank().over(Window.partitionBy("camera_make", "focal_mm").orderBy(F.col("n").desc()))
-    sure = n.withColumn("r", top).where("r = 1").groupBy("camera_make", "focal_mm").agg(F.min("lens").alias("matched_lens"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
-    return a.where("lens is null").join(sure, ["camera_make", "focal_mm"]).select("id", "matched_lens")
-
-
-@query("SELECT event_type, quantile_disc(value, 0.5) AS lower_median, round(median(value), 6) AS median FROM events GROUP BY 1")
-def median_value(spark, root):
-    disc = F.expr("percentile_disc(0.5) within group (order by value)").alias("lower_median")
-    return table(spark, root, "events").groupBy("event_type").agg(disc, F.round(F.median("value"), 6).alias("median"))
-
-
 @query("""WITH r AS (SELECT trim(author) AS v, 0 AS tier, -max(updated_at) AS o FROM assets WHERE trim(author) <> '' GROUP BY 1 ORDER BY max(updated_at) DESC, 1 LIMIT 5),
 c AS (SELECT trim(author) AS v, 1 AS tier, -count(*) AS o FROM assets WHERE trim(author) <> '' GROUP BY 1),
 u AS (SELECT v, min(tier) AS tier FROM (SELECT * FROM r UNION ALL SELECT * FROM c) GROUP BY v) SELECT v AS value, tier FROM u ORDER BY tier, value LIMIT 20""")
@@ -59,12 +38,6 @@ def suggestion_merge(spark, root):
     return both.groupBy("value").agg(F.min("tier").alias("tier")).orderBy("tier", "value").limit(20)
 
 
-@query("""SELECT id, name, CASE WHEN lower(name) = 'dune' THEN 1000 WHEN starts_with(lower(name), 'dune') THEN greatest(601, 800 - length(name)) WHEN instr(lower(name), 'dune') > 0 THEN greatest(1, 600 - instr(lower(name), 'dune')) ELSE 0 END::INT AS score
-FROM tags WHERE contains(lower(name), 'dune')""")
-def match_scores(spark, root):
-    return table(spark, root, "tags").select("id", "name", s.match_score(F.col("name"), " Dune ").alias("score")).where("score > 0")
-
-
 @query("SELECT id, name FROM (SELECT id, name, use_count, use_count > 20 AS pinned FROM tags WHERE use_count > 20 OR contains(lower(name), 'hill')) ORDER BY pinned DESC, use_count DESC, id LIMIT 60")
 def tag_menu(spark, root):
     t = table(spark, root, "tags").withColumn("pinned", F.col("use_count") > 20)
@@ -131,17 +104,6 @@ def mark_summary(spark, root):
     return m.groupBy("asset_id").agg((F.max("millis") - F.min("millis")).alias("span_ms"), F.count_distinct("flag").alias("n_flags"), F.count_if(F.col("flag") == "pick").alias("n_picks"))
 
 
-@query("""WITH e AS (SELECT rel_path_folded AS k FROM asset_files), p AS (SELECT row_no, nfc_normalize(lower(replace(target_rel, chr(92), '/'))) AS k FROM new_assets),
-f AS (SELECT k, min(row_no) AS first FROM p GROUP BY k)
-SELECT row_no AS id, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.k = p.k) OR p.row_no <> f.first THEN 'conflict' ELSE 'free' END AS verdict FROM p JOIN f USING (k)""")
-def import_verdicts(spark, root):
-    """Planned files have no fingerprint here, so a taken path is a conflict."""
-    none = F.lit(None).cast("string").alias("hash")
-    n = table(spark, root, "new_assets").select(F.col("row_no").alias("id"), fold_path("target_rel").alias("key"), F.lit(None).cast("long").alias("size"), none)
-    f = table(spark, root, "asset_files").select(F.col("rel_path_folded").alias("key"), F.col("size_bytes").alias("size"), F.col("content_hash").alias("hash"))
-    return l.import_verdicts(n, f)
-
-
 @query("SELECT f.id, f.rel_path FROM asset_files f WHERE f.asset_id IN (SELECT unnest(from_json('[1001, 1005, 1010, 77]', '[\"BIGINT\"]')))")
 def json_idlist(spark, root):
     ids = spark.range(1).select(F.explode(F.from_json(F.lit("[1001, 1005, 1010, 77]"), "array<bigint>")).alias("asset_id"))

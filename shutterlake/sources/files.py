@@ -83,15 +83,18 @@ def compose_sidecar(rating: Column, label: Column, city: Column, country: Column
     return F.concat(F.lit(head), attr("xmp:Rating", rating), attr("xmp:Label", F.initcap(label)), attr("photoshop:City", city), attr("photoshop:Country", country), F.lit(">"), bag, F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>"))
 
 
-def adopt_sidecars(assets: DataFrame, sidecars: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill ``columns`` of assets from their sidecar, only where all of them are still untouched (null, blank or 0)."""
-    s = sidecars.select(F.col("asset_id").alias("__a"), *[F.col(c).alias(f"__{c}") for c in columns])
+def adopt_sidecars(assets: DataFrame, sidecars: DataFrame, columns: list[str], touched: DataFrame | None = None) -> DataFrame:
+    """Fill ``columns`` of assets from their sidecar, only where all of them are still untouched (null, blank or 0) and the asset is not among ``touched`` (asset_id: those with edits, issues or tags)."""
+    s = sidecars.groupBy(F.col("asset_id").alias("__a")).agg(F.min(F.struct(*columns)).alias("__s"))
     untouched = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0")
-    pristine = F.lit(True)
+    pristine = F.col("__a").isNotNull()
     for c in columns:
         pristine = pristine & untouched(c)
-    j = assets.join(s, F.col("id") == F.col("__a"), "left").withColumn("__pristine", pristine & F.col("__a").isNotNull())
-    return j.withColumns({c: F.when(F.col("__pristine"), F.coalesce(F.col(f"__{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}).select(assets.columns)
+    j = assets.join(s, F.col("id") == F.col("__a"), "left")
+    if touched is not None:
+        j = j.join(touched.select(F.col("asset_id").alias("__t")).where("__t is not null").distinct(), F.col("id") == F.col("__t"), "left")
+        pristine = pristine & F.col("__t").isNull()
+    return j.withColumn("__pristine", pristine).withColumns({c: F.when(F.col("__pristine"), F.coalesce(F.col(f"__s.{c}"), F.col(c))).otherwise(F.col(c)) for c in columns}).select(assets.columns)
 
 
 EXPORT_MODES = {"overwrite": "overwrite", "append": "append", "skip": "ignore"}
@@ -100,5 +103,3 @@ EXPORT_MODES = {"overwrite": "overwrite", "append": "append", "skip": "ignore"}
 def export_table(df: DataFrame, path: str, policy: str) -> None:
     """Write rows under a policy for what exists: overwrite, append or skip."""
     df.write.mode(EXPORT_MODES[policy]).parquet(path)
-
-

@@ -66,13 +66,21 @@ def test_masked_and_invalid_tags(rows):
 def test_rules_from_filters_and_edits(rows):
     import pytest
 
-    g = tagging.rule_from_filter(Filter("all", min_rating=2, colors=["red", "red", "none"]), ["b", "a"])
-    assert g == tagging.Group(("a", "b"), 2, ("none", "red"))
-    for bad in (Filter("all", text="x"), Filter(min_rating=1)):
+    g = tagging.rule_from_filter(Filter("all", min_rating=2, colors=["red", "red", "none"], tag_keys=[" Sea "]), ["b", "a", " "])
+    assert g == [tagging.Group(("a", "b"), 2, ("none", "red"), tag_keys=("sea",))]
+    some = tagging.rule_from_filter(Filter(min_rating=1, likes=["like"]), ["a"])
+    assert set(some) == {tagging.Group(("a",), 1), tagging.Group(("a",), likes=("like",))} and tagging.rule_from_filter(Filter(), ["a"]) == [tagging.Group(("a",))]
+    for bad in (Filter("all", text="x"), Filter(iso=(1, 2)), Filter(cameras=["c"])):
         with pytest.raises(ValueError):
             tagging.rule_from_filter(bad, ["a"])
+    wrong = [tagging.Group(()), tagging.Group((" ",)), tagging.Group(("a",), 6), tagging.Group(("a",), colors=("pink",)), tagging.Group(("a",), likes=("love",)), tagging.Group(("a",), locks=(3,)),
+             tagging.Group(tuple(map(str, range(65)))), tagging.Group(("a",), tag_keys=tuple(map(str, range(65)))), tagging.Group(("a",), tag_keys=("",)), tagging.Group(("a",), tag_keys=("x" * 65,))]
+    for w in wrong:
+        with pytest.raises(ValueError):
+            tagging.canonical_rule([w])
     with pytest.raises(ValueError):
-        tagging.canonical_rule([tagging.Group(())])
+        tagging.canonical_rule([tagging.Group((str(i),)) for i in range(17)])
+    assert tagging.canonical_rule([]) == [] and len(tagging.canonical_rule([tagging.Group(("a", "b")), tagging.Group(("b", "a", "a"))])) == 1
     ids = lambda *x: rows([(i,) for i in x], "id long")
     now, out = tagging.edit_members(ids(1, 2), ids(3, 4), ids(3, 5, 6), ids(2, 6), ["id"])
     assert sorted(r.id for r in now.collect()) == [1, 3, 5] and sorted(r.id for r in out.collect()) == [2, 4, 6]
@@ -82,7 +90,8 @@ def test_import_verdicts(rows):
     s = "id long, key string, size long, hash string"
     plan = rows([(1, "a", 5, "h"), (2, "b", 5, "h"), (3, "b", 5, "h"), (4, "c", None, None), (5, None, 1, "h"), (6, "d", 9, "h")], s)
     have = rows([(9, "a", 5, "h"), (9, "c", None, None), (9, "d", 5, "h")], s)
-    assert {r.id: r.verdict for r in linkage.import_verdicts(plan, have).collect()} == {1: "skip", 2: "free", 3: "conflict", 4: "conflict", 5: "free", 6: "conflict"}
+    plan = plan.selectExpr("*", "'d' AS dir", "cast(id AS string) AS stem", "true AS bitmap")
+    assert {r.id: r.verdict for r in linkage.import_plan(plan, have).collect()} == {1: "skip", 2: "free", 3: "conflict", 4: "conflict", 5: "free", 6: "conflict"}
 
 
 def test_slices(rows):

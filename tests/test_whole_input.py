@@ -23,7 +23,7 @@ def test_path_normalise_of_every_register(spark, rows, tmp_path):
     data = connect().execute("SELECT register_id, source_path FROM registers").fetchall()
     assert any(s.startswith("\\\\") for _, s in data)
     assert sorted(tuple(r) for r in Q["path_normalise"](spark, DATA).collect()) == sorted((i, normal(s)) for i, s in data)
-    assert set(connect().execute(registry.oracle_sql()["path_normalise"]).fetchall()) < set(map(tuple, Q["path_normalise"](spark, DATA).collect()))
+    assert set(connect().execute(registry.oracle_sql()["path_normalise"]).fetchall()) == set(map(tuple, Q["path_normalise"](spark, DATA).collect()))
     odd = [(1, None), (2, "\\\\srv\\share\\\\e\u0301\\"), (3, "C:\\")]
     rows(odd, "register_id long, source_path string").write.parquet(f"{tmp_path}/registers.parquet")
     assert dict(tuple(r) for r in Q["path_normalise"](spark, str(tmp_path)).collect()) == {1: None, 2: "//srv/share/\u00e9", 3: "C:/"}
