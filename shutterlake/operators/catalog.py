@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions.paths import file_name, parent, strip_raw_dir
 
 NONE = "none"
-SUGGESTIONS = 20
+SUGGESTIONS, MAX_PAGE = 20, 5000
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ class Query:
 
 # Columns of each sort key, and the keys that ascend by default.
 SORTS = {"taken_at": "taken_at", "file_name": "file_name", "rating": "rating", "camera": "camera", "imported_at": "imported_at", "file_size": "size_bytes"}
-ASCENDING = {"file_name", "camera"}
+ASCENDING, FILE_SORTS = {"file_name", "camera"}, {"file_name", "file_size"}
 FACETS = ["rating", "color_label", "like_state", "lock_level"]
 
 
@@ -169,15 +169,17 @@ class Catalog:
     def count(self, q: Query) -> DataFrame:
         return self.select(q).agg(F.count(F.lit(1)).alias("n_assets"))
 
-    def display_files(self) -> DataFrame:
+    def display_files(self, files: DataFrame | None = None) -> DataFrame:
         """One file a photo: the bitmap before the raw before the sidecar, the lowest id on a tie; and whether it has a raw."""
         picked = F.min_by(F.struct(F.col("id").alias("file_id"), "rel_path", "size_bytes", "missing_since", "file_created_ms", "mtime_ms"), F.struct("role", "id"))
-        return self.files.groupBy("asset_id").agg(picked.alias("f"), F.max(F.col("role") == "raw").alias("has_raw"), F.count(F.lit(1)).alias("n_files")).select("asset_id", "f.*", "has_raw", "n_files")
+        return (self.files if files is None else files).groupBy("asset_id").agg(picked.alias("f"), F.max(F.col("role") == "raw").alias("has_raw"), F.count(F.lit(1)).alias("n_files")).select("asset_id", "f.*", "has_raw", "n_files")
 
     def rows(self, q: Query) -> DataFrame:
-        """The wide projection of a page: assets with their display file."""
-        a = self.select(q)
-        return a.join(self.display_files(), F.col("id") == F.col("asset_id"), "left").select(
+        """The wide projection: assets with their display file."""
+        return self._wide(self.select(q), self.display_files())
+
+    def _wide(self, a: DataFrame, shown: DataFrame) -> DataFrame:
+        return a.join(shown, F.col("id") == F.col("asset_id"), "left").select(
             *[F.col(c) for c in a.columns],
             camera_key().alias("camera"),
             F.coalesce("rel_path", F.lit("")).alias("rel_path"),
@@ -199,7 +201,13 @@ class Catalog:
         return [first, F.col("id").desc() if down else F.col("id").asc()]
 
     def page(self, q: Query, offset: int, limit: int) -> DataFrame:
-        return self.rows(q).orderBy(*self.order(q)).offset(offset).limit(limit)
+        """One page of at most ``MAX_PAGE`` rows. Where the sort key is the asset's own, the page is cut first and only its files are read together."""
+        limit = max(0, min(limit, MAX_PAGE))
+        if q.sort in FILE_SORTS:
+            return self.rows(q).orderBy(*self.order(q)).offset(offset).limit(limit)
+        few = self.select(q).withColumn("camera", camera_key()).orderBy(*self.order(q)).offset(offset).limit(limit).drop("camera")
+        files = self.files.join(F.broadcast(few.select(F.col("id").alias("__id"))), F.col("asset_id") == F.col("__id"), "left_semi")
+        return self._wide(few, self.display_files(files)).orderBy(*self.order(q))
 
     def keyset_page(self, q: Query, after: int, upper: int, limit: int) -> DataFrame:
         """The next ``limit`` ids after ``after``, not beyond the frozen ``upper``."""

@@ -28,10 +28,11 @@ def _km(lat1, lon1, lat2, lon2):
 def nearest_place(points: DataFrame, places: DataFrame, *, key: str, lat: str, lon: str) -> DataFrame:
     """(key, place_id, km) for each point with a position; ties go to the smaller place id.
 
-    Places are (place_id, lat, lon). They are taken in blocks of bounded size, sorted by latitude; for a point the
-    search goes outward from its latitude and ends where the latitude alone is farther than the best found.
+    Places are (place_id, lat, lon). They are taken in blocks of bounded size, sorted by latitude. Points are taken a batch at a
+    time, those of one degree cell together: all places of a band of latitudes around the cell, which is doubled until it is farther to its edge
+    than the best found for each point. Points without a position and places without one are left out.
     """
-    p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("__k"), F.col(lat).alias("__la"), F.col(lon).alias("__lo"))
+    p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("__k"), F.col(lat).cast("double").alias("__la"), F.col(lon).cast("double").alias("__lo"))
     schema = f"__k {dict(points.dtypes)[key]}, place_id long, km double"
     spark, found = points.sparkSession, None
     good = places.where("lat is not null and lon is not null")
@@ -44,10 +45,9 @@ def nearest_place(points: DataFrame, places: DataFrame, *, key: str, lat: str, l
         sent = spark.sparkContext.broadcast((table.lat.to_numpy(), table.lon.to_numpy(), table.place_id.to_numpy()))
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            la, lo, ids = sent.value
             for pdf in batches:
-                out = [_search(la, lo, ids, x, y) for x, y in zip(pdf['__la'], pdf['__lo'])] if len(la) else []
-                yield pd.DataFrame({"__k": pdf["__k"], "place_id": [o[0] for o in out], "km": [o[1] for o in out]}) if out else pd.DataFrame({"__k": [], "place_id": [], "km": []})
+                ids, km = nearest(*sent.value, pdf["__la"].to_numpy(), pdf["__lo"].to_numpy())
+                yield pd.DataFrame({"__k": pdf["__k"], "place_id": ids, "km": km})[: len(ids)]
 
         part = p.mapInPandas(run, schema)
         found = part if found is None else found.unionByName(part)
@@ -56,18 +56,25 @@ def nearest_place(points: DataFrame, places: DataFrame, *, key: str, lat: str, l
     return found.withColumnRenamed("__k", key)
 
 
-def _search(la, lo, ids, x, y, width: int = 256):
-    at = np.searchsorted(la, x)
-    lo_i, hi_i, best = at, at, (np.inf, 0)
+def nearest(la: np.ndarray, lo: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest place and its distance for points (x, y); places are sorted by latitude. At most about ``cells`` distances are held at once."""
+    best_id, best = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    if not len(la):
+        return best_id[:0], best[:0]
     per_degree = EARTH_KM * np.pi / 180
-    while lo_i > 0 or hi_i < len(la):
-        a, b = max(0, lo_i - width), min(len(la), hi_i + width)
-        i = np.r_[a:lo_i, hi_i:b]
-        km = _km(x, y, la[i], lo[i])
-        best = min(best, (km.min(), ids[i[km == km.min()]].min()))
-        lo_i, hi_i = a, b
-        below = (x - la[lo_i - 1]) * per_degree if lo_i > 0 else np.inf
-        above = (la[hi_i] - x) * per_degree if hi_i < len(la) else np.inf
-        if min(below, above) > best[0] * (1 + 1e-9) + 1e-9:
-            break
-    return int(best[1]), float(best[0])
+    cell = np.floor(x).astype(np.int64) * 1000 + np.floor(y).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        left, reach, low, high = group, 1.0, np.floor(x[group[0]]), np.floor(x[group[0]]) + 1
+        while len(left):
+            a, b = np.searchsorted(la, [low - reach, high + reach], side="left")
+            for part in np.array_split(left, max(1, len(left) * (b - a) // cells + 1)) if b > a else []:
+                km = _km(x[part][:, None], y[part][:, None], la[None, a:b], lo[None, a:b])
+                least = km.min(axis=1)
+                same = np.where(km == least[:, None], ids[None, a:b], np.iinfo(np.int64).max).min(axis=1)
+                best[part], best_id[part] = least, same
+            edge = np.minimum(x[left] - (low - reach), (high + reach) - x[left]) * per_degree
+            whole = a == 0 and b == len(la)
+            left = left[:0] if whole else left[edge <= best[left] * (1 + 1e-9) + 1e-9]
+            reach *= 2
+    return best_id, best

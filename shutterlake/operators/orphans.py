@@ -36,16 +36,18 @@ def key_runs(parents: DataFrame, scope: str, key: str) -> DataFrame:
 
 
 def match_runs(refs: DataFrame, runs: DataFrame, scope: str, key: str) -> DataFrame:
-    """Distinct reference keys with ``in_run``: whether the preceding run start's run reaches the key."""
+    """``refs``, distinct in scope and key, with ``in_run``: whether the preceding run start's run reaches the key."""
     w = Window.partitionBy(scope, "bucket").orderBy(F.col("at"), F.col("is_ref")).rowsBetween(Window.unboundedPreceding, 0)
-    events = runs.select(scope, "bucket", F.col("run_start").alias("at"), F.lit(0).alias("is_ref"), "run_end").unionByName(
-        refs.select(scope, _bucket(F.col(key)).alias("bucket"), F.col(key).alias("at"), F.lit(1).alias("is_ref"), F.lit(None).cast("long").alias("run_end"))
+    rest = [c for c in refs.columns if c not in (scope, key)]
+    nothing = [F.lit(None).cast(refs.schema[c].dataType).alias(c) for c in rest]
+    events = runs.select(scope, "bucket", F.col("run_start").alias("at"), F.lit(0).alias("is_ref"), "run_end", *nothing).unionByName(
+        refs.select(scope, _bucket(F.col(key)).alias("bucket"), F.col(key).alias("at"), F.lit(1).alias("is_ref"), F.lit(None).cast("long").alias("run_end"), *rest)
     )
     return (
         events.repartition(scope, "bucket")  # the window must not trust that the union's inputs are partitioned alike
         .withColumn("reach", F.last("run_end", ignorenulls=True).over(w))
         .where("is_ref = 1")
-        .select(scope, F.col("at").alias(key), F.coalesce(F.col("reach") >= F.col("at"), F.lit(False)).alias("in_run"))
+        .select(scope, F.col("at").alias(key), F.coalesce(F.col("reach") >= F.col("at"), F.lit(False)).alias("in_run"), *rest)
     )
 
 
@@ -82,15 +84,12 @@ def orphan_references(
     # One row per distinct reference key, with the span of its reference times: partial aggregation tames hot keys.
     keys = r.groupBy("__scope", "__key").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
     placed = match_runs(keys.where("__scope is not null"), key_runs(p, "__scope", "__key"), "__scope", "__key")
-    known = (
-        keys.join(placed, ["__scope", "__key"], "left")
-        .join(p, ["__scope", "__key"], "left")
-        .withColumn("__missing", ~F.coalesce(F.col("in_run"), F.lit(False)))
-    )
-    # Only keys with at least one orphan go back to the rows.
-    suspect = known.where("__missing or __first < __born or __last >= __gone").select(
-        F.col("__scope").alias("__s"), F.col("__key").alias("__k"), "__missing", "__born", "__gone"
-    )
+    # Only keys a run holds meet the parents' times, and only keys with at least one orphan go back to the rows.
+    span = ["__scope", "__key", "__first", "__last"]
+    timed = placed.where("in_run").select(*span).join(p, ["__scope", "__key"]).where("__first < __born or __last >= __gone")
+    absent = placed.where("not in_run").select(*span).unionByName(keys.where("__scope is null").select(*span))
+    absent = absent.select("__scope", "__key", F.lit(True).alias("__missing"), *[F.lit(None).cast(p.schema[c].dataType).alias(c) for c in ("__born", "__gone")])
+    suspect = timed.select("__scope", "__key", F.lit(False).alias("__missing"), "__born", "__gone").unionByName(absent).withColumnsRenamed({"__scope": "__s", "__key": "__k"})
     kind = F.when(F.col("__missing"), "missing").when(F.col("__born") > F.col("__at"), "later").when(F.col("__gone") <= F.col("__at"), "deleted")
     return (
         r.join(suspect, (F.col("__key") == F.col("__k")) & F.col("__scope").eqNullSafe(F.col("__s")))

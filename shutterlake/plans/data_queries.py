@@ -295,9 +295,13 @@ def fuzzy_names(spark, root):
     return l.near_names(table(spark, root, "tags"), key="id", name="name")
 
 
-@query()
+@query(r"""WITH n AS (SELECT id, regexp_extract(rel_path, '[^/]*$') AS n FROM asset_files), r AS (SELECT id, n, list_transform(regexp_extract_all(lower(n), '\d+|\D+'), lambda x:
+  CASE WHEN regexp_matches(x, '^\d') THEN printf('0%05d', length(regexp_replace(x, '^0+(.)', '\1'))) || regexp_replace(x, '^0+(.)', '\1') ELSE '1' || x END) AS parts FROM n)
+SELECT id, row_number() OVER (ORDER BY array_to_string(parts, chr(1)) || chr(0) || n, id) AS place FROM r""")
 def natural_order(spark, root):
-    return table(spark, root, "asset_files").select("id", "rel_path", p.natural_key(p.file_name(F.col("rel_path"))).alias("k")).orderBy("k", "id").select("id", "rel_path")
+    """The place of each file when names are ordered as people count: places are running sums over ranged partitions."""
+    keyed = table(spark, root, "asset_files").select("id", p.natural_key(p.file_name(F.col("rel_path"))).alias("k"))
+    return r.running_sum(keyed, [], ["k", "id"], F.lit(1).cast("long"), "place").select("id", "place")
 
 
 TEMPLATE = ":CYEAR/:CMONTH/:CDAY-W:CWEEK/:BRAND/:MODEL/:FILENAME_:SEQ0000"
@@ -335,12 +339,9 @@ PLACES = "places AS (SELECT row_number() OVER (ORDER BY city) AS place_id, city,
   FROM assets a JOIN places p ON true WHERE a.gps_lat IS NOT NULL AND a.gps_lon IS NOT NULL)
 SELECT id, arg_min(place_id, km) AS place_id, round(min(km), 6) AS km FROM d GROUP BY id""")
 def nearest_city(spark, root):
-    from pyspark.sql import Window
-
     a = table(spark, root, "assets")
-    # One row a city: numbered in one small window.
     cities = a.where("city is not null and gps_lat is not null").groupBy("city").agg(F.round(F.avg("gps_lat"), 3).alias("lat"), F.round(F.avg("gps_lon"), 3).alias("lon"))
-    places = cities.withColumn("place_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("city")).cast("long"))
+    places = r.running_sum(cities, [], ["city"], F.lit(1).cast("long"), "place_id")
     return nearest_place(a, places, key="id", lat="gps_lat", lon="gps_lon").withColumn("km", F.round("km", 6))
 
 

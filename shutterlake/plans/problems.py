@@ -10,6 +10,7 @@ from shutterlake.operators.instants import normalise_instants
 from shutterlake.operators.orphans import orphan_references, orphan_report
 from shutterlake.operators.sessions import sessionise
 from shutterlake.operators.snapshots import snapshot_change_report, snapshot_changes
+from shutterlake.session import drop_at_exit, shared_dir
 from shutterlake.sources.tables import table
 
 SESSION_GAP_MS = 30 * 60 * 1000
@@ -20,6 +21,16 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return reads.where("instant_ms is not null").select("read_id", "instant_ms").distinct()
 
 
+def p1_kept(spark: SparkSession, root: str) -> DataFrame:
+    """The same from two deliveries, by halves of the libraries, against one kept dictionary: the second parses only what the first has not."""
+    reads, zones = table(spark, root, "taken_reads"), table(spark, root, "repositories")
+    store = shared_dir(spark, "instants-kept")
+    half = F.pmod(F.xxhash64("repository_id"), F.lit(2))
+    first, second = (normalise_instants(reads.where(half == i), zones, reading="millis", offset="offset_min", store=store) for i in (0, 1))
+    drop_at_exit(spark, store)
+    return first.unionByName(second).where("instant_ms is not null").select("read_id", "instant_ms").distinct()
+
+
 def _orphans(spark: SparkSession, root: str) -> DataFrame:
     assets, tasks = table(spark, root, "assets"), table(spark, root, "external_tasks")
     photo = dict(ref_key="asset_id", parent_key="id", born="imported_at", gone="deleted_at", scope="repository_id", time_unit="millis")
@@ -65,4 +76,4 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return snapshot_change_report(p6_found(spark, root))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_report, p3_found, p3_filled, p5_found, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_report, p3_found, p3_filled, p5_found, p6_found, p6_report)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.plans.book import Book
 from shutterlake.plans.catalog_queries import RULE, RULE_SQL
-from shutterlake.session import shared_dir
+from shutterlake.session import drop_at_exit, shared_dir
 from shutterlake.sources.tables import table
 from shutterlake.streaming import changes as s
 
@@ -23,18 +23,33 @@ def stream_members(spark, root):
     at = shared_dir(spark, "members")
     q = s.follow_members(_log(spark, root, "flag_marks"), table(spark, root, "assets"), table(spark, root, "external_tasks").select("repository_id", "asset_id"), RULE, f"{at}/rows", f"{at}/log")
     q.awaitTermination()
+    drop_at_exit(spark, at)
     return spark.read.parquet(f"{at}/rows").select("repository_id", "asset_id").distinct()
 
 
 @query()
 def stream_debounce(spark, root):
-    at = shared_dir(spark, "bursts")
-    log = s.debounce(_log(spark, root, "events"), scope="user_id", at="ts", quiet_ms=600_000, longest_ms=3_600_000)
-    return s.drain(log, f"{at}/rows", f"{at}/log")
+    return _ended(spark, root, "bursts", lambda log: s.debounce(log, scope="user_id", at="ts", quiet_ms=600_000, longest_ms=3_600_000))
 
 
 @query()
+def stream_dirty(spark, root):
+    """Bursts of each kind of event with the users they name; none where they are too many."""
+    return _ended(spark, root, "dirty", lambda log: s.dirty_batches(log, scope="event_type", item="user_id", at="ts", quiet_ms=60_000, longest_ms=3_600_000))
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL),
+f AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= 1800000000, true)::INT AS starts FROM e),
+n AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM f)
+SELECT user_id, min(t) // 1000 AS start_ms, max(t) // 1000 AS end_ms, count(*) AS n_events FROM n GROUP BY user_id, no""")
 def stream_sessions(spark, root):
-    at = shared_dir(spark, "stream-sessions")
-    out = s.drain_ended(spark, _log(spark, root, "events"), lambda log: s.stream_sessions(log, user="user_id", at="ts", gap="30 minutes"), at="ts", work=at)
+    out = _ended(spark, root, "stream-sessions", lambda log: s.stream_sessions(log, user="user_id", at="ts", gap="30 minutes"))
     return out.select("user_id", F.unix_millis("start_at").alias("start_ms"), F.unix_millis("end_at").alias("end_ms"), "n_events")
+
+
+def _ended(spark, root, name, build):
+    """The stream over all events, with what is open at their end, in a folder that goes with the driver."""
+    at = shared_dir(spark, name)
+    out = s.drain_ended(spark, _log(spark, root, "events"), build, at="ts", work=at)
+    drop_at_exit(spark, at)
+    return out

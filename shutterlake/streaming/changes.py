@@ -76,6 +76,51 @@ def debounce(log: DataFrame, *, scope: str, at: str, quiet_ms: int = QUIET_MS, l
     return e.groupBy(scope).applyInPandasWithState(step, f"scope {kind}, first_ms long, last_ms long, n long", "first long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Directories a notice lists; beyond that it lists none, which means all of the scope.
+MAX_ITEMS = 66
+
+
+def dirty_batches(log: DataFrame, *, scope: str, item: str, at: str, quiet_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS, late: str = "10 seconds") -> DataFrame:
+    """(scope, first_ms, last_ms, items) of each burst as in ``debounce``, with the distinct items it names, sorted; none if there are more than ``MAX_ITEMS``. Records without an item open no burst.
+
+    So the state of a scope is bounded however many items change: an overflow is kept as a mark, not as items.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = None
+        if state.exists:
+            first, last, items, over = state.get
+            held = [first, last, set(filter(None, items.split("\n"))), over]
+        closed = []
+        if state.hasTimedOut:
+            closed, held = [held], None
+        else:
+            for t, i in sorted(x for pdf in batches for x in zip(pdf["__ms"], pdf["__item"]) if x[1]):
+                if held is not None and (t - held[1] >= quiet_ms or t - held[0] >= longest_ms):
+                    closed.append(held)
+                    held = None
+                held = held or [t, t, set(), False]
+                held[1] = max(held[1], t)
+                if i not in held[2]:
+                    if len(held[2]) < MAX_ITEMS:
+                        held[2].add(i)
+                    else:
+                        held[3] = True
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((int(held[0]), int(held[1]), "\n".join(sorted(held[2])), held[3]))
+            state.setTimeoutTimestamp(max(held[1] + quiet_ms, state.getCurrentWatermarkMs() + 1))
+        if closed:
+            yield pd.DataFrame([(key[0], int(a), int(b), [] if over else sorted(items)) for a, b, items, over in closed], columns=["scope", "first_ms", "last_ms", "items"])
+
+    kind = dict(log.dtypes)[scope]
+    name = F.regexp_replace(F.col(item).cast("string"), "\n", " ")
+    e = log.select(F.col(scope), name.alias("__item"), F.col(at).cast("timestamp").alias("__at")).where("__at is not null").withWatermark("__at", late).withColumn("__ms", F.unix_millis("__at"))
+    return e.groupBy(scope).applyInPandasWithState(step, f"scope {kind}, first_ms long, last_ms long, items array<string>", "first long, last long, items string, over boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_sessions(log: DataFrame, *, user: str, at: str, gap: str, late: str = "1 day") -> DataFrame:
     """Sessions of a stream, complete when the watermark has passed their end. A gap of exactly ``gap`` separates, unlike the batch operator's."""
     e = log.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
@@ -83,8 +128,8 @@ def stream_sessions(log: DataFrame, *, user: str, at: str, gap: str, late: str =
     return s.select(user, "start_at", "end_at", "n_events")
 
 
-#: Time of a closing record: later than any event, so the watermark it sets passes the end of every session.
-CLOSING_TIME = "9999-01-01 00:00:00"
+#: Time of a closing record: later than any event, so the watermark it sets passes the end of every session; Arrow batches hold no times beyond 2262.
+CLOSING_TIME = "2262-01-01 00:00:00"
 
 
 def drain_ended(spark: SparkSession, log: DataFrame, build: Callable[[DataFrame], DataFrame], *, at: str, work: str) -> DataFrame:

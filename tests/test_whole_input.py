@@ -54,3 +54,35 @@ def test_stream_sessions_are_all_of_the_batch(spark):
     data = connect().execute("SELECT user_id, epoch_us(ts) FROM events WHERE ts IS NOT NULL").fetchall()
     got = sorted((r.user_id, r.start_ms, r.end_ms, r.n_events) for r in Q["stream_sessions"](spark, DATA).collect())
     assert got == sorted((u, a // 1000, b // 1000, n) for u, a, b, n in sessions(data, 30 * 60_000_000))
+
+
+def runs(data, quiet, longest):
+    out = {}
+    for scope, t, item in sorted(data):
+        held = out.setdefault(scope, [])
+        if held and t - held[-1][1] < quiet and t - held[-1][0] < longest:
+            held[-1][1] = t
+            held[-1][2].append(item)
+        else:
+            held.append([t, t, [item]])
+    return out
+
+
+def test_bursts_are_all_of_the_log(spark):
+    data = connect().execute("SELECT user_id, epoch_us(ts) // 1000, event_id FROM events WHERE ts IS NOT NULL").fetchall()
+    got = sorted((r.scope, r.first_ms, r.last_ms, r.n) for r in Q["stream_debounce"](spark, DATA).collect())
+    assert got == sorted((s, a, b, len(i)) for s, rs in runs(data, 600_000, 3_600_000).items() for a, b, i in rs)
+
+
+def test_notices_list_items_or_ask_for_everything(spark, rows, tmp_path, monkeypatch):
+    from shutterlake.streaming import changes
+
+    data = connect().execute("SELECT event_type, epoch_us(ts) // 1000, user_id FROM events WHERE ts IS NOT NULL").fetchall()
+    want = sorted((s, a, b, [] if len(set(i)) > changes.MAX_ITEMS else sorted(map(str, set(i)))) for s, rs in runs(data, 60_000, 3_600_000).items() for a, b, i in rs)
+    assert sorted((r.scope, r.first_ms, r.last_ms, r["items"]) for r in Q["stream_dirty"](spark, DATA).collect()) == want
+    log = [("a", 0, f"d{i}") for i in range(70)] + [("b", 0, "x"), ("b", 100, "y"), ("b", 100, "x"), ("b", 5000, "z")]
+    d = rows(log, "scope string, ms long, dir string").selectExpr("scope", "timestamp_millis(ms) AS at", "dir")
+    d.write.parquet(f"{tmp_path}/log")
+    stream = changes.read_log(spark, f"{tmp_path}/log", d.schema)
+    out = changes.drain_ended(spark, stream, lambda x: changes.dirty_batches(x, scope="scope", item="dir", at="at"), at="at", work=f"file://{tmp_path}/work")
+    assert sorted(map(tuple, out.collect())) == [("a", 0, 0, []), ("b", 0, 100, ["x", "y"]), ("b", 5000, 5000, ["z"])]
