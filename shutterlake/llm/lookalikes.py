@@ -27,8 +27,12 @@ LOOKALIKES = {
     "k": "К Κ К", "l": "ⅼ", "m": "М Μ", "n": "Ν", "o": "Оо Οο Օօ", "p": "Рр Ρρ", "q": "ԛ", "s": "Ѕѕ Տ", "t": "Т Τ", "u": "Սս",
     "v": "Ѵѵ", "w": "Ԝԝ", "x": "Хх Χ", "y": "Уу Υ Ү", "z": "Ζ",
     "-": "‐ ‑ ﹣ −", "・": "･", "ー": "一", "カ": "力", "ロ": "口", "ニ": "二", "エ": "工", "ト": "卜", "タ": "夕", "ハ": "八", "ヘ": "へ",
-    "’": "ʼ", ";": ";",
+    "’": "ʼ", ";": ";", "/": "⁄ ∕", ":": "∶",
 }
+# The same for the capitals of three more scripts, as pairs of a basic letter and its double.
+CHEROKEE = "AᎪ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ RᎡ SᏚ TᎢ VᏙ WᎳ ZᏃ"
+COPTIC = "BⲂ CⲤ HⲎ IⲒ KⲔ MⲘ NⲚ OⲞ PⲢ TⲦ XⲬ"
+LISU = "AꓮBꓐ CꓚDꓓ EꓰFꓝ GꓖHꓧ IꓲJꓙ KꓗLꓡ MꓟNꓠ OꓳPꓑ RꓣSꓢ TꓔUꓴ VꓦWꓪ XꓫYꓬ ZꓜAꓮ"
 # Candidates that are refused, because with letter case aside they would join two basic characters or are told apart.
 DISPUTED = {"v": "ν", "l": "Ӏ", "i": "Ӏ"}
 #: Decomposition tags that change only width, line breaking or the look of a whole font.
@@ -93,7 +97,11 @@ def _decomposed(c: str) -> str | None:
 @lru_cache(maxsize=1)
 def mapping() -> dict[str, str]:
     """Single characters and what they become; characters it lacks stay (in lower case)."""
-    looks = _classes([(first, c) for first, others in LOOKALIKES.items() for c in others.replace(" ", "")])
+    pairs = [(first, c) for first, others in LOOKALIKES.items() for c in others.replace(" ", "")]
+    for script in (CHEROKEE, COPTIC, LISU):
+        flat = script.replace(" ", "")
+        pairs += list(zip(flat[::2].lower(), flat[1::2]))
+    looks = _classes(pairs)
     table: dict[str, str] = {}
     for c in repertoire():
         o = ord(c)
@@ -211,15 +219,28 @@ def canonical_names(tags: DataFrame, *, name: str = "name", folded: str = "name_
     return tags.withColumn("__c", canonical_text(name)).withColumn("folded_changed", ~old.eqNullSafe(F.col("__c"))).withColumn(folded, F.col("__c")).drop("__c")
 
 
+def _forms(tags: DataFrame, key: str, name: str) -> DataFrame:
+    """(id, form), distinct, of tags whose form others have too."""
+    t = tags.where(F.col(name).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), canonical_text(name).alias("form"))
+    t = cut(t, "forms").distinct()
+    shared = t.groupBy("form").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_tags")).where("n_tags > 1")
+    return t.join(shared, "form")
+
+
 def lookalike_pairs(tags: DataFrame, *, key: str, name: str) -> DataFrame:
     """(tag_a, tag_b) with tag_a < tag_b of all tags whose canonical names are equal.
 
     The result lists pairs, so it grows with the square of a group of equal names; the work before
     does not. Null names pair with nothing; repeated keys count once per name; equal names pair too.
     """
-    t = tags.where(F.col(name).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), canonical_text(name).alias("form"))
-    t = cut(t, "forms").distinct()
-    shared = t.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
-    t = t.join(shared, "form", "left_semi")
+    t = _forms(tags, key, name).select("id", "form")
     a, b = t.withColumnRenamed("id", "tag_a"), t.withColumnRenamed("id", "tag_b")
     return a.join(b, "form").where("tag_a < tag_b").select("tag_a", "tag_b").distinct()
+
+
+def lookalike_classes(tags: DataFrame, *, key: str, name: str) -> DataFrame:
+    """(class_id, tag_id, n_tags): each tag whose canonical name others have, with the least tag of that name and their number.
+
+    The linear form of ``lookalike_pairs``: two tags are a pair if and only if they have a class in common.
+    """
+    return _forms(tags, key, name).select("class_id", F.col("id").alias("tag_id"), "n_tags")

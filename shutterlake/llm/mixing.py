@@ -9,6 +9,8 @@ from math import ceil, floor, lcm
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.operators.ranking import running_sums
+
 #: Documents in one bucket of a running sum, on average.
 BUCKET_ROWS = 20_000
 #: Longest period of the schedule; shares are rounded to multiples of 1 / period.
@@ -143,3 +145,20 @@ def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
         .join(got, "source", "left")
         .select("source", "target_share", "max_repeats", zero("mix_tokens"), zero("n_texts"), zero("most_uses"), F.coalesce(F.col("mix_tokens") / whole, F.lit(0.0)).alias("actual_share"))
     )
+
+
+def deviation_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, most_over, most_under) in tokens: how far each source is beyond and behind its share of what was read, after any slot of the mixture.
+
+    Sums run over ranged partitions of the slots, so no task reads the whole mixture.
+    """
+    rows = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("w")).orderBy("source").collect()
+    used = {r.source for r in mixture.select("source").distinct().collect()}
+    shares = {r.source: r.w for r in rows if r.source in used}
+    per_slot = mixture.groupBy("slot").agg(*[F.sum(F.when(F.col("source") == s, F.col("n_tokens")).otherwise(0)).alias(f"t{i}") for i, s in enumerate(shares)], F.sum("n_tokens").alias("t"))
+    upto = running_sums(per_slot, [], ["slot"], {f"u{i}": F.col(f"t{i}") for i in range(len(shares))} | {"u": F.col("t")})
+    whole = sum(shares.values())
+    off = [F.struct(F.lit(s).alias("source"), (F.col(f"u{i}") - F.col("u") * (w / whole)).alias("d")) for i, (s, w) in enumerate(shares.items())]
+    if not off:
+        return targets.select("source", F.lit(0.0).alias("most_over"), F.lit(0.0).alias("most_under")).limit(0)
+    return upto.select(F.explode(F.array(*off)).alias("o")).groupBy("o.source").agg(F.round(F.max("o.d"), 3).alias("most_over"), F.round(F.min("o.d"), 3).alias("most_under"))

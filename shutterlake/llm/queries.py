@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shutterlake.llm.batch_dedup import NEAR_COVERAGE, replay
-from shutterlake.llm.lookalikes import canonical_names, lookalike_pairs
-from shutterlake.llm.mixing import mix, share_report
+from shutterlake.llm.lookalikes import canonical_names, lookalike_classes, lookalike_pairs
+from shutterlake.llm.mixing import deviation_report, mix, share_report
 from shutterlake.llm.packing import pack_documents, packing_report
 from shutterlake.llm.spans import shared_share, span_groups, span_pairs
 from shutterlake.llm.tokens import token_count
@@ -30,6 +30,10 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike_pairs(table(spark, root, "tags"), key="id", name="name")
 
 
+def p7_classes(spark: SparkSession, root: str) -> DataFrame:
+    return lookalike_classes(table(spark, root, "tags"), key="id", name="name")
+
+
 def p7_folded(spark: SparkSession, root: str) -> DataFrame:
     return canonical_names(table(spark, root, "tags")).select("id", "name_folded", "folded_changed")
 
@@ -54,6 +58,10 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return share_report(p9_mixture(spark, root), table(spark, root, "mix_targets"))
 
 
+def p9_deviation(spark: SparkSession, root: str) -> DataFrame:
+    return deviation_report(p9_mixture(spark, root), table(spark, root, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return span_pairs(table(spark, root, "documents"), key="doc_id", text="text", length=SPAN_CHARS)
 
@@ -66,4 +74,4 @@ def p10_shares(spark: SparkSession, root: str) -> DataFrame:
     return shared_share(table(spark, root, "documents"), key="doc_id", text="text", length=SPAN_CHARS)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_near, p7_found, p7_folded, p8_packed, p8_report, p9_mixture, p9_shares, p10_found, p10_groups, p10_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_near, p7_found, p7_classes, p7_folded, p8_packed, p8_report, p9_mixture, p9_shares, p9_deviation, p10_found, p10_groups, p10_shares)}

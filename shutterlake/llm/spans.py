@@ -27,7 +27,7 @@ SEGMENT, FLUSH = 1 << 20, 1 << 21
 #: An anchor's hash has so many bits more than the number of anchors, so that about one in 2**24 meets another by chance at any size.
 SPARE_BITS = 24
 #: Anchors and full spans a hash partition is sized for, and spans sent at a time.
-PARTITION_ANCHORS, PARTITION_SPANS, SPAN_ROWS = 1 << 20, 1 << 20, 1 << 18
+PARTITION_ANCHORS, PARTITION_SPANS, SPAN_ROWS = 1 << 20, 1 << 17, 1 << 18
 #: Documents whose ids may be sent to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -298,7 +298,7 @@ def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> Dat
         d = d.join(F.broadcast(shared.select("id").distinct()), "id", "left_semi")
     spans = d.join(both, "id").mapInPandas(_full_spans(length, width, layout), _SPANS).where("span is not null and id is not null")
     # As many partitions as the spans around the shared anchors fill.
-    return spans.repartition(max(8, n_anchors * PERIOD // len(COVER) // PARTITION_SPANS + 1), "span")
+    return spans.repartition(max(4, n_anchors * PERIOD // len(COVER) // PARTITION_SPANS + 1), "span")
 
 
 def _groups(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:

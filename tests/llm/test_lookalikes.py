@@ -61,3 +61,23 @@ def test_transducer_agrees_with_mapping_character_by_character():
     for _ in range(3000):
         text = "".join(rnd.choice(chars) for _ in range(rnd.randrange(1, 8)))
         assert canonical(text) == _composed(text).strip(" "), ascii(text)
+
+
+def test_capitals_of_more_scripts_and_slashes():
+    for other, plain in (("\u13aa", "A"), ("\u2c9e", "O"), ("\ua4d0", "b"), ("\ua4df", "M"), ("a\u2044b", "a/b"), ("1\u22361", "1:1")):
+        assert canonical(other) == canonical(plain)
+    assert canonical("\u0131") != canonical("i")
+
+
+def test_classes_are_the_pairs(rows):
+    import itertools
+
+    from shutterlake.llm.lookalikes import lookalike_classes
+
+    t = rows([(1, "Sea"), (2, "\u0455ea"), (3, "sea "), (4, "see"), (5, None), (6, ""), (7, "\u200b"), (2, "\u0455ea"), (8, "See")], "id long, name string")
+    classes = {}
+    for r in lookalike_classes(t, key="id", name="name").collect():
+        classes.setdefault(r.class_id, []).append((r.tag_id, r.n_tags))
+    assert {k: sorted(v) for k, v in classes.items()} == {1: [(1, 3), (2, 3), (3, 3)], 4: [(4, 2), (8, 2)], 6: [(6, 2), (7, 2)]}
+    pairs = {tuple(r) for r in lookalike_pairs(t, key="id", name="name").collect()}
+    assert pairs == {p for v in classes.values() for p in itertools.combinations(sorted(i for i, _ in v), 2)}

@@ -123,3 +123,22 @@ def test_tokens_round_trip():
         e = encoder(DEFAULT_VOCABULARY)
         assert e.decode(e.encode_ordinary(text)) == text and count_tokens(text) == len(e.encode_ordinary(text))
     assert count_tokens("") == count_tokens(None) == 0
+
+
+def test_deviation_is_that_of_the_reading_order(rows):
+    from shutterlake.llm.mixing import deviation_report, mix
+
+    docs = rows([(i, "abc"[i % 3], 40 + 7 * (i % 11)) for i in range(600)], "doc_id long, source string, n_tokens long")
+    targets = rows([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 2), ("d", 0.0, 1)], "source string, target_share double, max_repeats int")
+    m = mix(docs, targets, key="doc_id", source="source", tokens="n_tokens", block_tokens=256)
+    upto, total, over, under = {s: 0 for s in "abc"}, 0, {s: -1e9 for s in "abc"}, {s: 1e9 for s in "abc"}
+    read = sorted(((r.slot, r.start_token, r.source, r.n_tokens) for r in m.collect()))
+    for i, (slot, _, s, n) in enumerate(read):
+        upto[s] += n
+        total += n
+        if i + 1 == len(read) or read[i + 1][0] != slot:
+            for k, w in zip("abc", (0.5, 0.3, 0.2)):
+                over[k], under[k] = max(over[k], upto[k] - w * total), min(under[k], upto[k] - w * total)
+    got = {r.source: (r.most_over, r.most_under) for r in deviation_report(m, targets).collect()}
+    assert got == {s: (pytest.approx(over[s], abs=0.001), pytest.approx(under[s], abs=0.001)) for s in "abc"}
+    assert all(abs(x) < 256 + 110 for v in got.values() for x in v)
