@@ -81,8 +81,8 @@ def test_notices_list_items_or_ask_for_everything(spark, rows, tmp_path, monkeyp
     want = sorted((s, a, b, [] if len(set(i)) > changes.MAX_ITEMS else sorted(map(str, set(i)))) for s, rs in runs(data, 60_000, 3_600_000).items() for a, b, i in rs)
     assert sorted((r.scope, r.first_ms, r.last_ms, r["items"]) for r in Q["stream_dirty"](spark, DATA).collect()) == want
     log = [("a", 0, f"d{i}") for i in range(70)] + [("b", 0, "x"), ("b", 100, "y"), ("b", 100, "x"), ("b", 5000, "z")]
-    d = rows(log, "scope string, ms long, dir string").selectExpr("scope", "timestamp_millis(ms) AS at", "dir")
+    d = rows(log, "scope string, ms long, dir string").selectExpr("scope", "timestamp_millis(ms + 1000000) AS at", "dir")
     d.write.parquet(f"{tmp_path}/log")
     stream = changes.read_log(spark, f"{tmp_path}/log", d.schema)
     out = changes.drain_ended(spark, stream, lambda x: changes.dirty_batches(x, scope="scope", item="dir", at="at"), at="at", work=f"file://{tmp_path}/work")
-    assert sorted(map(tuple, out.collect())) == [("a", 0, 0, []), ("b", 0, 100, ["x", "y"]), ("b", 5000, 5000, ["z"])]
+    assert sorted(map(tuple, out.collect())) == [("a", 1000000, 1000000, []), ("b", 1000000, 1000100, ["x", "y"]), ("b", 1005000, 1005000, ["z"])]
