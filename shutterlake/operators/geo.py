@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.session import cut
+
 EARTH_KM = 6371.0088
 #: Places of one block; a block is sent to all executors (about 40 bytes a place).
 BLOCK_PLACES = 200_000
@@ -35,7 +37,7 @@ def nearest_place(points: DataFrame, places: DataFrame, *, key: str, lat: str, l
     p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("__k"), F.col(lat).cast("double").alias("__la"), F.col(lon).cast("double").alias("__lo"))
     schema = f"__k {dict(points.dtypes)[key]}, place_id long, km double"
     spark, found = points.sparkSession, None
-    good = places.where("lat is not null and lon is not null")
+    good = cut(places.where("lat is not null and lon is not null").select("place_id", "lat", "lon"), "places")
     blocks = -(-good.count() // BLOCK_PLACES)
     if not blocks:
         return spark.createDataFrame([], schema.replace("__k", key))

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.vectors import contrastive
+from shutterlake.session import cut
 
 MAX_CONCEPTS = 4096
 
 
 def _blocks(concepts: DataFrame) -> list[DataFrame]:
     """The concepts as one-row tables of at most about ``MAX_CONCEPTS`` concepts each."""
+    concepts = cut(concepts.select("concept", "positive", "negative"), "concepts")
     n = -(-concepts.count() // MAX_CONCEPTS)
     c = F.struct("concept", "positive", "negative")
     part = F.pmod(F.xxhash64("concept"), F.lit(max(1, n)))
@@ -38,15 +40,15 @@ def top_concepts(vectors: DataFrame, concepts: DataFrame, k: int, *, key: str, v
     All scores of a vector are made and sorted within its row, so neither vectors nor scores are shuffled. Concepts beyond
     ``MAX_CONCEPTS`` are taken in blocks, of which each vector keeps its ``k`` best.
     """
-    best = None
-    for block in _blocks(concepts):
+    best, blocks = None, _blocks(concepts)
+    for block in blocks:
         v = vectors.select(F.col(key), F.col(vector).alias("__v"), F.lit(1).alias("__one")).join(F.broadcast(block), "__one")
         scored = F.transform("__c", lambda c: F.struct((-contrastive(F.col("__v"), c["positive"], c["negative"])).alias("neg"), c["concept"].alias("concept")))
         top = v.select(key, F.slice(F.array_sort(F.filter(scored, lambda s: s["neg"].isNotNull())), 1, k).alias("r"))
         best = top if best is None else best.unionByName(top)
     if best is None:
         best = vectors.select(key, F.expr("cast(array() as array<struct<neg: double, concept: string>>)").alias("r"))
-    elif concepts.count() > MAX_CONCEPTS:
+    elif len(blocks) > 1:
         best = best.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, k).alias("r"))
     s = best.select(key, F.posexplode("r").alias("rank", "r"))
     return s.select(key, (F.col("rank") + 1).alias("rank"), F.col("r.concept").alias("concept"), (-F.col("r.neg")).alias("score"))
