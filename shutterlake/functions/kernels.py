@@ -12,6 +12,11 @@ from pyspark.sql import types as T
 
 # Weights of red, green and blue in luma.
 LUMA = (0.2126, 0.7152, 0.0722)
+# Middle grey; the exponent of perceived brightness; how far from white and black the tone windows reach (at amount 0, and what amount 1
+# adds, in proportion to its square), and how strong they are; the pivot, stretch and share of the contrast given back to lifted blacks.
+PIVOT, PERCEIVED = 0.18, 2.2
+HIGHLIGHTS, BLACKS = (0.20, 0.55, 0.15), (0.12, 0.36, 0.072)
+BLACKS_CONTRAST = (0.20, 1.3, 0.85)
 _DOUBLES = T.ArrayType(T.DoubleType())
 
 
@@ -43,30 +48,67 @@ def exposure(v: Column, stops: float, gain: float = 1.0) -> Column:
     return v * F.lit(2.0**stops * gain)
 
 
-def contrast(v: Column, amount: float, pivot: float = 0.18) -> Column:
-    return F.lit(pivot) * F.pow(F.greatest(v, F.lit(0.0)) / F.lit(pivot), F.lit(1.0 + amount))
+def contrast(v: Column, amount: float, pivot: float = PIVOT) -> Column:
+    """Powers of 2**amount below and above the pivot, which stays, as do 0 and 1 and what lies beyond."""
+    k = F.lit(2.0**amount)
+    low = pivot * F.pow(v / pivot, k)
+    high = 1.0 - (1.0 - pivot) * F.pow((1.0 - v) / (1.0 - pivot), k)
+    return F.when((v <= 0) | (v >= 1), v).when(v <= pivot, low).otherwise(high)
 
 
-def saturate(c: Column, y: Column, amount: float) -> Column:
-    return y + (c - y) * F.lit(1.0 + amount)
+def _window(u: Column) -> Column:
+    return F.pow(F.sin(F.lit(np.pi) * u), F.lit(2.0))
 
 
-def srgb_to_linear(v: Column) -> Column:
-    return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+def _unit(c: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def linear_to_srgb(v: Column) -> Column:
-    return F.when(v <= 0.0031308, v * 12.92).otherwise(F.lit(1.055) * F.pow(v, F.lit(1 / 2.4)) - 0.055)
+def highlights(v: Column, amount: float) -> Column:
+    """Bright values moved by a smooth window of perceived brightness that reaches further down the larger the amount; 1 stays."""
+    base, more, gain = HIGHLIGHTS
+    floor = 1.0 - (base + more * amount**2)
+    t = F.pow(v, F.lit(1 / PERCEIVED))
+    moved = F.pow(_unit(t + amount * gain * _window((t - floor) / (1.0 - floor))), F.lit(PERCEIVED))
+    return F.when((v <= 0) | (v >= 1), v).when(t <= floor, v).otherwise(moved)
+
+
+def blacks(v: Column, amount: float) -> Column:
+    """Dark values moved likewise; 0 stays. What is lifted gets some of its contrast back."""
+    base, more, gain = BLACKS
+    pivot, stretch, mix = BLACKS_CONTRAST
+    ceiling = base + more * amount**2
+    t = F.pow(v, F.lit(1 / PERCEIVED))
+    lift = amount * gain * _window(t / ceiling)
+    moved = _unit(t + lift)
+    if amount > 0:
+        moved = moved + mix * ((moved - pivot) * (1.0 + stretch * lift) + pivot - moved)
+    return F.when((v <= 0) | (v > 1), v).when(t >= ceiling, v).otherwise(F.pow(_unit(moved), F.lit(PERCEIVED)))
+
+
+def saturate(c: Column, y: Column, amount: float) -> Column:
+    """A channel moved away from the luma, or with a negative amount towards it, -1 to grey."""
+    return y + (c - y) * F.lit(max(0.0, 1.0 + amount))
 
 
-def vibrance(c: Column, y: Column, saturation: Column, amount: float) -> Column:
-    """As ``saturate``, the more the less saturated a colour is (``saturation`` in 0..1)."""
-    return y + (c - y) * (F.lit(1.0) + F.lit(float(amount)) * (F.lit(1.0) - F.greatest(F.lit(0.0), F.least(F.lit(1.0), saturation))))
+def vibrance(c: Column, y: Column, largest: Column, least: Column, amount: float) -> Column:
+    """As ``saturate``, the more the less saturated a colour is, by its largest and least channel."""
+    now = F.when(largest > 1e-6, _unit((largest - least) / largest)).otherwise(0.0)
+    return y + (c - y) * F.greatest(F.lit(0.0), 1.0 + amount * (1.0 - now))
 
 
 def soft_saturate(v: Column, limit: float) -> Column:
-    """Values pressed smoothly below ``limit`` in size: v / (1 + |v| / limit)."""
-    return v / (F.lit(1.0) + F.abs(v) / F.lit(float(limit)))
+    """Values up to ``limit`` in size stay, what is beyond is pressed smoothly, to at most twice the limit."""
+    beyond = F.abs(v) - limit
+    return F.when(beyond <= 0, v).otherwise(F.signum(v) * (limit + beyond / (1.0 + beyond / limit)))
+
+
+def srgb_to_linear(v: Column) -> Column:
+    return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
+
+
+def linear_to_srgb(v: Column) -> Column:
+    return F.when(v <= 0.0031308, v * 12.92).otherwise(F.lit(1.055) * F.pow(v, F.lit(1 / 2.4)) - 0.055)
 
 
 def kelvin_xy(kelvin: Column) -> tuple[Column, Column]:

@@ -74,9 +74,22 @@ def label_in(c: Column) -> Column:
 
 
 def chroma(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Y'CbCr of R'G'B' in 0..1."""
-    y = r * 0.299 + g * 0.587 + b * 0.114
-    return y, (b - y) * 0.564, (r - y) * 0.713
+    """Luma in 0..1 and the two chroma axes in -0.5..0.5 of encoded red, green and blue."""
+    clamp = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    y = r * 0.2126 + g * 0.7152 + b * 0.0722
+    return clamp(y, 0.0, 1.0), clamp((b - y) / 1.8556, -0.5, 0.5), clamp((r - y) / 1.5748, -0.5, 0.5)
+
+
+#: Digits of ids that sort as numbers do.
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def sortable_id(millis: Column, *seed: Column) -> Column:
+    """16 characters that sort by time: nine digits of base 62 for hundredths of milliseconds, seven of a hash of the seed."""
+    digit = lambda n, i: F.substring(F.lit(BASE62), F.pmod(F.floor(n / F.lit(62**i).cast("decimal(20,0)")), F.lit(62).cast("decimal(20,0)")).cast("int") + 1, F.lit(1))
+    ticks = F.greatest(F.lit(0), millis).cast("decimal(20,0)") * 100
+    noise = F.pmod(F.xxhash64(*seed), F.lit(62**7)).cast("decimal(20,0)")
+    return F.concat(*[digit(ticks, i) for i in range(8, -1, -1)], *[digit(noise, i) for i in range(6, -1, -1)])
 
 
 def band_weight(distance: Column, inner: float, outer: float) -> Column:

@@ -190,3 +190,16 @@ def import_plan(planned: DataFrame, existing: DataFrame) -> DataFrame:
     bad = j.groupBy("dir", "stem").agg(F.max(F.col("verdict") == "conflict").alias("group_conflict")).toDF("c_dir", "c_stem", "group_conflict")
     of = lambda d, s: F.col("dir").eqNullSafe(F.col(d)) & F.col("stem").eqNullSafe(F.col(s))
     return j.join(lead, of("g_dir", "g_stem")).join(bad, of("c_dir", "c_stem")).select("id", "leader", "verdict", "group_conflict")
+
+
+def admit(held: DataFrame, offered: DataFrame, digest: str, order: str) -> DataFrame:
+    """Of the offers whose digest is not held the first by ``order`` of each digest; a null digest is never admitted."""
+    rest = [c for c in offered.columns if c not in (digest, order)]
+    first = offered.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(F.struct(order, *rest)).alias("__o"))
+    return first.join(held.select(digest).distinct(), digest, "left_anti").select(digest, "__o.*")
+
+
+def pending(asked: DataFrame, done: DataFrame) -> DataFrame:
+    """(scope) of what was asked for and not done since; both are (scope, at). Repeating either changes nothing."""
+    a, d = asked.groupBy("scope").agg(F.max("at").alias("asked")), done.groupBy("scope").agg(F.max("at").alias("done"))
+    return a.join(d, "scope", "left").where("done is null or done < asked").select("scope")

@@ -283,6 +283,40 @@ def repository_states(spark, root):
     return table(spark, root, "repositories").join(n, "repository_id", "left").select("repository_id", live.alias("n_live"), state.alias("state"))
 
 
+@query("""SELECT id, asset_id, CASE WHEN n = 1 THEN 'only' WHEN role = 'raw' THEN 'raw' ELSE 'I' || lpad(place::VARCHAR, 2, '0') END AS suffix FROM (SELECT f.id, f.asset_id, f.role, count(*) OVER (PARTITION BY f.asset_id) AS n,
+  row_number() OVER (PARTITION BY f.asset_id, f.role ORDER BY f.id) AS place FROM (SELECT * FROM asset_files WHERE role <> 'sidecar' QUALIFY row_number() OVER (PARTITION BY asset_id, coalesce(content_hash, 'file-' || id) ORDER BY role, id) = 1) f)""")
+def export_names(spark, root):
+    """The mark each different image of a photo gets in its exported name: none's alone, the raw, or the number of the bitmap."""
+    f = table(spark, root, "asset_files").where("role <> 'sidecar'").withColumn("hash", F.coalesce("content_hash", F.concat(F.lit("file-"), F.col("id").cast("string"))))
+    f = f.groupBy("asset_id", "hash").agg(F.min(F.struct("role", "id")).alias("f")).select("asset_id", "f.*")
+    place = F.row_number().over(Window.partitionBy("asset_id", "role").orderBy("id"))
+    f = f.withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("asset_id")), "place": place})
+    return f.select("id", "asset_id", F.when(F.col("n") == 1, "only").when(F.col("role") == "raw", "raw").otherwise(F.format_string("I%02d", "place")).alias("suffix"))
+
+
+@query("""SELECT content_hash, min(id) AS id FROM asset_files WHERE role = 'raw' AND content_hash IS NOT NULL AND content_hash NOT IN (SELECT content_hash FROM asset_files WHERE role = 'bitmap' AND content_hash IS NOT NULL) GROUP BY 1""")
+def admitted_contents(spark, root):
+    """Raw files as offers to a dictionary of contents that holds the bitmaps: those of a new hash are admitted, the first of each."""
+    f = table(spark, root, "asset_files").where("content_hash is not null")
+    return l.admit(f.where("role = 'bitmap'"), f.where("role = 'raw'"), "content_hash", "id").select("content_hash", "id")
+
+
+@query("""WITH r AS (SELECT repository_id AS scope, max(created_at) AS asked FROM new_assets GROUP BY 1), a AS (SELECT repository_id AS scope, max(reserved_at) AS done FROM external_tasks GROUP BY 1)
+SELECT scope FROM r LEFT JOIN a USING (scope) WHERE done IS NULL OR done < asked""")
+def pending_rescans(spark, root):
+    """Libraries with an import after their last task, as rescans asked for and not yet acknowledged."""
+    asked = table(spark, root, "new_assets").select(F.col("repository_id").alias("scope"), F.col("created_at").alias("at"))
+    done = table(spark, root, "external_tasks").select(F.col("repository_id").alias("scope"), F.col("reserved_at").alias("at"))
+    return l.pending(asked, done)
+
+
+@query("""WITH x AS (SELECT id, imported_at AS t FROM assets), d AS (SELECT id, list_reverse(list_transform(range(9), lambda i: ((t * 100) // pow(62, i)::BIGINT) % 62)) AS n FROM x)
+SELECT id, array_to_string(list_transform(n, lambda k: '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'[k::INT + 1]), '') AS time_part, 16 AS n_chars FROM d""")
+def sortable_ids(spark, root):
+    a = table(spark, root, "assets").select("id", s.sortable_id(F.col("imported_at"), F.col("id")).alias("s"))
+    return a.select("id", F.substring("s", 1, 9).alias("time_part"), F.length("s").alias("n_chars"))
+
+
 # ----- tag relations
 
 _DIRS = r"SELECT DISTINCT regexp_replace(rel_path, '/[^/]*$', '') AS d, lower(ext) AS k FROM asset_files WHERE ext IS NOT NULL"
@@ -410,16 +444,18 @@ def _rgb(spark, root):
     return table(spark, root, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("rgb")])
 
 
-@query(f"""WITH {RGB}, y AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS y, least(1, greatest(0, greatest(r, g, b) - least(r, g, b))) AS sat FROM px)
-SELECT vec_id, round(y + (r - y) * 1.4, 6) AS saturated, round(y + (r - y) * (1 + 0.5 * (1 - sat)), 6) AS vibrant, round(r / (1 + abs(r) / 0.8), 6) AS soft FROM y""")
+@query(f"""WITH {RGB}, y AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS y, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM px),
+v AS (SELECT *, CASE WHEN hi > 1e-6 THEN least(1, greatest(0, (hi - lo) / hi)) ELSE 0 END AS sat FROM y)
+SELECT vec_id, round(y + (r - y) * 1.4, 6) AS saturated, round(y + (r - y) * (1 + 0.5 * (1 - sat)), 6) AS vibrant, round(CASE WHEN abs(r) <= 0.1 THEN r ELSE sign(r) * (0.1 + (abs(r) - 0.1) / (1 + (abs(r) - 0.1) / 0.1)) END, 6) AS soft FROM v""")
 def saturation(spark, root):
     r, g, b = (F.col(c) for c in "rgb")
     y = k.luma(r, g, b)
-    return _rgb(spark, root).select("vec_id", F.round(k.saturate(r, y, 0.4), 6).alias("saturated"), F.round(k.vibrance(r, y, F.greatest(r, g, b) - F.least(r, g, b), 0.5), 6).alias("vibrant"), F.round(k.soft_saturate(r, 0.8), 6).alias("soft"))
+    vibrant = k.vibrance(r, y, F.greatest(r, g, b), F.least(r, g, b), 0.5)
+    return _rgb(spark, root).select("vec_id", F.round(k.saturate(r, y, 0.4), 6).alias("saturated"), F.round(vibrant, 6).alias("vibrant"), F.round(k.soft_saturate(r, 0.1), 6).alias("soft"))
 
 
-@query(f"""WITH {RGB}, c AS (SELECT vec_id, 0.299 * r + 0.587 * g + 0.114 * b AS y, (b - (0.299 * r + 0.587 * g + 0.114 * b)) * 0.564 AS cb, (r - (0.299 * r + 0.587 * g + 0.114 * b)) * 0.713 AS cr FROM px),
-d AS (SELECT *, sqrt(cb * cb + cr * cr) AS d, greatest(0, least(1, (sqrt(cb * cb + cr * cr) - 0.05) / 0.15)) AS t, greatest(0, least(1, (abs(y - 0.1) - 0.1) / 0.3)) AS u FROM c)
+@query(f"""WITH {RGB}, m AS (SELECT vec_id, 0.2126 * r + 0.7152 * g + 0.0722 * b AS y, r, b FROM px), c AS (SELECT vec_id, least(1, greatest(0, y)) AS y, least(0.5, greatest(-0.5, (b - y) / 1.8556)) AS cb, least(0.5, greatest(-0.5, (r - y) / 1.5748)) AS cr FROM m),
+d AS (SELECT *, greatest(0, least(1, (sqrt(cb * cb + cr * cr) - 0.05) / 0.15)) AS t, greatest(0, least(1, (abs(y - 0.1) - 0.1) / 0.3)) AS u FROM c)
 SELECT vec_id, round(y, 6) AS y, round(cb, 6) AS cb, round(cr, 6) AS cr, round((1 - t * t * (3 - 2 * t)) * (1 - u * u * (3 - 2 * u)), 6) AS weight FROM d""")
 def chroma_bands(spark, root):
     """Luma and chroma of a colour, and its weight in a band of chroma and one of luma around a reference."""
@@ -429,10 +465,17 @@ def chroma_bands(spark, root):
     return c.select("vec_id", *[F.round(x, 6).alias(x) for x in ("y", "cb", "cr")], F.round(weight, 6).alias("weight"))
 
 
-@query(f"""WITH {RGB}, v AS (SELECT vec_id, greatest(0, r) AS r FROM px) SELECT vec_id, round(r * pow(2, 0.5) * 1.1, 6) AS exposed, round(0.18 * pow(r / 0.18, 1.3), 6) AS contrasted FROM v""")
-def exposure_contrast(spark, root):
-    r = F.greatest(F.lit(0.0), F.col("r"))
-    return _rgb(spark, root).select("vec_id", F.round(k.exposure(r, 0.5, 1.1), 6).alias("exposed"), F.round(k.contrast(r, 0.3), 6).alias("contrasted"))
+@query("""WITH v AS (SELECT vec_id, 0.5 + embedding[1]::DOUBLE AS v FROM embeddings), t AS (SELECT *, pow(greatest(v, 0), 1 / 2.2) AS t FROM v),
+b AS (SELECT *, 0.7 * 0.072 * pow(sin(pi() * t / (0.12 + 0.36 * 0.49)), 2) AS lift FROM t), l AS (SELECT *, least(1, greatest(0, t + lift)) AS up FROM b)
+SELECT vec_id, round(v * pow(2, 0.5) * 1.1, 6) AS exposed,
+  round(CASE WHEN v <= 0 OR v >= 1 THEN v WHEN v <= 0.18 THEN 0.18 * pow(v / 0.18, pow(2, 0.3)) ELSE 1 - 0.82 * pow((1 - v) / 0.82, pow(2, 0.3)) END, 6) AS contrasted,
+  round(CASE WHEN v <= 0 OR v >= 1 OR t <= 0.8 - 0.55 * 0.36 THEN v ELSE pow(least(1, greatest(0, t - 0.6 * 0.15 * pow(sin(pi() * (t - (0.8 - 0.55 * 0.36)) / (0.2 + 0.55 * 0.36)), 2))), 2.2) END, 6) AS rescued,
+  round(CASE WHEN v <= 0 OR v > 1 OR t >= 0.12 + 0.36 * 0.49 THEN v ELSE pow(least(1, greatest(0, up + 0.85 * (0.2 + (up - 0.2) * (1 + 1.3 * lift) - up))), 2.2) END, 6) AS lifted FROM l""")
+def tone_steps(spark, root):
+    """Exposure, contrast, highlights and blacks of a value around the middle."""
+    v = table(spark, root, "embeddings").select("vec_id", (F.lit(0.5) + F.get("embedding", F.lit(0)).cast("double")).alias("v"))
+    steps = {"exposed": k.exposure(F.col("v"), 0.5, 1.1), "contrasted": k.contrast(F.col("v"), 0.3), "rescued": k.highlights(F.col("v"), -0.6), "lifted": k.blacks(F.col("v"), 0.7)}
+    return v.select("vec_id", *[F.round(c, 6).alias(n) for n, c in steps.items()])
 
 
 @query("""WITH t AS (SELECT DISTINCT iso::DOUBLE * 10 AS kelvin, greatest(4000.0, least(25000.0, iso::DOUBLE * 10)) AS t FROM assets WHERE iso IS NOT NULL),

@@ -70,7 +70,8 @@ def export_variants(spark, root):
     return f.groupBy("hash").agg(F.min_by(F.struct("asset_id", F.col("id").alias("file_id")), F.struct("role", "id")).alias("m")).select("hash", "m.*")
 
 
-@query()
+@query("""SELECT id, printf('%016x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(organization_uid) + 1), lambda i: ascii(organization_uid[i])::UHUGEINT)),
+  lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS fnv FROM assets""")
 def profile_hash(spark, root):
     return table(spark, root, "assets").select("id", s.fnv1a_hex("organization_uid").alias("fnv"))
 

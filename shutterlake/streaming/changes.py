@@ -149,6 +149,15 @@ def drain_ended(spark: SparkSession, log: DataFrame, build: Callable[[DataFrame]
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all there is into a table, and read it."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    q = commit_batches(stream, path, checkpoint, mode=mode)
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def commit_batches(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, mode: str = "append"):
+    """Start writing a stream to a table, a commit for each micro-batch: as many files as ``read_log`` allows, or what came within ``every`` (as ``5 seconds``).
+
+    Without ``every`` the stream ends once it has read all there is.
+    """
+    w = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
