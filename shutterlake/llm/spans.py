@@ -28,6 +28,8 @@ SEGMENT, FLUSH = 1 << 20, 1 << 21
 SPARE_BITS = 24
 #: Anchors and full spans a hash partition is sized for, and spans sent at a time.
 PARTITION_ANCHORS, PARTITION_SPANS, SPAN_ROWS = 1 << 20, 1 << 17, 1 << 18
+#: Hash partitions one flush is split into; beyond that anchors are sent in two steps, so that what travels together stays long.
+FLUSH_PARTS, STEP_TASKS = 4096, 16
 #: Documents whose ids may be sent to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -138,11 +140,57 @@ class _Layout:
         self.mask = np.uint64((1 << self.bits) - 1)
         self.flag = ((1 << self.bits) // self.partitions).bit_length()
         self.width = self.flag // 8 + 1
+        # Hash partitions of one first step, 1 where one step does.
+        self.together = -(-self.partitions // FLUSH_PARTS)
+
+
+def _split(layout: _Layout, h: np.ndarray, d: np.ndarray, p: np.ndarray, known: np.ndarray, stands: np.ndarray, together: int) -> pd.DataFrame:
+    """Anchors as one row of compressed columns for each partition and kind; partitions are taken ``together``, with whole hashes, for a first step."""
+    part = (h % np.uint64(layout.partitions)).astype(np.int64)
+    part[known] = d[known] % layout.partitions
+    part //= together
+    rows = []
+    for flag in (False, True):
+        chosen = np.flatnonzero(known == flag)
+        chosen = chosen[np.argsort(part[chosen], kind="stable")]
+        kinds, edges = np.unique(part[chosen], return_index=True)
+        for k, i in zip(kinds.tolist(), np.split(chosen, edges[1:])):
+            gaps = np.diff(d[i], prepend=0).astype(np.int64)
+            docs = _press((gaps << 1 ^ gaps >> 63).view(np.uint64), 8)
+            if flag:
+                rows.append((k, True, b"", docs, _press(p[i].view(np.uint64), 8)))
+            else:
+                # One bit above the hash says that another document of the flush has it.
+                x, bit, width = (h[i], 63, 8) if together > 1 else (h[i] // np.uint64(layout.partitions), layout.flag, layout.width)
+                rows.append((k, False, _press(x | stands[i].astype(np.uint64) << np.uint64(bit), width), docs, b""))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOBS.split(", ")])
+
+
+def _second_step(layout: _Layout):
+    """Rows of the first step gathered again and split into the hash partitions proper."""
+
+    def gather(held: list) -> pd.DataFrame:
+        return _split(layout, *map(np.concatenate, zip(*held)), 1)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            for row in pdf.itertuples():
+                d = _docs(row.docs)
+                x = np.zeros(len(d), np.uint64) if row.known else _unpress(row.hashes, 8)
+                spots = _unpress(row.spots, 8).astype(np.int64) if row.known else np.zeros(len(d), np.int64)
+                held.append((x & layout.mask, d, spots, np.full(len(d), row.known), x >> np.uint64(63) != 0))
+                n += len(d)
+                if n >= FLUSH:
+                    yield gather(held)
+                    held, n = [], 0
+        if held:
+            yield gather(held)
 
-def _anchor_blobs(width: int, layout: _Layout):
-    partitions = layout.partitions
+    return run
 
+
+def _anchor_blobs(width: int, layout: _Layout):
     def flush(held) -> Iterator[pd.DataFrame]:
         h, d, p = (np.concatenate(x) for x in zip(*held))
         h &= layout.mask
@@ -157,22 +205,7 @@ def _anchor_blobs(width: int, layout: _Layout):
         stands_sorted = mixed[group] & fresh
         known, stands = np.zeros(len(h), bool), np.zeros(len(h), bool)
         known[order], stands[order] = known_sorted, stands_sorted
-        part = (h % np.uint64(partitions)).astype(np.int64)
-        part[known] = d[known] % partitions
-        rows = []
-        for flag in (False, True):
-            chosen = np.flatnonzero(known == flag)
-            chosen = chosen[np.argsort(part[chosen], kind="stable")]
-            kinds, edges = np.unique(part[chosen], return_index=True)
-            for k, i in zip(kinds.tolist(), np.split(chosen, edges[1:])):
-                gaps = np.diff(d[i], prepend=0).astype(np.int64)
-                docs = _press((gaps << 1 ^ gaps >> 63).view(np.uint64), 8)
-                if flag:
-                    rows.append((k, True, b"", docs, _press(p[i].view(np.uint64), 8)))
-                else:
-                    # The bit above the hash says that another document of the flush has it.
-                    rows.append((k, False, _press(h[i] // np.uint64(partitions) | stands[i].astype(np.uint64) << np.uint64(layout.flag), layout.width), docs, b""))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOBS.split(", ")])
+        yield _split(layout, h, d, p, known, stands, layout.together)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -291,6 +324,9 @@ def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> Dat
     chars = d.agg(F.sum(F.length("text"))).first()[0] or 0
     layout = _Layout(int(chars * len(COVER) / PERIOD))
     blobs = d.mapInPandas(_anchor_blobs(width, layout), _BLOBS)
+    if layout.together > 1:
+        spread = F.pmod(F.xxhash64("hashes", "docs"), F.lit(STEP_TASKS))
+        blobs = blobs.repartition(FLUSH_PARTS * STEP_TASKS, "part", spread).mapInPandas(_second_step(layout), _BLOBS)
     shared = cut(blobs.groupBy("part").applyInPandas(_shared_anchors(layout), _FOUND), "anchors")
     both = shared.groupBy("id").agg(F.flatten(F.collect_list("spots")).alias("spots"), F.flatten(F.collect_list("hashes")).alias("hashes"))
     n_docs, n_anchors = shared.agg(F.approx_count_distinct("id"), F.coalesce(F.sum(F.size("spots") + F.size("hashes")), F.lit(0))).first()

@@ -128,3 +128,11 @@ def test_share(rows):
 def test_nothing(rows):
     assert span_pairs(rows([], DOCS), key="doc_id", text="text", length=150).count() == 0
     assert span_pairs(rows([(1, None, 1, ""), (2, "", 1, ""), (3, "x" * 149, 1, ""), (4, "x" * 149, 1, "")], DOCS), key="doc_id", text="text", length=150).count() == 0
+
+
+def test_two_steps_find_the_same(rows, monkeypatch):
+    monkeypatch.setattr(spans, "FLUSH_PARTS", 3)
+    monkeypatch.setattr(spans, "STEP_TASKS", 2)
+    assert spans._Layout(100).together == 3
+    docs = corpus(9)
+    assert {tuple(r) for r in span_pairs(rows(docs, DOCS), key="doc_id", text="text", length=150).collect()} == brute(docs)[0]
