@@ -30,6 +30,8 @@ SPARE_BITS = 24
 PARTITION_ANCHORS, PARTITION_SPANS, SPAN_ROWS = 1 << 20, 1 << 17, 1 << 18
 #: Hash partitions one flush is split into; beyond that anchors are sent in two steps, so that what travels together stays long.
 FLUSH_PARTS, STEP_TASKS = 4096, 16
+#: Tasks of one stage at most; beyond that a task takes several hash partitions one after the other.
+MAX_TASKS = 100_000
 #: Documents whose ids may be sent to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
@@ -327,6 +329,8 @@ def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> Dat
     if layout.together > 1:
         spread = F.pmod(F.xxhash64("hashes", "docs"), F.lit(STEP_TASKS))
         blobs = blobs.repartition(FLUSH_PARTS * STEP_TASKS, "part", spread).mapInPandas(_second_step(layout), _BLOBS)
+    # The number of tasks grows with the data, whatever the session's default is.
+    blobs = blobs.repartition(min(2 * layout.partitions, MAX_TASKS), "part")
     shared = cut(blobs.groupBy("part").applyInPandas(_shared_anchors(layout), _FOUND), "anchors")
     both = shared.groupBy("id").agg(F.flatten(F.collect_list("spots")).alias("spots"), F.flatten(F.collect_list("hashes")).alias("hashes"))
     n_docs, n_anchors = shared.agg(F.approx_count_distinct("id"), F.coalesce(F.sum(F.size("spots") + F.size("hashes")), F.lit(0))).first()
@@ -334,14 +338,14 @@ def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> Dat
         d = d.join(F.broadcast(shared.select("id").distinct()), "id", "left_semi")
     spans = d.join(both, "id").mapInPandas(_full_spans(length, width, layout), _SPANS).where("span is not null and id is not null")
     # As many partitions as the spans around the shared anchors fill.
-    return spans.repartition(max(4, n_anchors * PERIOD // len(COVER) // PARTITION_SPANS + 1), "span")
+    return spans.repartition(min(max(4, n_anchors * PERIOD // len(COVER) // PARTITION_SPANS + 1), MAX_TASKS), "span")
 
 
 def _groups(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
     """(span, id, passage): the members of one span for each set of records that share one, with the passage itself."""
     s = candidate_spans(docs, key=key, text=text, length=length).groupBy("span", "id").agg(F.min("start").alias("start"))
     sets = s.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min("start").alias("z")).where("n > 1")
-    first = sets.groupBy("n", "x", "y").agg(F.min(F.struct("span", "z")).alias("f")).select("f.*")
+    first = sets.groupBy("n", "x", "y").agg(F.min("span").alias("span"), F.min("z").alias("z")).select("span", "z")
     # The second condition always holds; by it both sides read all columns of unfiltered rows, and so the same shuffle.
     members = s.join(first, "span").where("start >= z").select("span", "id", "start")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text"))
