@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from shutterlake.llm.store import COLUMNS, FingerprintStore
 from shutterlake.operators.ranges import range_extremes
 from shutterlake.operators.snapshots import usable_identity
-from shutterlake.session import cut, discard, drop_at_exit, shared_dir
+from shutterlake.session import cut, discard, drop_at_exit, prepare, shared_dir
 
 #: Characters in a shingle of a content, and shingles in a winnowing window.
 GRAM, WINDOW = 5, 4
@@ -181,6 +181,7 @@ class BatchDeduplicator:
     """
 
     def __init__(self, spark: SparkSession, path: str, coverage: float = 1.0, nearness: tuple[int, int] = (995, 1000)):
+        prepare(spark)
         self.spark, self.nearness, self.coverage = spark, nearness, coverage
         self.store = FingerprintStore(spark, path, {"gram": GRAM, "window": WINDOW, "combined": COMBINED, "coverage": coverage})
         self._held: list[str] = []

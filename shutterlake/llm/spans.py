@@ -317,6 +317,13 @@ def _full_spans(length: int, width: int, layout: _Layout):
     return run
 
 
+def _with_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` whose id occurs in ``wanted``, where these are few enough to be sent to all; else all."""
+    if wanted.agg(F.approx_count_distinct("id")).first()[0] > BROADCAST_IDS:
+        return docs
+    return docs.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi")
+
+
 def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
     """(id, span, start): hashes of all full spans that hold an anchor found in another record as well, partitioned by hash."""
     width = length - PERIOD + 1
@@ -333,10 +340,8 @@ def candidate_spans(docs: DataFrame, *, key: str, text: str, length: int) -> Dat
     blobs = blobs.repartition(min(2 * layout.partitions, MAX_TASKS), "part")
     shared = cut(blobs.groupBy("part").applyInPandas(_shared_anchors(layout), _FOUND), "anchors")
     both = shared.groupBy("id").agg(F.flatten(F.collect_list("spots")).alias("spots"), F.flatten(F.collect_list("hashes")).alias("hashes"))
-    n_docs, n_anchors = shared.agg(F.approx_count_distinct("id"), F.coalesce(F.sum(F.size("spots") + F.size("hashes")), F.lit(0))).first()
-    if n_docs <= BROADCAST_IDS:
-        d = d.join(F.broadcast(shared.select("id").distinct()), "id", "left_semi")
-    spans = d.join(both, "id").mapInPandas(_full_spans(length, width, layout), _SPANS).where("span is not null and id is not null")
+    n_anchors = shared.agg(F.coalesce(F.sum(F.size("spots") + F.size("hashes")), F.lit(0))).first()[0]
+    spans = _with_ids(d, shared).join(both, "id").mapInPandas(_full_spans(length, width, layout), _SPANS).where("span is not null and id is not null")
     # As many partitions as the spans around the shared anchors fill.
     return spans.repartition(min(max(4, n_anchors * PERIOD // len(COVER) // PARTITION_SPANS + 1), MAX_TASKS), "span")
 
@@ -347,8 +352,8 @@ def _groups(docs: DataFrame, *, key: str, text: str, length: int) -> DataFrame:
     sets = s.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min("start").alias("z")).where("n > 1")
     first = sets.groupBy("n", "x", "y").agg(F.min("span").alias("span"), F.min("z").alias("z")).select("span", "z")
     # The second condition always holds; by it both sides read all columns of unfiltered rows, and so the same shuffle.
-    members = s.join(first, "span").where("start >= z").select("span", "id", "start")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text"))
+    members = cut(s.join(first, "span").where("start >= z").select("span", "id", "start"), "members")
+    texts = _with_ids(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")), members)
     return cut(members.join(texts, "id").select("span", "id", F.substring("__text", F.col("start").cast("int") + 1, F.lit(length)).alias("passage")).distinct(), "groups")
 
 
