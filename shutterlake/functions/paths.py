@@ -86,15 +86,6 @@ def natural_key(s: Column) -> Column:
     return F.concat(F.array_join(coded, "\x01"), F.lit("\x00"), s)
 
 
-def edit_distance_at_most_one(a: Column, b: Column, least_chars: int = 4) -> Column:
-    """At most one edit between names of at least ``least_chars`` characters whose lengths differ by at most one."""
-    return (F.length(a) >= least_chars) & (F.length(b) >= least_chars) & (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b, 1) >= 0)
-
-
-def collision_stem(s: Column, n: Column) -> Column:
-    return F.format_string("%s_%02d", s, n)
-
-
 #: The variables of a path template, longest first, and the prefix of a sequence number.
 TEMPLATE_VARS, SEQUENCE = ["FILENAME", "CMONTH", "CYEAR", "CWEEK", "BRAND", "MODEL", "CDAY"], "SEQ"
 

@@ -6,11 +6,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions.paths import edit_distance_at_most_one, file_name, pair_key, parent, stem
+from shutterlake.functions.paths import file_name, pair_key, parent, stem
 
 SLACK_MS = 2000
 
 
+def _one_edit_apart(x: DataFrame, y: DataFrame, on: list[str], a: str, b: str, least_chars: int = 4) -> DataFrame:
+    """The pairs of rows of ``x`` and ``y`` equal in ``on`` whose names (``a_name``, ``b_name``) are at most one edit apart and have ``least_chars`` characters.
+
+    Two names are that near if and only if they are equal, agree once the same place is left out of both, or one is the other
+    without a place. So joins on names with a place left out list no pair that is not a result, however many rows are equal in ``on``.
+    """
+    x, y = (d.where(F.length(f"{n}_name") >= least_chars) for d, n in ((x, a), (y, b)))
+    short = lambda d, n: d.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length(f"{n}_name")))).withColumn("rest", F.expr(f"concat(left({n}_name, pos - 1), substring({n}_name, pos + 1))"))
+    xs, ys = short(x, a), short(y, b)
+    columns = [*on, a, f"{a}_name", f"{a}_mtime", b, f"{b}_name", f"{b}_mtime"]
+    pairs = [
+        x.join(y.withColumn("rest", F.col(f"{b}_name")), on).where(F.col(f"{a}_name") == F.col("rest")),
+        xs.join(ys, [*on, "pos", "rest"]),
+        xs.join(y.withColumn("rest", F.col(f"{b}_name")), [*on, "rest"]),
+        ys.join(x.withColumn("rest", F.col(f"{a}_name")), [*on, "rest"]),
+    ]
+    out = pairs[0].select(columns)
+    for p in pairs[1:]:
+        out = out.unionByName(p.select(columns))
+    return out.distinct()
+
+
 def reconcile(disk: DataFrame, db: DataFrame) -> DataFrame:
     """(scope, disk_id, db_id, evidence, state) of a disk listing against catalogue rows, one to one.
 
@@ -34,12 +56,8 @@ def reconcile(disk: DataFrame, db: DataFrame) -> DataFrame:
     side = lambda df, n: rest(df, [p2], n).where("size is not null and mtime is not null and key is not null").select(
         "scope", parent(F.col("key")).alias("dir"), "size", F.col("id").alias(n), file_name(F.col("key")).alias(f"{n}_name"), F.col("mtime").alias(f"{n}_mtime")
     )
-    near = (
-        side(d2, "disk_id")
-        .join(side(c2, "db_id"), ["scope", "dir", "size"])
-        .where((F.abs(F.col("disk_id_mtime") - F.col("db_id_mtime")) <= SLACK_MS) & edit_distance_at_most_one(F.col("disk_id_name"), F.col("db_id_name")))
-        .select("scope", "dir", "size", "disk_id", "db_id")
-    )
+    near = _one_edit_apart(side(d2, "disk_id"), side(c2, "db_id"), ["scope", "dir", "size"], "disk_id", "db_id")
+    near = near.where(F.abs(F.col("disk_id_mtime") - F.col("db_id_mtime")) <= SLACK_MS).select("scope", "dir", "size", "disk_id", "db_id")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []

@@ -31,3 +31,30 @@ def test_near_names_against_brute_force(rows):
 def test_fuzzy_names_are_all_pairs(spark):
     want = brute(connect().execute("SELECT id, name FROM tags").fetchall())
     assert want and sorted(tuple(r) for r in registry.queries()["fuzzy_names"](spark, DATA).collect()) == want
+
+
+def test_reconcile_names_one_edit_apart_in_one_hot_directory(rows):
+    import random
+
+    from shutterlake.operators.linkage import reconcile
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        return min(len(a), len(b)) >= 4 and (a == b or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1) or (len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))))
+
+    rnd = random.Random(2)
+    name = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randrange(2, 7)))
+    disk = [("s", i, f"d/{n}", 5, rnd.choice([0, 1000, 9000]), None) for i, n in enumerate(sorted({name() for _ in range(60)}))]
+    db = [("s", 1000 + i, f"d/{n}", 5, rnd.choice([0, 1000, 9000]), None, False) for i, n in enumerate(sorted({name() for _ in range(60)}))]
+    paths = {d[2] for d in disk} & {d[2] for d in db}
+    left, right = [d for d in disk if d[2] not in paths], [d for d in db if d[2] not in paths]
+    taken, want = set(), set()
+    for d in sorted(left, key=lambda d: d[1]):
+        free = [c[1] for c in sorted(right, key=lambda c: c[1]) if c[1] not in taken and abs(c[4] - d[4]) <= 2000 and near(d[2][2:], c[2][2:])]
+        if free:
+            taken.add(free[0])
+            want.add((d[1], free[0]))
+    cols = "scope string, id long, key string, size long, mtime long, ident string"
+    out = reconcile(rows(disk, cols), rows(db, cols + ", missing boolean")).where("evidence = 'heuristic'").collect()
+    assert {(r.disk_id, r.db_id) for r in out} == want and want
