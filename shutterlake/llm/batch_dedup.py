@@ -214,15 +214,15 @@ class BatchDeduplicator:
             # Coverage 1 is equality of the sorted sets of fingerprints; the digest decides what they leave open.
             same = ["key", "prints", *who]
             pool = pool.unionByName(known.join(entries.select(*same).distinct(), same, "left_semi").withColumn("old", F.lit(True)))
-        self._pool = pool = cut(pool.groupBy(*who, "prints", "size").agg(F.min("id").alias("id"), F.min("run").alias("run"), F.max("old").alias("old")), "pool", held)
-        pool = pool.select(*who, "size", F.struct("id", "run").alias("first"))
+        self._pool = pool = cut(pool.groupBy(*who, "prints", "size").agg(F.min("id").alias("id"), F.min("run").alias("run"), F.max("old").alias("old"), F.max(~F.col("old")).alias("own")), "pool", held)
+        pool = pool.select(*who, "size", F.struct("id", "run").alias("first"), "own")
         crowd = pool.groupBy(*who).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*who)
-        points = cut(pool.join(crowd, who, "left_semi").select(*who, F.col("size").alias("at"), "first"), "points", held)
+        points = cut(pool.join(crowd, who, "left_semi").select(*who, F.col("size").alias("at"), "first", "own"), "points", held)
         lo, hi = self.nearness
         near = range_extremes(
-            points, points, group=who, at="at", lo=F.expr(f"(at * {lo} + {hi - 1}) div {hi}"), hi=F.expr(f"(at * {hi}) div {lo}"), block=_size_block, least=["first"], most=[]
+            points, points.where("own"), group=who, at="at", lo=F.expr(f"(at * {lo} + {hi - 1}) div {hi}"), hi=F.expr(f"(at * {hi}) div {lo}"), block=_size_block, least=["first"], most=[]
         )
-        nearest = pool.withColumnRenamed("size", "at").join(near, [*who, "at"], "left").select(*who, F.col("at").alias("size"), F.coalesce("least_first", "first").alias("first"))
+        nearest = pool.where("own").withColumnRenamed("size", "at").join(near, [*who, "at"], "left").select(*who, F.col("at").alias("size"), F.coalesce("least_first", "first").alias("first"))
         matched = rows.select("id", "run", *who, "size").join(nearest, [*who, "size"]).where("first.run < run")
         return matched.groupBy(F.col("id").alias("dup_id")).agg(F.min("first.id").alias("first_id")).select("first_id", "dup_id")
 
