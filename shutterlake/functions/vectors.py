@@ -19,6 +19,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def contrastive(image: Column, positive: Column, negative: Column) -> Column:
-    """Half the difference of the similarities; without a negative the plain similarity."""
+    """Half the difference of the similarities, null if one of them is; without a negative the plain similarity."""
     p, n = cosine(image, positive), cosine(image, negative)
-    return F.when(negative.isNull(), p).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (p - n) / 2)))
+    return F.when(negative.isNull(), p).when(p.isNotNull() & n.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (p - n) / 2)))

@@ -75,3 +75,29 @@ def test_scalars(rows):
     assert rows([("2021:02:30 10:00:00",), ("2021:02:03 10:00:00",), ("0000:00:00 00:00:00",)], "t string").select(s.exif_datetime(F.col("t")).alias("m")).toPandas().m.dropna().tolist() == [1612346400000]
     under = rows([("a/b.jpg",), ("a/c/d.jpg",), ("ab/e.jpg",)], "p string").select(s.is_under(F.col("p"), "a", False), s.is_under(F.col("p"), "a/", True), s.is_under(F.col("p"), "", True)).collect()
     assert [tuple(r) for r in under] == [(True, True, True), (False, True, True), (False, False, True)]
+
+
+def test_concepts_against_single_similarities_and_in_blocks(rows, monkeypatch):
+    import random
+
+    from shutterlake.operators import vectors
+
+    rnd = random.Random(4)
+    vec = lambda n=5: [rnd.gauss(0, 1) for _ in range(n)]
+    v = [(i, vec()) for i in range(20)] + [(30, None), (31, []), (32, vec(4)), (33, [0.0] * 5), (34, [float("nan")] * 5), (35, [float("inf")] + [1.0] * 4)]
+    c = [(f"c{i}", vec(), vec() if i % 2 else None) for i in range(9)] + [("zero", [0.0] * 5, None), ("other", vec(3), None), ("c1b", None, None)]
+    df, cs = rows(v, "id long, v array<double>"), rows(c, "concept string, positive array<double>, negative array<double>")
+    single = df.crossJoin(cs).select("id", "concept", contrastive(F.col("v"), F.col("positive"), F.col("negative")).alias("s")).collect()
+    want = {(r.id, r.concept): r.s for r in single}
+    got = {(r.id, r.concept): r.score for r in vectors.concept_scores(df, cs, key="id", vector="v").collect()}
+    wrong = {k: (got.get(k), want[k]) for k in want if (got.get(k) is None) != (want[k] is None) or (want[k] is not None and abs(got[k] - want[k]) > 1e-9)}
+    assert set(got) == set(want) and not wrong, list(wrong.items())[:5]
+    for most in (4096, 4):
+        monkeypatch.setattr(vectors, "MAX_CONCEPTS", most)
+        top = {}
+        for r in vectors.top_concepts(df, cs, 3, key="id", vector="v").collect():
+            top.setdefault(r.id, {})[r["rank"]] = r.concept
+        for i, _ in v:
+            best = sorted((-s, c) for (j, c), s in want.items() if j == i and s is not None)[:3]
+            assert top.get(i, {}) == {k + 1: c for k, (_, c) in enumerate(best)}
+    assert vectors.top_concepts(df, cs.limit(0), 3, key="id", vector="v").count() == 0 and vectors.concept_scores(df, cs.limit(0), key="id", vector="v").count() == 0
