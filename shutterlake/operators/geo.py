@@ -31,8 +31,8 @@ def nearest_place(points: DataFrame, places: DataFrame, *, key: str, lat: str, l
     """(key, place_id, km) for each point with a position; ties go to the smaller place id.
 
     Places are (place_id, lat, lon). They are taken in blocks of bounded size, sorted by latitude. Points are taken a batch at a
-    time, those of one degree cell together: all places of a band of latitudes around the cell, which is doubled until it is farther to its edge
-    than the best found for each point. Points without a position and places without one are left out.
+    time in the order of their latitudes, with the places around these latitudes, of which more are taken until the edge is farther than the
+    best found. Points without a position and places without one are left out.
     """
     p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("__k"), F.col(lat).cast("double").alias("__la"), F.col(lon).cast("double").alias("__lo"))
     schema = f"__k {dict(points.dtypes)[key]}, place_id long, km double"
@@ -58,25 +58,32 @@ def nearest_place(points: DataFrame, places: DataFrame, *, key: str, lat: str, l
     return found.withColumnRenamed("__k", key)
 
 
-def nearest(la: np.ndarray, lo: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest place and its distance for points (x, y); places are sorted by latitude. At most about ``cells`` distances are held at once."""
+def nearest(la: np.ndarray, lo: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, points: int = 256, width: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest place and its distance for points (x, y); places are sorted by latitude.
+
+    Points are taken ``points`` at a time in the order of their latitudes, with the places of these latitudes and ``width`` more on either
+    side, which is doubled for those whose best is not nearer than the edge.
+    """
     best_id, best = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
     if not len(la):
         return best_id[:0], best[:0]
     per_degree = EARTH_KM * np.pi / 180
-    cell = np.floor(x).astype(np.int64) * 1000 + np.floor(y).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-        left, reach, low, high = group, 1.0, np.floor(x[group[0]]), np.floor(x[group[0]]) + 1
+    order = np.argsort(x, kind="stable")
+    for left in np.array_split(order, -(-len(order) // points)) if len(order) else []:
+        more = width
         while len(left):
-            a, b = np.searchsorted(la, [low - reach, high + reach], side="left")
-            for part in np.array_split(left, max(1, len(left) * (b - a) // cells + 1)) if b > a else []:
-                km = _km(x[part][:, None], y[part][:, None], la[None, a:b], lo[None, a:b])
+            a, b = max(0, np.searchsorted(la, x[left].min()) - more), min(len(la), np.searchsorted(la, x[left].max()) + more)
+            for k in range(a, b, 1 << 14):  # bounds what is held at once
+                i = slice(k, min(b, k + (1 << 14)))
+                km = _km(x[left][:, None], y[left][:, None], la[None, i], lo[None, i])
                 least = km.min(axis=1)
-                same = np.where(km == least[:, None], ids[None, a:b], np.iinfo(np.int64).max).min(axis=1)
-                best[part], best_id[part] = least, same
-            edge = np.minimum(x[left] - (low - reach), (high + reach) - x[left]) * per_degree
-            whole = a == 0 and b == len(la)
-            left = left[:0] if whole else left[edge <= best[left] * (1 + 1e-9) + 1e-9]
-            reach *= 2
+                same = np.where(km == least[:, None], ids[None, i], np.iinfo(np.int64).max).min(axis=1)
+                nearer = (least < best[left]) | ((least == best[left]) & (same < best_id[left]))
+                best[left[nearer]], best_id[left[nearer]] = least[nearer], same[nearer]
+            below = (x[left] - la[a]) * per_degree if a > 0 else np.inf
+            above = (la[b - 1] - x[left]) * per_degree if b < len(la) else np.inf
+            left = left[np.minimum(below, above) <= best[left] * (1 + 1e-9) + 1e-9]
+            if a == 0 and b == len(la):
+                break
+            more *= 2
     return best_id, best
