@@ -83,13 +83,18 @@ def orphan_references(
     )
     # One row per distinct reference key, with the span of its reference times: partial aggregation tames hot keys.
     keys = r.groupBy("__scope", "__key").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
-    placed = match_runs(keys.where("__scope is not null"), key_runs(p, "__scope", "__key"), "__scope", "__key")
-    # Only keys a run holds meet the parents' times, and only keys with at least one orphan go back to the rows.
-    span = ["__scope", "__key", "__first", "__last"]
-    timed = placed.where("in_run").select(*span).join(p, ["__scope", "__key"]).where("__first < __born or __last >= __gone")
-    absent = placed.where("not in_run").select(*span).unionByName(keys.where("__scope is null").select(*span))
-    absent = absent.select("__scope", "__key", F.lit(True).alias("__missing"), *[F.lit(None).cast(p.schema[c].dataType).alias(c) for c in ("__born", "__gone")])
-    suspect = timed.select("__scope", "__key", F.lit(False).alias("__missing"), "__born", "__gone").unionByName(absent).withColumnsRenamed({"__scope": "__s", "__key": "__k"})
+    # The match needs the keys only; their times wait where the keys were aggregated, as the parents' do, and nothing but the match's flag moves.
+    names = keys.where("__scope is not null").select("__scope", "__key")
+    placed = match_runs(names, key_runs(p, "__scope", "__key"), "__scope", "__key")
+    known = (
+        keys.join(placed, ["__scope", "__key"], "left")
+        .join(p, ["__scope", "__key"], "left")
+        .withColumn("__missing", ~F.coalesce(F.col("in_run"), F.lit(False)))
+    )
+    # Only keys with at least one orphan go back to the rows.
+    suspect = known.where("__missing or __first < __born or __last >= __gone").select(
+        F.col("__scope").alias("__s"), F.col("__key").alias("__k"), "__missing", "__born", "__gone"
+    )
     kind = F.when(F.col("__missing"), "missing").when(F.col("__born") > F.col("__at"), "later").when(F.col("__gone") <= F.col("__at"), "deleted")
     return (
         r.join(suspect, (F.col("__key") == F.col("__k")) & F.col("__scope").eqNullSafe(F.col("__s")))
