@@ -149,20 +149,24 @@ def near_names(rows: DataFrame, *, key: str, name: str, least_chars: int = 4) ->
 
     Two names are one substitution apart if and only if they differ and agree once the same place is left out of both,
     one insertion apart if and only if one is the other without a place. So joins on variants without one byte list
-    no pair that is not a result. Rows of equal names are reduced to one before the variants are made.
+    no pair that is not a result. Rows of equal names are reduced to one before the variants are made. All joins are
+    merges of shuffles: size estimates count a name's variants as one row, so Spark would broadcast them through the driver.
     """
     r = rows.where(F.length(name) >= least_chars).select(F.col(key).alias("id"), F.col(name).alias("name"))
     # One character a byte.
     raw = r.select("name").distinct().withColumn("raw", F.decode(F.encode("name", "UTF-8"), "ISO-8859-1"))
     at = raw.select("name", "raw", F.explode(F.sequence(F.lit(1), F.length("raw"))).alias("pos"))
-    cut = at.select("name", "pos", F.expr("concat(left(raw, pos - 1), substring(raw, pos + 1))").alias("rest"))
+    rest = "concat(left(raw, pos - 1), substring(raw, pos + 1))"
+    cut = at.select("name", "pos", F.expr(rest).alias("rest"))
     x, y = cut.withColumnRenamed("name", "n1"), cut.withColumnRenamed("name", "n2")
-    swapped = x.join(y, ["pos", "rest"]).where("n1 < n2").select("n1", "n2")
-    # A name without either of two equal neighbours is the same name.
-    shorter = raw.select(F.col("name").alias("n1"), F.col("raw").alias("rest")).join(y.select("n2", "rest").distinct(), "rest").where(F.abs(F.length("n1") - F.length("n2")) <= 1).select("n1", "n2")
+    swapped = x.join(y.hint("merge"), ["rest", "pos"]).where("n1 < n2").select("n1", "n2")
+    # A name without any of equal neighbours is the same name, so each run of them is shortened once, at its end.
+    z = at.where("substring(raw, pos, 1) <> substring(raw, pos + 1, 1)").select(F.col("name").alias("n2"), F.expr(rest).alias("rest"))
+    whole = raw.select(F.col("name").alias("n1"), F.col("raw").alias("rest"))
+    shorter = whole.join(z.hint("merge"), "rest").where(F.abs(F.length("n1") - F.length("n2")) <= 1).select("n1", "n2")
     a, b = r.toDF("i", "n1"), r.toDF("j", "n2")
-    near = swapped.unionByName(shorter).join(a, "n1").join(b, "n2").select("i", "j")
-    equal = a.join(b, F.col("n1") == F.col("n2")).where("i < j").select("i", "j")
+    near = swapped.unionByName(shorter).join(a.hint("merge"), "n1").join(b.hint("merge"), "n2").select("i", "j")
+    equal = a.join(b.hint("merge"), F.col("n1") == F.col("n2")).where("i < j").select("i", "j")
     return near.unionByName(equal).select(F.least("i", "j").alias("a_id"), F.greatest("i", "j").alias("b_id"))
 
 

@@ -33,6 +33,18 @@ def test_fuzzy_names_are_all_pairs(spark):
     assert want and sorted(tuple(r) for r in registry.queries()["fuzzy_names"](spark, DATA).collect()) == want
 
 
+def test_near_names_send_no_variants_through_the_driver(spark, rows, tmp_path):
+    path = str(tmp_path / "names")
+    rows([(i, f"name {i:04d}") for i in range(2000)] + [(5000, "name 0000 "), (5001, "name 0001")], "id long, name string").write.parquet(path)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64k")
+    try:
+        got = {tuple(r) for r in near_names(spark.read.parquet(path), key="id", name="name").collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    digits = [(i, j) for i in range(2000) for j in range(i + 1, 2000) if sum(a != b for a, b in zip(f"{i:04d}", f"{j:04d}")) == 1]
+    assert got == {*digits, *((i, 5001) for i in range(2000) if (i, 1) in digits or (1, i) in digits or i == 1), (0, 5000)}
+
+
 def test_reconcile_names_one_edit_apart_in_one_hot_directory(rows):
     import random
 
